@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of a bounded size, whatever the length of the texts in them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def keep(df: DataFrame, new: set[str], apply, condition) -> DataFrame:
+    """Rows of apply(df) that meet the condition, with df's own columns, also those named as apply's results are."""
+    own = {c: f"_own_{c}" for c in df.columns if c in new}
+    return apply(df.withColumnsRenamed(own)).filter(condition).select(*[F.col(own.get(c, c)).alias(c) for c in df.columns])
+
+
 class Scratch:
     """Tables written below spark.checkpoint.dir, which every executor can read.
 
@@ -133,7 +146,7 @@ def components(edges: DataFrame, scratch: Scratch, one_task: int = ONE_TASK_LINK
 
 def batches_of(batch: pa.RecordBatch, column: int, most: int = 8 << 20):
     """Slices of a batch whose text column has about so many bytes: very long texts do not pile up."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     start, total = 0, 0
     for i, n in enumerate(lengths):
         if total and total + n > most:

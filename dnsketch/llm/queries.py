@@ -6,8 +6,9 @@ Only __spark_entry__.py imports this module, and only if the folder is there.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dnsketch.llm.common import table
+from dnsketch.llm.common import Scratch, bounded, table
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -25,12 +26,43 @@ def tokenizer_path(name: str, folder: str = TOKENIZERS) -> str:
 def op1_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dnsketch.llm import piece_bpe
 
+    bounded(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return piece_bpe.digests(piece_bpe.encode_decode(docs, tokenizer_path("piece_bpe_32k.model")))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dnsketch.llm import langid
+
+    bounded(spark)
+    docs = table(spark, sf_dir, "documents")
+    known = langid.learn(docs, ~langid.held_out())
+    found = langid.identify(docs.select("doc_id", "text"), known)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dnsketch.llm import toxicity
+
+    bounded(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.grade(docs, model).select("doc_id", "severity", "toxic_p", "grade", F.col("rejected").alias("toxic"))
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dnsketch.llm import minhash
+
+    bounded(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, Scratch(spark))
+
+
 QUERIES = {
     "op1_piece_bpe": op1_piece_bpe,
+    "op2_language": op2_language,
+    "op3_toxicity": op3_toxicity,
+    "op4_minhash": op4_minhash,
 }
 
 SQL: dict[str, str] = {}
