@@ -155,3 +155,29 @@ def batches_of(batch: pa.RecordBatch, column: int, most: int = 8 << 20):
         total += int(n)
     if len(lengths) > start:
         yield batch.slice(start)
+
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def words_of(texts: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray]:
+    """All words between ASCII white space as one binary array, and the number of words of each text (null: none)."""
+    t = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(t.buffers()[1], np.int64)[t.offset : t.offset + len(t) + 1]
+    data = np.frombuffer(t.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    ends = offsets - offsets[0]
+    solid = ~SPACE[data]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    first[ends[:-1][(ends[:-1] < len(data))]] |= True  # a text starts a word of its own
+    first &= solid
+    before = np.concatenate([[0], np.cumsum(first)])
+    counts = before[ends[1:]] - before[ends[:-1]]
+    place = np.concatenate([[0], np.cumsum(solid)])
+    bounds = np.append(place[:-1][first], place[-1]).astype(np.int64)
+    body = data[solid]
+    body = LOWER[body] if lower else body
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(body)]), counts

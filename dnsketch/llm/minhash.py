@@ -18,11 +18,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dnsketch.llm.common import Scratch, batches_of, components
+from dnsketch.llm.common import Scratch, batches_of, components, words_of
 
 WORDS, ROWS, BANDS = 5, 5, 36
 SLOTS = ROWS * BANDS
@@ -42,12 +41,8 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word of every text, and the number of words of each text."""
     import xxhash
 
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
-    flat, offsets = lists.flatten(), np.asarray(lists.offsets) - np.asarray(lists.offsets)[0]
-    real = np.asarray(pc.greater(pc.binary_length(flat), 0)).astype(bool)
-    before = np.concatenate([[0], np.cumsum(real)])
-    counts = before[offsets[1:]] - before[offsets[:-1]]
-    d = flat.filter(pa.array(real)).dictionary_encode()
+    flat, counts = words_of(texts, lower=True)
+    d = flat.dictionary_encode()
     of = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in d.dictionary.to_pylist()), np.uint64, len(d.dictionary))
     return of[np.asarray(d.indices)] if len(of) else np.zeros(0, np.uint64), counts
 
