@@ -58,11 +58,62 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, Scratch(spark))
 
 
+def op5_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dnsketch.llm import hnsw
+
+    bounded(spark)
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark))
+
+
+def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dnsketch.llm import kdshard
+
+    return kdshard.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark))
+
+
+def op7_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dnsketch.llm import mtree
+
+    bounded(spark)
+    return mtree.top(table(spark, sf_dir, "embeddings"), Scratch(spark))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dnsketch.llm import packing
+
+    bounded(spark)
+    parts = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return packing.pack(parts, Scratch(spark))
+
+
+def op9_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dnsketch.llm import template
+
+    bounded(spark)
+    return template.extract(table(spark, sf_dir, "pages"), Scratch(spark)).select("page_id", "url", "text", "n_chars")
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dnsketch.llm import linededup
+
+    bounded(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = linededup.without_repeats(docs, Scratch(spark))
+    gone = F.aggregate("removed", F.lit(0), lambda a, s: a + s["end"] - s["start"])
+    return found.select("doc_id", "text", F.size("removed").alias("n_removed"), gone.cast("long").alias("chars_removed"), F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"])).alias("spans"))
+
+
 QUERIES = {
     "op1_piece_bpe": op1_piece_bpe,
     "op2_language": op2_language,
     "op3_toxicity": op3_toxicity,
     "op4_minhash": op4_minhash,
+    "op5_hnsw": op5_hnsw,
+    "op6_kd_shards": op6_kd_shards,
+    "op7_mtree": op7_mtree,
+    "op8_packing": op8_packing,
+    "op9_template": op9_template,
+    "op10_lines": op10_lines,
 }
 
 SQL: dict[str, str] = {}
