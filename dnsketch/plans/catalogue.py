@@ -13,8 +13,9 @@ from dnsketch.model import SINGLE, TINY, BloomConfig, lookup_combination
 from dnsketch.operators import analyst, hll, metrics, search, sketch
 from dnsketch.operators.lpm import client_entities
 from dnsketch.plans import oracle as o
-from dnsketch.sources import dims, dnslog
+from dnsketch.sources import dims, dnslog, wire
 from dnsketch.sources.dnslog import token_rows
+from dnsketch.streaming import periods
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -516,3 +517,88 @@ def generated_queries(spark, d):
     from dnsketch.sources.generator import random_queries
 
     return random_queries(spark, 10_000)
+
+
+# ---- streams
+
+
+@query(o.with_(*o.BASE, o.TOKENS, o.bits_cte(SINGLE), last=f"SELECT {_secs('period_end')} AS period_end, count(*) AS bits_set, any_value(n) AS number_of_requests FROM fb JOIN (SELECT period_end, count(*) AS n FROM acc GROUP BY 1) USING (period_end) GROUP BY period_end"))
+def stream_period_state(spark, d):
+    """The daily sketches of a stream of events: the same as those of the batch."""
+    path = periods.shared_folder(spark)
+    prefixes = dims.entity_prefixes(spark, d)
+    stream = dnslog.dns_log(spark, d, periods.events_stream(spark, d))
+    periods.run_periods(stream, SINGLE, path, lambda b: dnslog.lookups(b, prefixes)).awaitTermination()
+    s = periods.periods(spark, path, SINGLE)
+    return s.header.join(s.filter, "period_end").select(secs("period_end").alias("period_end"), "bits_set", "number_of_requests")
+
+
+_MINUTE = """SELECT epoch(date_trunc('minute', ts))::BIGINT AS minute, count(*) AS n_proc, count(*) FILTER (ok) AS n_acc, count(*) FILTER (ok AND qtype = 'A') AS n_qa, count(*) FILTER (ok AND qtype = 'PTR') AS n_qptr
+  FROM (SELECT *, qclass = 'IN' AND qtype IN ('A','NS','MX','AAAA','PTR') AS ok FROM log) GROUP BY 1"""
+
+
+@query(o.with_(o.HOSTS, o.LOG, last=_MINUTE))
+def stream_minutely(spark, d):
+    """Minute counters of a stream, from its windowed state."""
+    path = periods.shared_folder(spark)
+    periods.run_counters(dnslog.dns_log(spark, d, periods.events_stream(spark, d)), path).awaitTermination()
+    c = periods.counters(spark, path)
+    return c.select(secs("window_start").alias("minute"), "n_proc", "n_acc", "n_qa", "n_qptr")
+
+
+# ---- inputs in their own formats, made from the log and read back
+
+
+@query(o.with_(o.HOSTS, o.LOG, last=f"SELECT {_secs('ts')} AS ts, client, qname, CASE qtype WHEN 'A' THEN 1 WHEN 'NS' THEN 2 WHEN 'PTR' THEN 12 WHEN 'MX' THEN 15 WHEN 'TXT' THEN 16 WHEN 'AAAA' THEN 28 ELSE 33 END AS qtype, CASE qclass WHEN 'IN' THEN 1 ELSE 3 END AS qclass FROM (SELECT * REPLACE (regexp_replace(qname, '\\.$', '') AS qname) FROM log)"))
+def text_log_parse(spark, d):
+    """`epoch client host./type/class` lines."""
+    number = F.create_map(*[F.lit(x) for k, v in wire.NUMBER_OF.items() for x in (k, v)])
+    name = F.concat(F.regexp_replace("qname", r"\.$", ""), F.lit("."))
+    parts = [F.concat_ws(" ", secs("ts").cast("string"), "client", name), number[F.col("qtype")].cast("string"), F.when(F.col("qclass") == "IN", "1").otherwise("3")]
+    got = dnslog.parse_text_log(_log(spark, d).select(F.concat_ws("/", *parts).alias("value")))
+    return got.withColumn("ts", secs("ts"))
+
+
+_WIRE = f"SELECT {_secs('ts')} AS ts, client, regexp_replace(qname, '\\.$', '') || '.' AS qname, qclass, qtype FROM log"
+
+
+@query(o.with_(o.HOSTS, o.LOG, last=_WIRE))
+def dnstap_decode(spark, d):
+    """Frame streams of dnstap messages with DNS packets inside."""
+    import pyarrow as pa
+
+    def encoded(batches):
+        for b in batches:
+            f = [wire.encode_frame(*r) for r in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([wire.encode_stream(f)], pa.binary())], names=["content"])
+
+    rows = _log(spark, d).select(secs("ts").alias("ts"), "client", "qname", "qtype", "qclass")
+    return wire.decode_streams(rows.mapInArrow(encoded, "content binary")).drop("msg_type")
+
+
+@query(o.with_(o.HOSTS, o.LOG, last=f"SELECT {_secs('ts')} AS ts, client, lower(regexp_replace(qname, '\\.$', '')) AS qname, qclass, qtype FROM log WHERE qtype IN ('A', 'NS', 'MX', 'AAAA')"))
+def capture_decode(spark, d):
+    """Packet captures: DNS queries over UDP of four types."""
+    import pyarrow as pa
+
+    def encoded(batches):
+        for b in batches:
+            f = [(ts, c, wire.encode_question(n, t, k)) for ts, c, n, t, k in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([wire.encode_capture(f)], pa.binary())], names=["content"])
+
+    rows = _log(spark, d).select(secs("ts").alias("ts"), "client", "qname", "qtype", "qclass")
+    return wire.decode_captures(rows.mapInArrow(encoded, "content binary")).drop("msg_type")
+
+
+@query(o.with_(o.HOSTS, o.LOG, o.PREFIXES, o.ENTITY, last="SELECT client, entity FROM cl LEFT JOIN lpm USING (ip)"))
+def subnet_definitions_match(spark, d):
+    """Definitions written as JSON, read back, and matched on bits (the way that IPv6 goes, too)."""
+    from dnsketch.functions.inet import address
+    from dnsketch.operators.lpm import match_bits
+    from dnsketch.sources.files import subnet_definitions
+
+    lists = QUERIES["subnet_json"](spark, d)
+    one = lists.select(F.concat(F.lit('{"entity":"'), "entity", F.lit('","prefixes":'), "prefixes", F.lit("}")).alias("e"))
+    text = one.agg(F.concat(F.lit('{"subnet_activity":['), F.concat_ws(",", F.array_sort(F.collect_list("e"))), F.lit(",]}")).alias("value"))
+    who = _log(spark, d).select("client").distinct().withColumn("a", address(F.col("client"))).select("client", "a.af", "a.bits")
+    return match_bits(who, subnet_definitions(text)).select("client", "entity")

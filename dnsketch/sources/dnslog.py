@@ -19,10 +19,11 @@ def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/:?#]+)", 1).alias("host")).filter("host <> ''")
 
 
-def dns_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, ts, client, ip, qname, qclass, qtype, msg_type: a query log from events and pages."""
+def dns_log(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """event_id, ts, client, ip, qname, qclass, qtype, msg_type: a query log from events (a table or a stream) and pages."""
     hosts, n = page_hosts(spark, sf_dir), table(spark, sf_dir, "pages").agg(F.count(F.lit(1))).scalar()
-    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", (F.col("event_id") % n).alias("page_id"))
+    events = table(spark, sf_dir, "events") if events is None else events
+    e = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", (F.col("event_id") % n).alias("page_id"))
     r, u, turn = F.col("event_id") % 12, F.col("user_id"), F.floor(F.col("event_id") / 12)
     qtype = F.when((r <= 3) | (r == 11), "A").when(r <= 5, "AAAA").when(r == 6, "NS").when(r == 7, "MX").when(r == 8, "PTR").when(r == 9, "TXT").otherwise("SRV")
     octets = F.when(u % 7 == 0, F.array(F.lit(172), F.lit(16), F.lit(0), u % 256)).otherwise(F.array(F.lit(10), u % 25, u % 3, u % 256))
