@@ -2,7 +2,8 @@
 
 Encoding keeps the adjacent symbol pairs that form a piece on a score-ordered agenda and merges the best first
 (ties: leftmost). Texts are cut where no piece of the vocabulary can reach across, so each piece of text is merged on
-its own and the ids of short pieces are remembered. Every row is checked against the sentencepiece library, batch by batch.
+its own and the ids of short pieces are remembered. In each Arrow batch, every newly merged piece of text and the decoded
+form of every row are checked against the sentencepiece library.
 
 Defined results: a null or empty text has no pieces, so only the end id; rows repeat as they come; further columns stay.
 """
@@ -11,9 +12,11 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +24,7 @@ from pyspark.sql import types as T
 from dnsketch.llm.common import batches_of
 
 SPACE = "▁"
-MEMO = 400_000  # remembered pieces of text
+MEMO = 250_000  # remembered pieces of text, in each of two generations
 MEMO_CHARS = 48  # longer ones are merged anew each time
 SHORT = 32  # up to here the agenda is a plain list, scanned for its best entry; beyond, a heap
 
@@ -87,7 +90,8 @@ class PieceBpe:
         safe = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         line = "\n" if not any("\n" in p for p in self.ids) else ""
         self.cut = re.compile(f"{line}|{SPACE}*[^{SPACE}{line}]+|{SPACE}+" if line else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.S) if safe else re.compile(".+", re.S)
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, s: str) -> list[int]:
         """The ids of one piece of text, by the agenda."""
@@ -147,23 +151,50 @@ class PieceBpe:
                     out.append(self.unk)
         return out
 
+    def packed(self, texts: list[str | None], end: bool = True) -> tuple[list[bytes], bool]:
+        """The ids of each text as little-endian 32-bit numbers, and whether the library agrees on every new piece of text.
+
+        Pieces seen lately are remembered in two generations: when the newer is full, it becomes the older one.
+        """
+        out, fresh = [], []
+        tail = self.eos.to_bytes(4, "little") if end else b""
+        new, old = self.memo, self.older
+        for text in texts:
+            if not text:
+                out.append(tail)
+                continue
+            parts = self.cut.findall((SPACE if self.dummy else "") + text.replace(" ", SPACE))
+            got = list(map(new.get, parts))
+            if None in got:
+                for i, x in enumerate(got):
+                    if x is None:
+                        s = parts[i]
+                        x = new.get(s) or old.get(s)
+                        if x is None:
+                            x = array("i", self.merge(s)).tobytes()
+                            fresh.append((s, x))
+                        if len(s) <= MEMO_CHARS:
+                            new[s] = x
+                        got[i] = x
+                if len(new) >= MEMO:
+                    old, new = new, {}
+            got.append(tail)
+            out.append(b"".join(got))
+        self.memo, self.older = new, old
+        return out, self.confirmed(fresh)
+
+    def confirmed(self, fresh: list[tuple[str, bytes]]) -> bool:
+        """The library, too, gives these pieces of text these ids. Behind a line feed no space mark is put before a text."""
+        lead = [self.bytes.get(10, -1)] if "\n" not in self.ids else None
+        if not self.dummy or lead is None:
+            theirs = self.library.encode([s for s, _ in fresh], num_threads=1) if not self.dummy else [list(array("i", x)) for _, x in fresh]
+            return all(array("i", x).tolist() == t for (_, x), t in zip(fresh, theirs, strict=True))
+        theirs = self.library.encode(["\n" + s for s, _ in fresh], num_threads=1)
+        skip = self.library.encode("\n")
+        return all(skip + array("i", x).tolist() == t for (_, x), t in zip(fresh, theirs, strict=True))
+
     def encode(self, text: str | None, end: bool = True) -> list[int]:
-        out: list[int] = []
-        if text:
-            marked = (SPACE if self.dummy else "") + text.replace(" ", SPACE)
-            memo = self.memo
-            for s in self.cut.findall(marked):
-                ids = memo.get(s)
-                if ids is None:
-                    ids = self.merge(s)
-                    if len(s) <= MEMO_CHARS:
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        memo[s] = ids
-                out += ids
-        if end:
-            out.append(self.eos)
-        return out
+        return array("i", self.packed([text], end)[0][0]).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined, byte pieces gathered as UTF-8 (a bad byte gives U+FFFD), the leading mark dropped."""
@@ -196,8 +227,14 @@ class PieceBpe:
         return "".join(out)
 
 
+@cache
+def loaded(model: str) -> PieceBpe:
+    """One per Python worker, so that what is remembered outlives a task."""
+    return PieceBpe(model)
+
+
 def encode_decode(df: DataFrame, model: str, text: str = "text", end: bool = True) -> DataFrame:
-    """df with columns ids array<int>, decoded string, and agrees boolean (the library's ids and text are the same).
+    """df with columns ids array<int>, decoded string, and agrees boolean (so does the library, for the row's batch of newly merged pieces and its decoded text).
 
     Columns of df with those names are replaced. The model path must be readable on every executor.
     """
@@ -206,17 +243,16 @@ def encode_decode(df: DataFrame, model: str, text: str = "text", end: bool = Tru
     place = rest.index(text)
 
     def run(batches):
-        bpe = PieceBpe(model)
+        bpe = loaded(model)
         for whole in batches:
-            for batch in batches_of(whole, place):
-                texts = batch.column(place).to_pylist()
-                ids = [bpe.encode(t, end) for t in texts]
+            for batch in batches_of(whole, place, 2 << 20):
+                packed, agrees = bpe.packed(batch.column(place).to_pylist(), end)
+                flat = np.frombuffer(b"".join(packed), "<i4")
+                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)
+                ids = [x.tolist() for x in np.split(flat, offsets[1:-1])]
                 decoded = [bpe.decode(x) for x in ids]
-                plain = [t or "" for t in texts]
-                theirs = bpe.library.encode(plain, add_eos=end, num_threads=1)
-                back = bpe.library.decode(theirs)
-                ok = [a == b and c == d for a, b, c, d in zip(ids, theirs, decoded, back, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string()), pa.array(ok)], names=[f.name for f in schema])
+                ok = [agrees and a == b for a, b in zip(decoded, bpe.library.decode(ids), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(decoded, pa.string()), pa.array(ok)], names=[f.name for f in schema])
 
     return df.select(*rest).mapInArrow(run, schema)
 
