@@ -68,7 +68,8 @@ class Model:
     def above(self, x: dict[int, float]) -> np.ndarray:
         """P(grade > k) for k = 0, 1, ..."""
         eta = sum(self.weights[i] * v for i, v in x.items())
-        return 1 / (1 + np.exp(np.clip(self.thresholds - eta, -500, 500)))
+        with np.errstate(over="ignore"):
+            return 1 / (1 + np.exp(self.thresholds - eta))
 
 
 def _counted(batches):
