@@ -85,6 +85,18 @@ def fallback_matches(hosts: DataFrame, names: DataFrame, host: str = "host", nam
     return got.select(host, F.coalesce("_exact", "_domain").alias("matched")).filter("matched is not null")
 
 
+def registrable_by_list(hosts: DataFrame, public: DataFrame, host: str = "host", suffix: str = "suffix") -> DataFrame:
+    """host, domain: the longest listed public suffix and one label before it; the last two labels where none is listed.
+
+    A host that is itself a public suffix has no domain of its own (null).
+    """
+    h = hosts.select(host).distinct().withColumn("_suffix", F.explode(suffixes(F.col(host))))
+    listed = h.join(public.select(F.col(suffix).alias("_suffix")).distinct(), "_suffix").groupBy(host).agg(F.max(F.size(F.split("_suffix", r"\."))).alias("_n"))
+    labels = F.split(F.col(host), r"\.")
+    own = F.when(F.col("_n").isNull(), registrable(F.col(host))).when(F.size(labels) > F.col("_n"), F.concat_ws(".", F.slice(labels, F.size(labels) - F.col("_n"), F.col("_n") + 1)))
+    return hosts.select(host).distinct().join(listed, host, "left").select(host, own.alias("domain"))
+
+
 def complete_days(periods: DataFrame, length: int, end: str = "period_end") -> DataFrame:
     """Days with as many states as they have periods. A state counts for the day in which it ends."""
     need = 86_400 // length

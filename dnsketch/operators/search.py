@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dnsketch.functions.bits import has_bit
 from dnsketch.functions.formulas import actual_fpr, approx_count, fill_rate
 from dnsketch.functions.hashing import offsets_udf
 from dnsketch.model import BUCKET_BITS, JOB
@@ -43,12 +44,6 @@ def probe(hashes: DataFrame, state: State, periods: Column | None = None) -> Dat
     return hit.groupBy("period_end", "hex", "filter_idx").agg(F.sum("n").alias("n")).filter(F.col("n") == min(cfg.hashes, cfg.bits)).select("period_end", "hex", "filter_idx")
 
 
-def has_bit(bitmap: Column, p: Column) -> Column:
-    """Whether bit p of a bitmap is set: byte p div 8, bit p mod 8."""
-    byte = F.conv(F.hex(F.substring(bitmap, (F.shiftright(p, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.call_function("shiftrightunsigned", byte, p.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1)) == 1
-
-
 def host_hits(jobs: DataFrame, state: State) -> DataFrame:
     """period_end, job_id, group_no, group_id, host_key, hits, mask of each job host and period; 0 and no bits where missed.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dnsketch.functions import formulas, names
+from dnsketch.functions import bits, formulas, names
 from dnsketch.functions.hashing import offsets_udf
 from dnsketch.model import SINGLE, TINY, BloomConfig, lookup_combination
 from dnsketch.operators import analyst, hll, metrics, search, sketch
@@ -602,3 +602,60 @@ def subnet_definitions_match(spark, d):
     text = one.agg(F.concat(F.lit('{"subnet_activity":['), F.concat_ws(",", F.array_sort(F.collect_list("e"))), F.lit(",]}")).alias("value"))
     who = _log(spark, d).select("client").distinct().withColumn("a", address(F.col("client"))).select("client", "a.af", "a.bits")
     return match_bits(who, subnet_definitions(text)).select("client", "entity")
+
+
+# ---- bits
+
+
+@query("SELECT event_id, xor(user_id, 5) | 64 AS with_bit, (xor(user_id, 5) | 8) - 8 AS without, (xor(user_id, 5) >> 1) % 2 = 1 AS has, bit_count(xor(user_id, 5))::BIGINT AS n, (xor(user_id, 5) & 6) = 6 AS every, (xor(user_id, 5) & 6) <> 0 AS some FROM events")
+def mask_operations(spark, d):
+    """Set, clear, test and count bits of 64-bit masks."""
+    m = F.col("user_id").bitwiseXOR(F.lit(5))
+    return dnslog.table(spark, d, "events").select("event_id", bits.set_bit(m, 6).alias("with_bit"), bits.clear_bit(m, 3).alias("without"), bits.test_bit(m, 1).alias("has"), F.bit_count(m).cast("long").alias("n"), bits.all_set(m, F.lit(6)).alias("every"), bits.any_set(m, F.lit(6)).alias("some"))
+
+
+@query("""WITH s AS (SELECT DISTINCT event_type, user_id FROM events), n AS (SELECT count(DISTINCT event_type) AS n FROM s)
+SELECT (SELECT count(DISTINCT user_id) FROM s) AS either, (SELECT count(*) FROM (SELECT user_id FROM s GROUP BY user_id HAVING count(*) = (SELECT n FROM n))) AS every""")
+def bitmap_operations(spark, d):
+    """Users of any and of every event type, from the union and the intersection of bitmaps."""
+    e = dnslog.table(spark, d, "events").filter("user_id is not null")
+    b = e.groupBy("event_type", F.floor(F.col("user_id") / 32768).alias("bucket")).agg(F.bitmap_construct_agg(F.col("user_id") % 32768).alias("b"))
+    kinds = e.agg(F.count_distinct("event_type")).scalar()
+    u = b.groupBy("bucket").agg(F.bitmap_or_agg("b").alias("any"), F.bitmap_and_agg("b").alias("all"), F.count(F.lit(1)).alias("k"))
+    return u.agg(F.sum(F.bitmap_count("any")).alias("either"), F.coalesce(F.sum(F.when(F.col("k") == kinds, F.bitmap_count("all"))), F.lit(0)).alias("every"))
+
+
+@query(f"""WITH t AS (SELECT DISTINCT user_id, sha256(user_id::VARCHAR) AS h FROM events), w AS (SELECT user_id, {o.word('h', 0)}::UHUGEINT AS a, {o.word('h', 1)}::UHUGEINT AS b FROM t)
+SELECT user_id, ((a * 1048573 // {o.TWO64}::UHUGEINT + b * 1048573) // {o.TWO64}::UHUGEINT)::BIGINT AS overflow, ((a * 1048573) % 65536)::BIGINT AS low FROM w""")
+def bignum_product(spark, d):
+    """128-bit numbers times a 32-bit factor, as a carry chain on 16-bit limbs."""
+    t = dnslog.table(spark, d, "events").select("user_id").distinct()
+    p = bits.times(bits.limbs(F.substring(F.sha2(F.col("user_id").cast("string"), 256), 1, 32)), F.lit(1048573))
+    return t.select("user_id", p.alias("p")).select("user_id", F.col("p.overflow").alias("overflow"), F.get("p.limbs", F.lit(0)).alias("low"))
+
+
+@query(o.with_(*o.BASE, _DRY.replace("'hour'", "'day'"), last=f"SELECT {_secs('w')} AS window_start, count(DISTINCT token) AS n FROM d GROUP BY w"))
+def dryrun_daily(spark, d):
+    return metrics.distinct_tokens(_lookups(spark, d), 86_400).withColumn("window_start", secs("window_start"))
+
+
+@query(o.with_(o.HOSTS, last="SELECT DISTINCT host, CASE WHEN regexp_matches(host, '(^|\\.)example\\.(com|net)$') THEN (CASE WHEN len(l) > 2 THEN array_to_string(l[-3:], '.') END) ELSE array_to_string(l[-2:], '.') END AS domain FROM (SELECT host, string_split(host, '.') AS l FROM hosts)"))
+def registrable_list(spark, d):
+    """Registrable domains by a list of public suffixes (here two), else the last two labels."""
+    public = spark.createDataFrame([("example.com",), ("com",), ("example.net",)], "suffix string")
+    return analyst.registrable_by_list(dnslog.page_hosts(spark, d), public)
+
+
+@query(o.with_(o.HOSTS, o.LOG, last="SELECT 'Instrumentation: n_proc=' || count(*) || ',n_acc=' || count(*) FILTER (ok) || ',n_skip=0,n_qsec=' || count(*) // 60 || ',n_qa=' || count(*) FILTER (ok AND qtype = 'A') || ',n_qaaaa=' || count(*) FILTER (ok AND qtype = 'AAAA') || ',n_qns=' || count(*) FILTER (ok AND qtype = 'NS') || ',n_qmx=' || count(*) FILTER (ok AND qtype = 'MX') || ',n_qptr=' || count(*) FILTER (ok AND qtype = 'PTR') || ',n_qcat=0,n_qncat=' || count(*) FILTER (ok) || ',n_invfrm=0' AS line, epoch(date_trunc('minute', ts))::BIGINT AS minute FROM (SELECT *, qclass = 'IN' AND qtype IN ('A','NS','MX','AAAA','PTR') AS ok FROM log) GROUP BY minute"))
+def instrument_lines(spark, d):
+    """The counters as log lines."""
+    c = metrics.counters(_log(spark, d), None, F.window("ts", "60 seconds")["start"])
+    return metrics.counter_line(c).select(secs("window_start").alias("minute"), "line")
+
+
+@query(o.with_(*_FOUND, o.REGS.replace("hashes AS", o.CLIENTS + ",\nhashes AS"), "est AS (" + o.hll_estimate("(SELECT period_end, reg, rank FROM regs WHERE kind = 'client')", "period_end") + ")", last=f"SELECT {_secs('period_end')} AS period_end, estimate AS est_clients, count(DISTINCT hex) AS names_hit FROM found JOIN est USING (period_end) GROUP BY ALL"))
+def clients_of_hits(spark, d):
+    """Roughly how many clients a day had, beside the number of campaign names it had."""
+    s = _state(spark, d, SINGLE)
+    found = search.probe(_asked(spark, d).select(F.sha2("token", 256).alias("hex")), s).groupBy("period_end").agg(F.count_distinct("hex").alias("names_hit"))
+    return s.header.join(found, "period_end").select(secs("period_end").alias("period_end"), "est_clients", "names_hit")

@@ -149,3 +149,33 @@ def test_addresses(spark):
     for bad in ("1.2.3.4:0", "1.2.3.4:70000", "nonsense"):
         with pytest.raises(ValueError):
             inet.endpoint(bad)
+
+
+def test_bits(spark):
+    from dnsketch.functions import bits
+
+    r = spark.range(1).select(bits.set_bit(F.lit(0).cast("long"), 40), bits.clear_bit(F.lit(7).cast("long"), 1), bits.test_bit(F.lit(4).cast("long"), 2), bits.bits_of(F.lit(37).cast("long"))).first()
+    assert list(r) == [1 << 40, 5, True, [0, 2, 5]]
+
+
+def test_bignum_times_three(spark):
+    from dnsketch.functions import bits
+
+    h = "01020304020304050304050606070809"
+    want, n = int.from_bytes(bytes.fromhex(h), "little"), bits.limbs(F.lit(h))
+    over = []
+    for _ in range(4):
+        p = spark.range(1).select(bits.times(n, F.lit(3)).alias("p")).first()["p"]
+        over.append(p["overflow"])
+        want = want * 3 % (1 << 128)
+        assert sum(x << 16 * i for i, x in enumerate(p["limbs"])) == want
+        n = F.array(*[F.lit(x).cast("long") for x in p["limbs"]])
+    assert over == [0, 0, 0, 2]
+
+
+def test_bits_of_a_bitmap(spark):
+    from dnsketch.functions import bits
+
+    b = spark.createDataFrame([(0,), (9,), (32767,)], "p int").agg(F.bitmap_construct_agg("p").alias("b"))
+    got = b.select(*[bits.has_bit(F.col("b"), F.lit(p)) for p in (0, 1, 9, 8, 32767, 32766)]).first()
+    assert list(got) == [True, False, True, False, True, False]
