@@ -163,21 +163,46 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def words_of(texts: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray]:
-    """All words between ASCII white space as one binary array, and the number of words of each text (null: none)."""
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def words_of(texts: pa.Array, lower: bool, stops: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """All words between ASCII white space as one binary array, and the number of words of each text (null: none).
+
+    stops: a full stop or comma at the end of a word is a word of its own if an ASCII letter or digit, or a letter of
+    Latin-1, stands before it.
+    """
     t = pc.fill_null(texts.cast(pa.large_string()), "")
     offsets = np.frombuffer(t.buffers()[1], np.int64)[t.offset : t.offset + len(t) + 1]
     data = np.frombuffer(t.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     ends = offsets - offsets[0]
-    solid = ~SPACE[data]
+    space = SPACE[data]
+    solid = ~space
     first = solid.copy()
-    first[1:] &= ~solid[:-1]
-    first[ends[:-1][(ends[:-1] < len(data))]] |= True  # a text starts a word of its own
-    first &= solid
-    before = np.concatenate([[0], np.cumsum(first)])
-    counts = before[ends[1:]] - before[ends[:-1]]
-    place = np.concatenate([[0], np.cumsum(solid)])
-    bounds = np.append(place[:-1][first], place[-1]).astype(np.int64)
+    first[1:] &= space[:-1]
+    inner = ends[:-1][ends[:-1] < len(data)]
+    first[inner] = solid[inner]  # a text starts a word of its own
+    if stops and len(data):
+        last = np.append(space[1:], True)
+        last[ends[1:][ends[1:] > 0] - 1] = True
+        at = np.flatnonzero(last & ((data == 46) | (data == 44)) & ~first)
+        before = data[at - 1]
+        latin = (data[np.maximum(at - 2, 0)] == 0xC3) & (at > 1) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)
+        first[at[ALNUM[before] | latin]] = True
+    starts = np.flatnonzero(first)
+    bounds = starts - np.searchsorted(np.flatnonzero(space), starts)
     body = data[solid]
+    bounds = np.append(bounds, len(body)).astype(np.int64)
+    counts = np.diff(np.searchsorted(starts, ends))
     body = LOWER[body] if lower else body
-    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(body)]), counts
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(body)]), counts
+
+
+def listed(words: pa.Array) -> list[bytes]:
+    """The words of a binary array (none has a space) as a list, without an Arrow scalar for each."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    out = np.full(len(data) + len(words), 32, np.uint8)
+    out[np.arange(len(data)) + np.repeat(np.arange(len(words)), np.diff(offsets))] = data
+    return out.tobytes().split(b" ")[:-1]

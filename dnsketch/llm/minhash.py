@@ -4,8 +4,9 @@ A document's set holds its distinct shingles of five words. SuperMinHash gives e
 the slots with increasing ranks; a slot keeps the smallest rank value that fell on it, and a document is finished once
 every slot is below the next rank. Documents with equal sets are one representative from the start. Representatives
 that share a band are compared with a pivot of that band, never all with all: first with its smallest id, then with the
-member most like that pivot (in a group of noisy copies: their original); what is still in several components is then
-compared across components only. Each compared pair is confirmed on the full sets of the whole texts.
+member most like that pivot (in a group of noisy copies: their original). What is still in several components is
+compared across components only: pair by pair in small bands, block by block and without a row per pair in large ones.
+Each compared pair is confirmed on the full sets of the whole texts.
 
 Chance that a pair at exactly 0.75 shares no band: (1 - 0.75^5)^36, about 6 in 100,000.
 
@@ -21,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dnsketch.llm.common import Scratch, batches_of, components, words_of
+from dnsketch.llm.common import Scratch, UnionFind, batches_of, components, listed, words_of
 
 WORDS, ROWS, BANDS = 5, 5, 36
 SLOTS = ROWS * BANDS
+FEW = 48  # members of a band up to which it is compared pair by pair in the last step
+BLOCK, BLOCK_ELEMENTS = 400, 200_000  # members, or elements of their sets, of a block
 AT_ONCE = 60_000  # elements whose permutations are in memory
 LIKE = (75, 100)  # linked: LIKE[1] * intersection >= LIKE[0] * union
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -43,7 +46,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
     flat, counts = words_of(texts, lower=True)
     d = flat.dictionary_encode()
-    of = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in d.dictionary.to_pylist()), np.uint64, len(d.dictionary))
+    of = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in listed(d.dictionary)), np.uint64, len(d.dictionary))
     return of[np.asarray(d.indices)] if len(of) else np.zeros(0, np.uint64), counts
 
 
@@ -199,12 +202,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", t
     like = scratch.save(_verified(pairs, texts), "like2")
     links = links.union(like.filter("like > 0").select("x", "y"))
     live = _unsettled(live, links, scratch)
-    # 3: what is still in several components, across these
-    a, b = (live.select("key", F.col("m").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}")) for x in "xy")
+    # 3: what is still in several components, across these: in small bands pair by pair, in large ones block by block
+    size = scratch.save(live.groupBy("key").agg(F.count(F.lit(1)).alias("of")), "size")
+    live = scratch.save(live.join(size, "key"), "live")
+    few = live.filter(F.col("of") <= FEW)
+    a, b = (few.select("key", F.col("m").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}")) for x in "xy")
     across = a.join(b, "key").filter(f"x < y and cx <> cy and least(nx, ny) * {LIKE[1]} >= greatest(nx, ny) * {LIKE[0]}")
     pairs = scratch.save(across.select("x", "y").distinct(), "pairs")
     like = scratch.save(_verified(pairs, texts), "like3")
-    links = links.union(like.filter("like > 0").select("x", "y"))
+    links = links.union(like.filter("like > 0").select("x", "y")).union(_in_blocks(live.filter(F.col("of") > FEW), texts, scratch))
 
     # repeated ids with different texts tie their sets together
     named = real.select("doc_id", "h1", "h2").join(same.select("h1", "h2", "rep"), ["h1", "h2"])
@@ -217,6 +223,53 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", t
     return out.select("doc_id", "n_shingles", alone.alias("component_id"), F.coalesce(F.col("doc_id") == alone, F.lit(True)).alias("kept"))
 
 
+def _in_blocks(live: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links between components of large bands, without a row per pair.
+
+    Large bands that share members are one cluster. Its stated queries are the members outside its largest component:
+    of any pair in two components, at least one is among them. Blocks of queries meet blocks of members in a task that
+    counts common elements through an inverted list and returns a union-find forest of the links.
+    """
+    lowest = live.groupBy("key").agg(F.min("m").alias("p"))
+    ties = live.select("key", "m").join(lowest, "key").select(F.col("m").alias("a"), F.col("p").alias("b"))
+    cluster = scratch.save(components(ties, scratch).toDF("m", "cl"), "cluster")
+    # one component and size for each member; a bare band of one member has no tie and no pair either
+    of = live.groupBy("m").agg(F.min("c").alias("c"), F.max("n").alias("n")).join(cluster, "m")
+    of = scratch.save(of, "of")
+    big = of.groupBy("cl", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("cl").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("big"))
+    mark = of.join(big, "cl").withColumn("asks", F.col("c") != F.col("big"))
+    cost = F.sum(F.lit(1.0 / BLOCK) + F.col("n") / BLOCK_ELEMENTS)
+    plan = mark.groupBy("cl").agg(F.ceil(cost).cast("int").alias("mb"), F.ceil(F.sum(F.when(F.col("asks"), F.lit(1.0 / BLOCK) + F.col("n") / BLOCK_ELEMENTS).otherwise(0.0))).cast("int").alias("qb")).filter("qb > 0")
+    mark = scratch.save(mark.join(plan, "cl").select("cl", "m", "c", "asks", "mb", "qb"), "mark")
+    full = scratch.save(mark.join(texts.withColumnRenamed("rep", "m"), "m"), "full")
+    deal = lambda n, salt: F.pmod(F.xxhash64("m", F.lit(salt)), F.col(n)).cast("int")
+    left = full.filter("asks").select(F.col("cl").alias("qcl"), F.col("m").alias("qm"), F.col("c").alias("qc"), F.col("text").alias("qt"), deal("qb", 1).alias("q"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("b"))
+    right = full.select("cl", "m", "c", "text", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), deal("mb", 2).alias("b"))
+    found = left.groupBy("qcl", "q", "b").cogroup(right.groupBy("cl", "q", "b")).applyInArrow(_block, "x long, y long")
+    return scratch.save(found, "blocks")
+
+
+def _block(left: pa.Table, right: pa.Table) -> pa.Table:
+    uf = UnionFind()
+    if left.num_rows and right.num_rows:
+        qs, ms = (shingle_sets(t[c].combine_chunks()) for t, c in ((left, "qt"), (right, "text")))
+        qn, mn = (np.array([len(s) for s in x], np.int64) for x in (qs, ms))
+        qid, mid, qc, mc = (np.asarray(t[c]) for t, c in ((left, "qm"), (right, "m"), (left, "qc"), (right, "c")))
+        elements = np.concatenate(qs)
+        order = np.argsort(elements, kind="stable")
+        elements, owner = elements[order], np.repeat(np.arange(len(qs)), qn)[order]
+        for k, s in enumerate(ms):
+            lo, hi = np.searchsorted(elements, s, "left"), np.searchsorted(elements, s, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+            both = np.bincount(owner[at], minlength=len(qs))
+            hit = (LIKE[1] * both >= LIKE[0] * (qn + mn[k] - both)) & (both > 0) & (qc != mc[k])
+            for j in np.flatnonzero(hit).tolist():
+                uf.union(int(qid[j]), int(mid[k]))
+    ends = [(x, uf.find(x)) for x in uf.up if uf.find(x) != x]
+    return pa.table({"x": pa.array([e[0] for e in ends], pa.int64()), "y": pa.array([e[1] for e in ends], pa.int64())})
+
+
 def _unsettled(live: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of live whose band still has members of several components, with their component c."""
     label = components(links.toDF("a", "b"), scratch)
