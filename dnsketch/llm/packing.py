@@ -12,6 +12,7 @@ equal rows gets which slot is arbitrary but each gets one. An empty table gives
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 from functools import cache
 
@@ -21,46 +22,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dnsketch.llm.common import Scratch, batches_of, ranked, words_of
+from dnsketch.llm.common import Scratch, batches_of, listed, ranked, words_of
 
-MEMO = 200_000  # remembered words, in each of two generations
+MEMO = 350_000  # remembered words, in each of two generations
 MEMO_CHARS = 64
 
 
 class WordTokenizer:
-    """Ids of a tokenizer that drops white space: words between ASCII spaces are tokenised apart and remembered."""
+    """Ids of a tokenizer that lowers case and drops white space: words between ASCII spaces are tokenised apart and
+    remembered, and so is a full stop or comma behind a letter, which such a tokenizer never joins with it."""
 
     def __init__(self, file: str, end: int):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
         self.library.encode_special_tokens = True
-        self.tail = end.to_bytes(4, "little")
+        self.end = end
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def packed(self, texts: pa.Array) -> list[bytes]:
-        """The ids of each text, then the end id, as little-endian 32-bit numbers."""
-        flat, counts = words_of(texts, lower=False)
-        ends = np.cumsum(counts).tolist()
+    def packed(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by the end id, and where each text ends."""
+        flat, counts = words_of(texts, lower=True, stops=True)
         d = flat.dictionary_encode()
-        words = [w.decode() for w in d.dictionary.to_pylist()]
-        new, old, of, fresh = self.memo, self.older, [], []
-        for i, w in enumerate(words):
-            x = new.get(w) or old.get(w)
+        words = [w.decode() for w in listed(d.dictionary)]
+        new, old = self.memo, self.older
+        of = list(map(new.get, words))
+        fresh = []
+        for i in [i for i, x in enumerate(of) if x is None]:
+            x = old.get(words[i])
             if x is None:
                 fresh.append(i)
-            elif w not in new:
-                new[w] = x
-            of.append(x)
+            else:
+                of[i] = new[words[i]] = x
         for i, e in zip(fresh, self.library.encode_batch_fast([words[i] for i in fresh], add_special_tokens=False), strict=True):
-            of[i] = x = np.array(e.ids, "<u4").tobytes()
+            of[i] = x = array("I", e.ids).tobytes()
             if len(words[i]) <= MEMO_CHARS:
                 new[words[i]] = x
         if len(new) >= MEMO:
             self.memo, self.older = {}, new
-        at = list(map(of.__getitem__, np.asarray(d.indices).tolist()))
-        return [b"".join(at[lo:hi]) + self.tail for lo, hi in zip([0, *ends], ends)]
+        # the ids of each word in turn, gathered for all texts at once
+        ids, n = np.frombuffer(b"".join(of), "<u4"), np.fromiter(map(len, of), np.int64, len(of)) // 4
+        at = np.asarray(d.indices)
+        start, size = (np.cumsum(n) - n)[at], n[at]
+        before = np.cumsum(size)
+        doc = np.repeat(np.arange(len(counts)), counts)
+        ends = np.concatenate([[0], before])[np.cumsum(counts)] + np.arange(1, len(counts) + 1)
+        out = np.full(int(size.sum()) + len(counts), self.end, "<u4")
+        k = np.arange(int(size.sum()))
+        out[k + np.repeat(doc, size)] = ids[k + np.repeat(start - (before - size), size)]
+        return out, ends
 
 
 @cache
@@ -81,18 +92,21 @@ def pieces(docs: DataFrame, file: str, length: int = 2048, end: int = 1, doc_id:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         t = loaded(file, end)
         for whole in batches:
-            for batch in batches_of(whole, 1, 4 << 20):
+            for batch in batches_of(whole, 1):
                 row, start, n, crc, total, ids = [], [], [], [], [], []
-                for i, x in enumerate(t.packed(batch.column(1))):
-                    for k in range(0, len(x), 4 * length):
-                        part = x[k : k + 4 * length]
+                tokens, ends = t.packed(batch.column(1))
+                lo = 0
+                for i, hi in enumerate(ends.tolist()):
+                    for k in range(lo, hi, length):
+                        part = tokens[k : min(k + length, hi)]
                         row.append(i)
-                        start.append(k // 4)
-                        n.append(len(part) // 4)
+                        start.append(k - lo)
+                        n.append(len(part))
                         crc.append(zlib.crc32(part))
-                        total.append(len(x) // 4)
+                        total.append(hi - lo)
                         if with_ids:
-                            ids.append(part)
+                            ids.append(part.tobytes())
+                    lo = hi
                 own = batch.column(0).take(pa.array(row, pa.int32()))
                 yield pa.RecordBatch.from_arrays([own, *[pa.array(c, pa.int64()) for c in (start, n, crc, total)], *[pa.array(ids, pa.binary())] * with_ids], names=names)
 
