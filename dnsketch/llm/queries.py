@@ -47,7 +47,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.grade(docs, model).select("doc_id", "severity", "toxic_p", "grade", F.col("rejected").alias("toxic"))
+    return toxicity.grade(docs, model).select("doc_id", "severity", "toxic_p", "grade", F.col("rejected").alias("toxic"), (~F.col("rejected")).alias("kept"))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,4 +116,30 @@ QUERIES = {
     "op10_lines": op10_lines,
 }
 
-SQL: dict[str, str] = {}
+#: The rows that two recursive steps below reach: every node with all nodes of its component.
+_REACH = "reach AS (SELECT id, id AS other FROM node UNION SELECT r.id, l.b FROM reach r JOIN link l ON l.a = r.other)"
+
+SQL: dict[str, str] = {
+    "op4_minhash": f"""WITH RECURSIVE w AS (
+  SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS x FROM documents),
+s AS (SELECT DISTINCT id, unnest(CASE WHEN len(x) >= 5 THEN list_transform(range(1, len(x) - 3), lambda i: array_to_string(x[i:i + 4], ' ')) WHEN len(x) > 0 THEN [array_to_string(x, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+hit AS (SELECT p.id AS a, q.id AS b, count(*) AS k FROM s p JOIN s q ON p.g = q.g AND p.id <> q.id GROUP BY ALL),
+link AS (SELECT a, b FROM hit JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE 100 * k >= 75 * (na.n + nb.n - k)),
+node AS (SELECT id FROM w),
+{_REACH}
+SELECT id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS component_id, id = min(other) AS kept FROM reach LEFT JOIN n USING (id) GROUP BY id""",
+    "op5_hnsw": f"""WITH RECURSIVE v AS (
+  SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT p.id AS a, q.id AS b FROM v p JOIN v q ON p.id <> q.id AND len(p.e) = len(q.e) WHERE list_cosine_similarity(p.e, q.e) >= 0.95),
+node AS (SELECT vec_id AS id FROM embeddings),
+{_REACH},
+n AS (SELECT a AS id, count(*) AS n FROM link GROUP BY a)
+SELECT id AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(other) AS component_id, id = min(other) AS kept FROM reach LEFT JOIN n USING (id) GROUP BY id""",
+    "op7_mtree": """WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q))
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s QUALIFY rank <= 5""",
+}
