@@ -4,7 +4,7 @@ Equal vectors are one point with a weight. Points are dealt to shards of at most
 builds each shard's graph (a hierarchy of ever fewer points with long links above, a ground layer with diverse links).
 Every point queries every shard, in blocks. In each block a sample of queries is audited against brute force over the
 shard; the beam is doubled until no audited link is missing, and queries whose beam is full of links get a wider one in
-any case. Beyond the widest beam the block is compared by brute force. Found pairs are confirmed by cosine in double
+any case. Beyond the widest beam, which costs as much as looking at the whole shard, queries are compared by brute force. Found pairs are confirmed by cosine in double
 precision; each task reduces its links to a union-find forest and counts, and the forests are joined.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing (n_links 0,
@@ -27,7 +27,7 @@ from dnsketch.llm.common import Scratch, UnionFind, components
 SHARD = 40_000  # points of one graph
 BLOCK = 8_192  # queries of one task
 LINKS = 16  # of a point in the upper layers; twice as many on the ground
-BEAM, WIDEST, BUILD_BEAM = 32, 1024, 40
+BEAM, WIDEST, BUILD_BEAM = 32, 128, 40
 AUDIT = 64  # queries of a block that are audited
 EXPAND = 4  # points expanded at once
 AT_ONCE = 512  # queries searched together
