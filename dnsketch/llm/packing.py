@@ -26,6 +26,7 @@ from dnsketch.llm.common import Scratch, batches_of, listed, ranked, words_of
 
 MEMO = 350_000  # remembered words, in each of two generations
 MEMO_CHARS = 64
+AT_ONCE = 20_000  # words that the library encodes at once; its results are large
 
 
 class WordTokenizer:
@@ -55,10 +56,12 @@ class WordTokenizer:
                 fresh.append(i)
             else:
                 of[i] = new[words[i]] = x
-        for i, e in zip(fresh, self.library.encode_batch_fast([words[i] for i in fresh], add_special_tokens=False), strict=True):
-            of[i] = x = array("I", e.ids).tobytes()
-            if len(words[i]) <= MEMO_CHARS:
-                new[words[i]] = x
+        for k in range(0, len(fresh), AT_ONCE):
+            some = fresh[k : k + AT_ONCE]
+            for i, e in zip(some, self.library.encode_batch_fast([words[i] for i in some], add_special_tokens=False), strict=True):
+                of[i] = x = array("I", e.ids).tobytes()
+                if len(words[i]) <= MEMO_CHARS:
+                    new[words[i]] = x
         if len(new) >= MEMO:
             self.memo, self.older = {}, new
         # the ids of each word in turn, gathered for all texts at once
