@@ -33,8 +33,9 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def plain(text: str) -> bytes:
-    """Lower-case words of letters, one space between: case, digits and signs say little of a language."""
-    return " ".join(LETTERS.findall(text.lower())).encode()
+    """Lower-case words of letters, one space between: case, digits and signs say little of a language. Empty without a letter."""
+    words = LETTERS.findall(text.lower())
+    return " ".join(words).encode() if any(c.isalpha() for w in words for c in w) else b""
 
 
 def learn(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
