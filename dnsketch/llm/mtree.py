@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from dnsketch.llm.common import Scratch
 
-TREE = 8_192  # rows of a tree
+TREE = 16_384  # rows of a tree
 QUERIES = 2_048  # queries of a task
-PAGE = 64  # entries of a page
+PAGE = 256  # entries of a page
 SCALE = 256
 
 
