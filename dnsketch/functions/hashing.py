@@ -11,7 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,6 +113,39 @@ def offsets_udf(m: int, k: int):
     return of
 
 
+def exploded_offsets(df: DataFrame, m: int, k: int, digest: str = "digest", filter_idx: str = "filter_idx") -> DataFrame:
+    """df without the digest (32 bytes) but with a row per offset, column o; rows go through as Arrow buffers.
+
+    A digest of another length, or none, gives no row.
+    """
+    rest = [c for c in df.columns if c != digest]
+    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField("o", T.LongType())])
+    at = rest.index(filter_idx)
+
+    def run(batches):
+        for batch in batches:
+            d = batch.column(len(rest))
+            n = pc.fill_null(pc.binary_length(d), 0)
+            if not pc.all(pc.equal(n, 32)).as_py():
+                batch = batch.filter(pc.equal(n, 32))
+                d = batch.column(len(rest))
+            if not batch.num_rows:
+                continue
+            start = np.frombuffer(d.buffers()[1], np.int32)[d.offset]
+            limbs = np.frombuffer(d.buffers()[2], np.uint8)[start : start + 32 * len(d)].view("<u4").reshape(len(d), 8).astype(np.uint64)
+            f = np.asarray(batch.column(at))
+            rows, out = [], []
+            for idx in np.unique(f).tolist():
+                i = np.flatnonzero(f == idx)
+                o = offsets(filter_hash(limbs[i], int(idx)), m, k)
+                rows.append(np.repeat(i, o.shape[1]))
+                out.append(o.ravel())
+            take = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns[: len(rest)]), pa.array(np.concatenate(out))], names=[*rest, "o"])
+
+    return df.select(*rest, digest).mapInArrow(run, schema)
+
+
 def register(h: Column) -> Column:
     """HyperLogLog register: the low 14 bits."""
     return h.bitwiseAND(F.lit(16383)).cast("int")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dnsketch.functions.formulas import actual_fpr, approx_count, fill_rate
-from dnsketch.functions.hashing import murmur_of, offsets_udf, sha_low64
+from dnsketch.functions.hashing import exploded_offsets, murmur_of, sha_low64
 from dnsketch.functions.inet import ipv4_bytes
 from dnsketch.model import BUCKET_BITS, FPR_ALARM, VERSION, BloomConfig
 from dnsketch.operators import hll
@@ -60,15 +60,20 @@ def filter_tokens(rows: DataFrame, cfg: BloomConfig) -> DataFrame:
 
 
 def filter_offsets(tokens: DataFrame, cfg: BloomConfig) -> DataFrame:
-    """tokens with offsets array<long>; the hash is made by Spark, the 256-bit arithmetic in Arrow batches."""
-    return tokens.withColumn("offsets", offsets_udf(cfg.bits, cfg.hashes)(F.sha2("token", 256), F.col("filter_idx")))
+    """period_end, filter_idx, o: a row per bit of each token. Spark makes the hash, Arrow batches the 256-bit arithmetic."""
+    hashed = tokens.select("period_end", "filter_idx", F.unhex(F.sha2("token", 256)).alias("digest"))
+    return exploded_offsets(hashed, cfg.bits, cfg.hashes)
 
 
 def bitmaps(tokens: DataFrame, cfg: BloomConfig) -> DataFrame:
-    """period_end, filter_idx, bucket, bitmap: 4 KiB rows, least significant bit first."""
-    bits = filter_offsets(tokens, cfg).select("period_end", "filter_idx", F.explode("offsets").alias("o"))
-    bucket = F.floor(F.col("o") / BUCKET_BITS).cast("int").alias("bucket")
-    return bits.groupBy("period_end", "filter_idx", bucket).agg(F.bitmap_construct_agg((F.col("o") % BUCKET_BITS)).alias("bitmap"))
+    """period_end, filter_idx, bucket, bitmap: 4 KiB rows, least significant bit first.
+
+    Bits are dealt by bucket before they are gathered: a part of a bitmap takes 4 KiB however few bits it has, so parts
+    made before the shuffle would grow with tasks x buckets; bits grow with tokens only, and hashing spreads them evenly.
+    """
+    bits = filter_offsets(tokens, cfg).withColumn("bucket", F.floor(F.col("o") / BUCKET_BITS).cast("int"))
+    dealt = bits.repartition("period_end", "filter_idx", "bucket")
+    return dealt.groupBy("period_end", "filter_idx", "bucket").agg(F.bitmap_construct_agg((F.col("o") % BUCKET_BITS)).alias("bitmap"))
 
 
 def bits_set(bloom: DataFrame) -> DataFrame:

@@ -179,3 +179,13 @@ def test_bits_of_a_bitmap(spark):
     b = spark.createDataFrame([(0,), (9,), (32767,)], "p int").agg(F.bitmap_construct_agg("p").alias("b"))
     got = b.select(*[bits.has_bit(F.col("b"), F.lit(p)) for p in (0, 1, 9, 8, 32767, 32766)]).first()
     assert list(got) == [True, False, True, False, True, False]
+
+
+def test_exploded_offsets(spark):
+    digests = [bytes([i] * 32) for i in range(5)]
+    rows = [(f"k{i}", i % 3, d) for i, d in enumerate(digests)] + [("short", 0, b"x"), ("none", 1, None)]
+    df = spark.createDataFrame(rows, "key string, filter_idx int, digest binary").repartition(2)
+    got = sorted(tuple(r) for r in hashing.exploded_offsets(df, 4096, 3).collect())
+    want = [(f"k{i}", i % 3, o) for i, d in enumerate(digests) for o in hashing.offsets(hashing.filter_hash(hashing.limbs_of([d]), i % 3), 4096, 3)[0].tolist()]
+    assert got == sorted(want)
+    assert hashing.exploded_offsets(df.limit(0), 4096, 3).count() == 0
