@@ -90,3 +90,40 @@ def test_results(spark, tmp_path):
 def test_generated_queries_repeat(spark):
     a, b = (generator.random_queries(spark, 50).collect() for _ in range(2))
     assert a == b and all(5 <= len(r["qname"].split(".")[1]) <= 15 for r in a) and {r["qtype"] for r in a} <= set(generator.TYPES)
+
+
+def test_collector_and_its_stream(spark, tmp_path):
+    import asyncio
+
+    from dnsketch.sources.collector import Collector, control, dnstap_stream
+
+    folder, path = str(tmp_path / "drop"), str(tmp_path / "s.sock")
+    sent = [wire.encode_frame(100 + i, "10.0.0.1", f"h{i}.example", "A", "IN") for i in range(5)]
+    c = Collector(folder, most=3 * len(sent[0]))
+
+    async def play():
+        stop = asyncio.Event()
+        server = asyncio.create_task(c.run(path, stop))
+        while not (tmp_path / "s.sock").exists():
+            await asyncio.sleep(0.01)
+        r, w = await asyncio.open_unix_connection(path)
+        w.write(control(wire.READY, wire.CONTENT_TYPE))
+        answer = await r.readexactly(len(control(wire.ACCEPT, wire.CONTENT_TYPE)))
+        w.write(control(wire.START, wire.CONTENT_TYPE))
+        for f in [*sent, b"z" * (wire.LARGEST_FRAME + 1)]:
+            w.write(len(f).to_bytes(4, "big") + f)
+        w.write(control(wire.STOP))
+        end = await r.read()
+        r2, w2 = await asyncio.open_unix_connection(path)  # breaks the rules
+        w2.write((5).to_bytes(4, "big") + b"hello")
+        await r2.read()
+        stop.set()
+        await server
+        return answer, end
+
+    answer, end = asyncio.run(play())
+    assert answer == control(wire.ACCEPT, wire.CONTENT_TYPE) and end == control(wire.FINISH)
+    assert (c.skipped, c.broken) == (1, 1) and len(list((tmp_path / "drop").iterdir())) == 2
+    q = dnstap_stream(spark, folder, 1).writeStream.format("memory").queryName("taps").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r["qname"] for r in spark.table("taps").collect()) == [f"h{i}.example." for i in range(5)]
