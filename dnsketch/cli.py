@@ -18,6 +18,7 @@ from dnsketch.functions.inet import address, ipv4_number
 from dnsketch.functions.names import normalised
 from dnsketch.operators import metrics, search, sketch
 from dnsketch.operators.lpm import match_bits
+from dnsketch.operators.report import info_text
 from dnsketch.session import session
 from dnsketch.sources import files
 from dnsketch.sources.dnslog import accepted, client_query
@@ -57,12 +58,13 @@ def search_(a, spark):
 
 def info(a, spark):
     state = sketch.load(spark, a.state, files.bloom_config(files.config(a.config)))
-    rows = state.header.join(sketch.filter_info(state), "period_end").orderBy("period_end", "filter_idx")
-    for r in rows.toLocalIterator():
-        if a.plot:
+    if a.plot:
+        rows = state.header.join(sketch.filter_info(state), "period_end").orderBy("period_end", "filter_idx")
+        for r in rows.toLocalIterator():
             print(f"{int(r['period_begin'].timestamp())},{r['estimate']}")
-        else:
-            print(f"{r['period_end']:%Y-%m-%dT%H:%M:%S} requests {r['number_of_requests']} clients {r['est_clients']} host names {r['est_host_names']} filter {r['filter_idx'] + 1}: bits set {r['bits_set']} (estimated {r['estimate']}), fill rate {r['fill_rate']:.10f}, false-positive rate {r['actual_fpr']:.10f}")
+    else:
+        for r in info_text(state).orderBy("period_end").toLocalIterator():
+            print(r["report"])
 
 
 def combine(a, spark):

@@ -659,3 +659,16 @@ def clients_of_hits(spark, d):
     s = _state(spark, d, SINGLE)
     found = search.probe(_asked(spark, d).select(F.sha2("token", 256).alias("hex")), s).groupBy("period_end").agg(F.count_distinct("hex").alias("names_hit"))
     return s.header.join(found, "period_end").select(secs("period_end").alias("period_end"), "est_clients", "names_hit")
+
+
+_LINES = f"""SELECT {_secs('period_end')} AS period_end, n AS number_of_requests, printf('%2d. Number of bits set: %10d (Estimated number of host names: %10d)', 1, b, {o.estimate('b', SINGLE)}) AS line
+  FROM (SELECT period_end, count(*) AS b FROM fb GROUP BY 1) JOIN (SELECT period_end, count(*) AS n FROM acc GROUP BY 1) USING (period_end)"""
+
+
+@query(o.with_(*o.BASE, o.TOKENS, o.bits_cte(SINGLE), last=_LINES))
+def info_sections(spark, d):
+    """Two facts read back from the text of the four-section report."""
+    from dnsketch.operators.report import info_text
+
+    r = info_text(_state(spark, d, SINGLE))
+    return r.select(secs("period_end").alias("period_end"), F.regexp_extract("report", r"Number of requests\s*: (\d+)", 1).cast("long").alias("number_of_requests"), F.regexp_extract("report", r"( 1\. Number of bits set.*)", 1).alias("line"))

@@ -25,7 +25,10 @@ def test_gather_search_info_combine_advise(spark, tmp_path, capsys):
     whole = json.loads(spark.read.text(str(tmp_path / "out")).first()["value"])
     assert whole["groups"] == [{"hostnames": {"o": 1, "s": 1, "w": 1}, "id": 4, "hits_by_all_hostnames": 0}] and whole["number_of_requests"] == 3 and whole["estimated_number_of_clients"] == 3
     cli.main(["info", "-c", cfg, "-f", day])
+    report = capsys.readouterr().out
+    assert [x for x in report.splitlines() if x.startswith("##")] == ["## Version information ##", "## Period information ##", "## Filter configuration ##", "## Filter information ##"]
+    assert "Number of requests            : 3" in report and "Estimated number of clients   : 3" in report and " 1. Number of bits set: " in report
     cli.main(["info", "-c", cfg, "-f", day, "-p"])
     cli.main(["advise", "-l", log])
     lines = capsys.readouterr().out.splitlines()
-    assert "requests 3 clients 3" in lines[0] and lines[1].startswith("1704") and len(lines) == 8
+    assert lines[0].startswith("1704") and len(lines) == 7
