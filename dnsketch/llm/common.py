@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -144,6 +145,15 @@ def components(edges: DataFrame, scratch: Scratch, one_task: int = ONE_TASK_LINK
     return members.union(members.select("component", "component").distinct()).toDF("node", "component")
 
 
+def release() -> None:
+    """Gives free memory back to the system at the end of a task: a Python worker outlives its tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc
+        pass
+
+
 def batches_of(batch: pa.RecordBatch, column: int, most: int = 8 << 20):
     """Slices of a batch whose text column has about so many bytes: very long texts do not pile up."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dnsketch.llm.common import batches_of, keep
+from dnsketch.llm.common import batches_of, keep, release
 
 UND = "und"
 SAMPLE = 400  # documents read for each language's dictionary, at most
@@ -110,6 +110,7 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text")
             for batch in batches_of(whole, place):
                 got = [c.predict(t) for t in batch.column(place).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())], names=names)
+        release()
 
     return df.select(*rest).mapInArrow(run, schema)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dnsketch.llm.common import Scratch, UnionFind, batches_of, components, listed, words_of
+from dnsketch.llm.common import Scratch, UnionFind, batches_of, components, listed, release, words_of
 
 WORDS, ROWS, BANDS = 5, 5, 36
 SLOTS = ROWS * BANDS
@@ -126,7 +126,7 @@ def _sketched(batches):
     import xxhash
 
     for whole in batches:
-        for batch in batches_of(whole, 1):
+        for batch in batches_of(whole, 1, 4 << 20):
             sets = shingle_sets(batch.column(1))
             keys = band_keys(signatures(sets))
             digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
@@ -134,6 +134,7 @@ def _sketched(batches):
             two = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(two[:, 0]), pa.array(two[:, 1]), bands], names=["doc_id", "n", "h1", "h2", "bands"])
+    release()
 
 
 def _confirmed(batches):
@@ -160,6 +161,7 @@ def _confirmed(batches):
                 elif union:
                     like[i] = both / union - 1  # negative, but in order
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(like)], names=["a", "b", "like"])
+    release()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:

@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dnsketch.llm.common import Scratch, batches_of, listed, ranked, words_of
+from dnsketch.llm.common import Scratch, batches_of, listed, ranked, release, words_of
 
-MEMO = 350_000  # remembered words, in each of two generations
+MEMO = 100_000  # remembered words, in each of two generations
 MEMO_CHARS = 64
 AT_ONCE = 20_000  # words that the library encodes at once; its results are large
 
@@ -95,7 +95,7 @@ def pieces(docs: DataFrame, file: str, length: int = 2048, end: int = 1, doc_id:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         t = loaded(file, end)
         for whole in batches:
-            for batch in batches_of(whole, 1):
+            for batch in batches_of(whole, 1, 4 << 20):
                 row, start, n, crc, total, ids = [], [], [], [], [], []
                 tokens, ends = t.packed(batch.column(1))
                 lo = 0
@@ -112,6 +112,7 @@ def pieces(docs: DataFrame, file: str, length: int = 2048, end: int = 1, doc_id:
                     lo = hi
                 own = batch.column(0).take(pa.array(row, pa.int32()))
                 yield pa.RecordBatch.from_arrays([own, *[pa.array(c, pa.int64()) for c in (start, n, crc, total)], *[pa.array(ids, pa.binary())] * with_ids], names=names)
+        release()
 
     return docs.select(doc_id, text).mapInArrow(run, schema)
 

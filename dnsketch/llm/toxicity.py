@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dnsketch.llm.common import batches_of, keep
+from dnsketch.llm.common import batches_of, keep, release
 
 SAMPLE = 12_000  # labelled documents learned from, at most about this many (by a hash of the id)
 FEATURES = 2_000  # words and beginnings that are kept
@@ -155,6 +155,7 @@ def grade(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 p = np.array([model.above(model.vector(t)) for t in batch.column(place).to_pylist()]).reshape(batch.num_rows, GRADES)
                 each = np.hstack([np.ones((len(p), 1)), p]) - np.hstack([p, np.zeros((len(p), 1))])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array(each.argmax(1).astype("int32")), pa.array(p[:, 0] >= TOXIC)], names=[x.name for x in schema])
+        release()
 
     return df.select(*rest).mapInArrow(run, schema)
 
