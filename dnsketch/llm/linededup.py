@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dnsketch.llm.common import Scratch, batches_of
+from dnsketch.llm.common import Scratch, batches_of, release
 
 ANCHOR = 4  # words a unit needs to be hashed
 RUN = 25  # words a run of repeated units needs to go
@@ -104,6 +104,7 @@ def _digested(batches):
             ids = pc.fill_null(ids, sys.maxsize)
             arrays = [ids, pa.array(hashes, pa.int64()), *[pa.array(x, pa.int32()) for x in (start, end, words, seq)], pa.array(two[:, 0]), pa.array(two[:, 1])]
             yield pa.RecordBatch.from_arrays(arrays, names=["d", "h", "lo", "hi", "words", "k", "d1", "d2"])
+    release()
 
 
 def repeats(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -113,15 +114,18 @@ def repeats(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str
     place = F.struct("d", "h", "lo")
     first = every.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1", "d2", "first")
     first = scratch.save(first, "first")
-    again = every.join(first, ["d1", "d2"]).filter(place != F.col("first")).select("d", "h", "k", "lo", "hi", "words")
+    again = every.join(first, ["d1", "d2"]).filter(place != F.col("first")).select("d", "h", "k", "lo", "hi", "words", F.col("first.d").alias("of"))
     again = scratch.save(again, "again")
     scratch.drop("units", "first")
-    return again.groupBy("d", "h").agg(F.collect_set(F.struct("k", "lo", "hi", "words")).alias("runs"))
+    return again.groupBy("d", "h").agg(F.collect_set(F.struct("k", "lo", "hi", "words", "of")).alias("runs"))
 
 
-def spans(runs: list[dict], text: str, least: int = RUN) -> list[tuple[int, int]]:
-    """The spans of text that go: neighbouring repeated units with enough words together, and the space behind them."""
-    out: list[tuple[int, int]] = []
+def spans(runs: list[dict], text: str, least: int = RUN) -> list[tuple[int, int, list[int]]]:
+    """The spans of text that go: neighbouring repeated units with enough words together, and the space behind them.
+
+    With each span, the documents that have the earliest occurrences of its units.
+    """
+    out: list[tuple[int, int, list[int]]] = []
     runs = sorted(runs, key=lambda r: r["k"])
     i = 0
     while i < len(runs):
@@ -133,15 +137,16 @@ def spans(runs: list[dict], text: str, least: int = RUN) -> list[tuple[int, int]
             lo, hi = runs[i]["lo"], runs[j]["hi"]
             while hi < len(text) and text[hi].isspace():
                 hi += 1
-            out.append((lo, hi))
+            out.append((lo, hi, sorted({r["of"] for r in runs[i : j + 1]} - {sys.maxsize})))
         i = j + 1
     return out
 
 
 def without_repeats(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", least: int = RUN) -> DataFrame:
-    """docs with text without its repeated passages, and removed array<struct<start, end>> in the original text."""
+    """docs with text without its repeated passages, and removed array<struct<start, end, kept_in>>: offsets in the original text, and the
+    documents that keep what is removed (null ids are left out of that list)."""
     rest = [c for c in docs.columns if c != "removed"]
-    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kept_in", T.ArrayType(T.LongType()))])
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField("removed", T.ArrayType(span))])
     found = scratch.save(repeats(docs, scratch, doc_id, text), "runs")
     names = [*rest, "removed"]
@@ -159,12 +164,13 @@ def without_repeats(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", t
                 texts, gone = [], []
                 for t, runs in zip(batch.column(place).to_pylist(), batch.column(len(rest)).to_pylist(), strict=True):
                     s = spans(runs, t, least) if runs else []
-                    for lo, hi in reversed(s):
+                    for lo, hi, _ in reversed(s):
                         t = t[:lo] + t[hi:]
                     texts.append(t.rstrip() if s else t)
-                    gone.append([{"start": lo, "end": hi} for lo, hi in s])
+                    gone.append([{"start": lo, "end": hi, "kept_in": of} for lo, hi, of in s])
                 columns = [*batch.columns[:place], pa.array(texts, pa.string()), *batch.columns[place + 1 : len(rest)]]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=names)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kept_in", pa.list_(pa.int64()))])))], names=names)
+        release()
 
     marked = docs.select(*rest).mapInArrow(hashed, T.StructType([docs.schema[c] for c in rest] + [T.StructField("_h", T.LongType())]))
     own = F.coalesce(F.col(doc_id).cast("long"), F.lit(sys.maxsize))

@@ -195,6 +195,7 @@ def test_repeated_passages(spark):
     got = {r["doc_id"]: r for r in linededup.without_repeats(df, Scratch(spark)).collect()}
     assert got[0]["text"] == PASSAGE and got[1]["text"] == f"{own[0]} {own[1]}" and got[2]["text"] == f"{own[2]}\n{own[3]}"
     assert [got[i]["text"] for i in (3, 4, 5, 6, 7)] == texts[3:8] and got[8]["text"] == own[7]
+    assert [s["kept_in"] for i in (1, 2, 8) for s in got[i]["removed"]] == [[0], [0], [8]]
     for i, r in got.items():
         if r["removed"]:
             t = texts[i]
