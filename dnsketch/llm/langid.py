@@ -21,12 +21,12 @@ from dnsketch.llm.common import batches_of, keep, release
 
 UND = "und"
 SAMPLE = 400  # documents read for each language's dictionary, at most
-EXCERPT = 1024  # characters that one of them adds
+EXCERPT = 512  # bytes that one of them adds
 DICTIONARY = 32 << 10  # bytes of a dictionary
 LANGUAGES = 200  # most languages learned, the most frequent first
 BLOCK = 2048  # bytes compressed at once, so that a long text cannot become its own dictionary
 LEVEL, SHORT, SHORT_LEVEL = 6, 400, 19  # texts of up to SHORT bytes get the level that finds 3-byte matches
-MARGIN = 0.015  # a rejection below it
+MARGIN = 0.005  # a rejection below it
 FULL = 0.25  # a margin that gives score 1
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -51,20 +51,31 @@ def learn(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "tex
     space = 1 << 20
     bounds = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(space, -(-2 * SAMPLE * space // r[1]) + 8))])
     h = F.pmod(F.xxhash64(key), F.lit(space))
-    chosen = rows.filter(h < bounds[F.col(lang)]).select(F.col(lang).alias("lang"), h.alias("h"), F.col(key).alias("key"), F.substring(text, 1, 2 * EXCERPT).alias("text"))
+    chosen = rows.filter(h < bounds[F.col(lang)]).select(F.col(lang).alias("lang"), h.alias("h"), F.col(key).alias("key"), F.substring(text, 1, 4 * EXCERPT).alias("text"))
     chosen = chosen.orderBy("h", "key", "text").limit(3 * SAMPLE * len(counts)).collect()  # bounded by SAMPLE and LANGUAGES
-    out: dict[str, bytes] = {}
+    samples: dict[str, list[bytes]] = {}
     for name in [r[0] for r in counts]:
-        parts, seen, size = [], set(), 0
-        for r in [r for r in chosen if r["lang"] == name][:SAMPLE]:
-            b = plain(r["text"])[:EXCERPT]
-            if size < DICTIONARY and b not in seen:
-                seen.add(b)
-                parts.append(b)
-                size += len(b) + 1
-        body = b" ".join(parts)[:DICTIONARY]
-        if len(body) >= 8:
-            out[name] = body
+        parts = dict.fromkeys(plain(r["text"])[:EXCERPT] for r in [r for r in chosen if r["lang"] == name][:SAMPLE])
+        samples[name] = [b for b in parts if len(b) >= 8]
+    return _dictionaries(_agreed(samples))
+
+
+def _dictionaries(samples: dict[str, list[bytes]]) -> dict[str, bytes]:
+    """Excerpts joined up to the size of a dictionary; languages without any are left out."""
+    return {name: b" ".join(parts)[:DICTIONARY] for name, parts in samples.items() if parts}
+
+
+def _agreed(samples: dict[str, list[bytes]]) -> dict[str, list[bytes]]:
+    """Without excerpts that the dictionaries of the other half of the sample put in another language.
+
+    A wrong label would put a foreign text into a dictionary, and each of its copies would then fit there.
+    """
+    halves = [{name: parts[k::2] for name, parts in samples.items()} for k in (0, 1)]
+    judges = [Classifier(d) if len(d := _dictionaries(h)) > 1 else None for h in halves]
+    out: dict[str, list[bytes]] = {}
+    for name, parts in samples.items():
+        kept = [b for i, b in enumerate(parts) if (j := judges[1 - i % 2]) is None or j.best(b)[0] == name or name not in j.names]
+        out[name] = kept or parts
     return out
 
 
@@ -82,20 +93,23 @@ class Classifier:
         raw.precompute_compress(level=level)
         return zstandard.ZstdCompressor(dict_data=raw, write_content_size=False, write_dict_id=False, write_checksum=False)
 
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """(language, score, rejected)"""
-        b = plain(text) if text else b""
-        if not b or not self.names:
-            return UND, 0.0, True
+    def best(self, b: bytes) -> tuple[str, float]:
+        """(language, margin to the runner-up as a share of its size)"""
         compressors = self.levels[SHORT_LEVEL if len(b) <= SHORT else LEVEL]
         blocks = [b[i : i + BLOCK] for i in range(0, len(b), BLOCK)]
         sizes = [sum(len(c.compress(x)) for x in blocks) for c in compressors]
         order = sorted(range(len(sizes)), key=sizes.__getitem__)  # stable: ties to more training documents
-        best = order[0]
         if len(order) == 1:
-            return self.names[best], 1.0, False
-        margin = (sizes[order[1]] - sizes[best]) / sizes[order[1]]
-        return self.names[best], min(1.0, margin / FULL), margin < MARGIN
+            return self.names[order[0]], 1.0
+        return self.names[order[0]], (sizes[order[1]] - sizes[order[0]]) / sizes[order[1]]
+
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """(language, score, rejected)"""
+        b = plain(text) if text else b""
+        if not b or not self.names:
+            return UND, 0.0, True
+        name, margin = self.best(b)
+        return name, min(1.0, margin / FULL), margin < MARGIN
 
 
 def identify(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text") -> DataFrame:
@@ -120,7 +134,7 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def keep_identified(df: DataFrame, dictionaries: dict[str, bytes], shortest: int = 20) -> DataFrame:
+def keep_identified(df: DataFrame, dictionaries: dict[str, bytes], shortest: int = 100) -> DataFrame:
     """The rows that are not rejected, with df's columns.
 
     A text of fewer than ``shortest`` letters says too little for a margin to count against it and stays, if it has any.
