@@ -44,6 +44,8 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSED = frozenset("head script style noscript template iframe noframes nav header footer aside form menu dialog button select option input textarea svg canvas object embed audio video title xmp".split())
+# an item ends where the next begins, unless one of these lists is nearer
+ITEMS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 CLOSES_P = BLOCK - {"body", "html", "head"}
 # Words in class, id and role that name chrome
 CHROME = re.compile(
@@ -62,43 +64,56 @@ class Page:
         self.read(source)
 
     def read(self, s: str) -> None:
-        stack: list[tuple[str, str, bool, bool]] = []  # name, label, closed, article
+        # name, path, and whether it or anything above it is closed, an article, a block
+        stack: list[tuple[str, str, bool, bool, bool]] = []
         text: list[str] = []
-
-        def path() -> str:
-            return "/".join(x[1] for x in stack)
+        tokens, find, token = self.tokens, s.find, TOKEN.match
 
         def flush() -> None:
             if text:
-                t = SPACES.sub(" ", html.unescape("".join(text))).strip()
+                t = "".join(text)
                 text.clear()
+                if "&" in t:
+                    t = html.unescape(t)
+                t = " ".join(t.split())
                 if t:
-                    self.blocks.append((t, path(), any(x[2] for x in stack), any(x[3] for x in stack)))
+                    _, path, closed, article, _ = stack[-1] if stack else ("", "", False, False, False)
+                    self.blocks.append((t, path, closed, article))
 
         def shut(i: int) -> None:
             while len(stack) > i:
-                self.tokens.append("/" + path())
-                stack.pop()
+                tokens.append("/" + stack.pop()[1])
+
+        def innermost(name: str) -> int:
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == name:
+                    return i
+            return -1
 
         at, n = 0, len(s)
         while at < n:
-            m = TOKEN.search(s, at)
+            i = find("<", at)
+            m = token(s, i) if i >= 0 else None
+            while m is None and i >= 0:  # no tag: a plain sign
+                i = find("<", i + 1)
+                m = token(s, i) if i >= 0 else None
             if m is None:
                 text.append(s[at:])
                 break
-            if m.start() > at:
-                text.append(s[at : m.start()])
+            if i > at:
+                text.append(s[at:i])
             at = m.end()
             name = (m[2] or m[5] or "").lower()
             if not name:
                 continue
             if m[1] or m[4]:  # an end tag
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                if k is None:
+                k = innermost(name)
+                if k < 0:
                     continue
-                if any(x[0] in BLOCK for x in stack[k:]) or any(x[2] for x in stack[k:]):
+                inner = any(x[4] for x in stack[k:])
+                if inner or stack[-1][2]:
                     flush()
-                if name in BLOCK or not any(x[0] in BLOCK for x in stack[k:]):
+                if name in BLOCK or not inner:
                     shut(k)
                 continue
             if name in VOID:
@@ -107,30 +122,33 @@ class Page:
                 elif name == "hr":
                     flush()
                 continue
-            marks = {a.lower(): (v or "").strip("\"'") for a, v in MARK.findall(m[3] or "")}
-            names = " ".join(marks.get(a, "") for a in ("class", "id", "role"))
-            closed = name in CLOSED or "hidden" in marks or marks.get("aria-hidden") == "true" or bool(CHROME.search(names))
-            if name == "header" and any(x[3] for x in stack):
-                closed = bool(CHROME.search(names))  # an article's own heading
-            if name in BLOCK or closed:
+            block, closed, label, given = name in BLOCK, name in CLOSED, name, m[3]
+            in_article = bool(stack) and stack[-1][3]
+            if name == "header" and in_article:  # an article's own heading
+                closed = False
+            if given and not given.isspace():
+                marks = {x.lower(): (v or "").strip("\"'") for x, v in MARK.findall(given)}
+                names = " ".join(marks.get(x, "") for x in ("class", "id", "role"))
+                closed = closed or "hidden" in marks or marks.get("aria-hidden") == "true" or bool(CHROME.search(names))
+                if marks.get("class"):
+                    label += "." + ".".join(marks["class"].split())
+                if marks.get("id"):
+                    label += "#" + marks["id"]
+            if block or closed:
                 flush()
-            if name in CLOSES_P:
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-                if k is not None:
-                    shut(k)
-            if name in ("li", "dt", "dd", "td", "th", "tr", "option"):
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                stop = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("ul", "ol", "dl", "table", "tr" if name in ("td", "th") else "table", "select")), -1)
-                if k is not None and k > stop:
-                    shut(k)
-            label = name + (f".{SPACES.sub('.', marks['class'].strip())}" if marks.get("class") else "") + (f"#{marks['id']}" if marks.get("id") else "")
-            stack.append((name, label, closed, name in ARTICLE))
-            self.tokens.append(path())
+            if name in CLOSES_P and (k := innermost("p")) >= 0:
+                shut(k)
+            if name in ITEMS and (k := innermost(name)) >= 0 and k > max(innermost(x) for x in ITEMS[name]):
+                shut(k)
+            above = stack[-1] if stack else ("", "", False, False, False)
+            path = f"{above[1]}/{label}" if stack else label
+            stack.append((name, path, closed or above[2], in_article or name in ARTICLE, block))
+            tokens.append(path)
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(s, at)
                 at = end.end() if end else n
                 shut(len(stack) - 1)
-            elif (m[3] or "").rstrip().endswith("/"):
+            elif given and given.rstrip().endswith("/"):
                 shut(len(stack) - 1)
         flush()
         shut(0)
@@ -224,14 +242,15 @@ def main_text(source: str | None, template: dict[tuple[int, int], int] | None =
     for text, path, closed, article in page.blocks:
         if closed:
             continue
-        # a slot hangs on the innermost tag above it that a valid class of the template has
-        above, framed = path, not tags
-        while above and not framed:
-            framed = tags.get(h64(above) >> 1) in valid
-            above = above.rpartition("/")[0]
-        slots.append((text, article, (1, h64(path + "\0" + text) >> 1) in (template or {})))
-    inside = [t for t, article, _ in slots if article]
-    return "\n".join(inside if inside else [t for t, _, same in slots if not same])
+        same = bool(template) and (1, h64(path + "\0" + text) >> 1) in template
+        if same:  # a template's text hangs on a tag of one of its valid classes
+            above = path
+            while above and tags.get(h64(above) >> 1) not in valid:
+                above = above.rpartition("/")[0]
+            same = bool(above)
+        slots.append((text, article, same))
+    inside = [t for t, article, _ in slots if article] or [t for t, _, same in slots if not same]
+    return "\n".join(inside or [t for t, _, _ in slots])  # a host of copies of one page is not all template
 
 
 def extract(pages: DataFrame, scratch: Scratch, url: str = "url", source: str = "html", broadcast: int = BROADCAST) -> DataFrame:
