@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dnsketch.model import BIAS_TEXT, MURMUR_SEED, SINGLE, TINY, BloomConfig
+from dnsketch.model import BIAS_TEXT, MURMUR_SEED, BloomConfig
 
 M64 = "14313749767032793493"  # 0xc6a4a7935bd1e995
 TWO64 = "18446744073709551616"
