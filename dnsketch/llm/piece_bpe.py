@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from dnsketch.llm.common import batches_of
 
 SPACE = "▁"
-MEMO = 250_000  # remembered pieces of text, in each of two generations
+MEMO = 500_000  # remembered pieces of text, in each of two generations
 MEMO_CHARS = 48  # longer ones are merged anew each time
 SHORT = 32  # up to here the agenda is a plain list, scanned for its best entry; beyond, a heap
 
@@ -139,6 +139,10 @@ class PieceBpe:
         return sym
 
     def named(self, sym: list[str]) -> list[int]:
+        try:
+            return [self.ids[p] for p in sym if p]
+        except KeyError:  # a sign without a piece
+            pass
         out: list[int] = []
         for p in sym:
             if p:
