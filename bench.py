@@ -23,6 +23,8 @@ HEADLINE = (
 
 
 def main() -> None:
+    from dataclasses import replace
+
     from pyspark.sql import SparkSession
 
     from dnsketch.model import BENCH
@@ -44,10 +46,11 @@ def main() -> None:
         return round(time.perf_counter() - start, 3)
 
     took = {name: timed(lambda name=name: catalogue.QUERIES[name](spark, d)) for name in HEADLINE}
-    # ingest: the log with its organisations is laid down first, then sketched with 4 filters of 2^27 bits, 2 per client
+    # ingest: the log with its organisations is laid down first, then sketched with 4 filters of 2^27 bits, 2 per client,
+    # in one period (30 daily states of that size would be 2 GB of nearly empty bitmaps)
     rows = dnslog.lookups(dnslog.dns_log(spark, d), dims.entity_prefixes(spark, d)).persist()
     n = rows.count()
-    took["ingest"] = timed(lambda: sketch.build_state(rows, BENCH).bloom)
+    took["ingest"] = timed(lambda: sketch.build_state(rows, replace(BENCH, period=100 * 86_400)).bloom)
     out = {"metric": "headline_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": d.rstrip("/").rpartition("sf")[2], "lookups": n, "lookups_per_second": round(n / took["ingest"]), "cpus": cpus}
     print(json.dumps(out), flush=True)
     spark.stop()
