@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 
 from dnsketch.llm.common import Scratch, batches_of, listed, ranked, release, words_of
 
-MEMO = 100_000  # remembered words, in each of two generations
+MEMO = 120_000  # remembered words, in each of two generations
 MEMO_CHARS = 64
-AT_ONCE = 20_000  # words that the library encodes at once; its results are large
+AT_ONCE = 5_000  # words that the library encodes at once; its results are large
 
 
 class WordTokenizer:
@@ -42,8 +42,8 @@ class WordTokenizer:
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def packed(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, each followed by the end id, and where each text ends."""
+    def packed(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, then the end id, as little-endian 32-bit numbers."""
         flat, counts = words_of(texts, lower=True, stops=True)
         d = flat.dictionary_encode()
         words = [w.decode() for w in listed(d.dictionary)]
@@ -64,17 +64,11 @@ class WordTokenizer:
                     new[words[i]] = x
         if len(new) >= MEMO:
             self.memo, self.older = {}, new
-        # the ids of each word in turn, gathered for all texts at once
-        ids, n = np.frombuffer(b"".join(of), "<u4"), np.fromiter(map(len, of), np.int64, len(of)) // 4
-        at = np.asarray(d.indices)
-        start, size = (np.cumsum(n) - n)[at], n[at]
-        before = np.cumsum(size)
-        doc = np.repeat(np.arange(len(counts)), counts)
-        ends = np.concatenate([[0], before])[np.cumsum(counts)] + np.arange(1, len(counts) + 1)
-        out = np.full(int(size.sum()) + len(counts), self.end, "<u4")
-        k = np.arange(int(size.sum()))
-        out[k + np.repeat(doc, size)] = ids[k + np.repeat(start - (before - size), size)]
-        return out, ends
+        each = np.empty(len(of), object)
+        each[:] = of
+        at, tail = each[np.asarray(d.indices)], self.end.to_bytes(4, "little")
+        ends = np.cumsum(counts).tolist()
+        return [b"".join(at[lo:hi].tolist()) + tail for lo, hi in zip([0, *ends], ends)]
 
 
 @cache
@@ -95,21 +89,18 @@ def pieces(docs: DataFrame, file: str, length: int = 2048, end: int = 1, doc_id:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         t = loaded(file, end)
         for whole in batches:
-            for batch in batches_of(whole, 1, 4 << 20):
+            for batch in batches_of(whole, 1, 6 << 20):
                 row, start, n, crc, total, ids = [], [], [], [], [], []
-                tokens, ends = t.packed(batch.column(1))
-                lo = 0
-                for i, hi in enumerate(ends.tolist()):
-                    for k in range(lo, hi, length):
-                        part = tokens[k : min(k + length, hi)]
+                for i, x in enumerate(t.packed(batch.column(1))):
+                    for k in range(0, len(x), 4 * length):
+                        part = x[k : k + 4 * length]
                         row.append(i)
-                        start.append(k - lo)
-                        n.append(len(part))
+                        start.append(k // 4)
+                        n.append(len(part) // 4)
                         crc.append(zlib.crc32(part))
-                        total.append(hi - lo)
+                        total.append(len(x) // 4)
                         if with_ids:
-                            ids.append(part.tobytes())
-                    lo = hi
+                            ids.append(part)
                 own = batch.column(0).take(pa.array(row, pa.int32()))
                 yield pa.RecordBatch.from_arrays([own, *[pa.array(c, pa.int64()) for c in (start, n, crc, total)], *[pa.array(ids, pa.binary())] * with_ids], names=names)
         release()

@@ -123,8 +123,7 @@ def test_toxicity(spark):
 @settings(max_examples=150, deadline=None)
 def test_word_tokenizer_is_the_librarys(texts):
     t = packing.loaded(tokenizer_path("word_bpe_49k.json"), 1)
-    ids, ends = t.packed(pa.array(texts, pa.string()))
-    got = [x.tolist() for x in np.split(ids, ends[:-1])] if texts else []
+    got = [np.frombuffer(x, "<u4").tolist() for x in t.packed(pa.array(texts, pa.string()))]
     assert got == [t.library.encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
     words, counts = words_of(pa.array(texts, pa.string()), lower=True)
     assert [w.decode() for w in words.to_pylist()] == [w for x in texts for w in "".join(c.lower() if c.isascii() else c for c in x or "").split()]
