@@ -201,13 +201,13 @@ def _occurrences(batches):
         yield out()
 
 
-def templates(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
+def templates(pages: DataFrame, scratch: Scratch, url: str = "url", source: str = "html") -> DataFrame:
     """host, class_id (its occurrence vector), kind, token of every template token of every host.
 
     Only classes on at least SHARE of a host's pages are kept, so a host's rows are bounded by the tokens of a page.
     """
     got = pages.select(F.col(url).alias("url"), F.col(source).alias("html")).mapInArrow(_occurrences, "host string, kind int, token long, vector long, pages long, n long")
-    sums = got.groupBy("host", "kind", "token").agg((F.sum("vector") % VECTOR).alias("vector"), F.sum("pages").alias("pages"), F.sum("n").alias("n"))
+    sums = scratch.save(got.groupBy("host", "kind", "token").agg((F.sum("vector") % VECTOR).alias("vector"), F.sum("pages").alias("pages"), F.sum("n").alias("n")), "sums")
     hosts = sums.filter("kind = 2").select("host", F.col("pages").alias("of"))
     often = sums.filter("kind < 2 and pages > 1").join(hosts, "host").filter((F.col("of") >= PAGES) & (F.col("pages") >= SHARE * F.col("of")))
     return often.select("host", F.col("vector").alias("class_id"), "kind", "token", "pages", "n", "of")
@@ -255,7 +255,7 @@ def main_text(source: str | None, template: dict[tuple[int, int], int] | None =
 
 def extract(pages: DataFrame, scratch: Scratch, url: str = "url", source: str = "html", broadcast: int = BROADCAST) -> DataFrame:
     """pages with text string and n_chars long."""
-    found = scratch.save(templates(pages, url, source), "templates")
+    found = scratch.save(templates(pages, scratch, url, source), "templates")
     rest = [c for c in pages.columns if c not in ("text", "n_chars")]
     schema = T.StructType([pages.schema[c] for c in rest] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     names, u, s = [x.name for x in schema], rest.index(url), rest.index(source)
