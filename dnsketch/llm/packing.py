@@ -33,12 +33,12 @@ class WordTokenizer:
     """Ids of a tokenizer that lowers case and drops white space: words between ASCII spaces are tokenised apart and
     remembered, and so is a full stop or comma behind a letter, which such a tokenizer never joins with it."""
 
-    def __init__(self, file: str, end: int):
+    def __init__(self, file: str, end: int, memo: int = MEMO):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
         self.library.encode_special_tokens = True
-        self.end = end
+        self.end, self.most = end, memo
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -62,7 +62,7 @@ class WordTokenizer:
                 of[i] = x = array("I", e.ids).tobytes()
                 if len(words[i]) <= MEMO_CHARS:
                     new[words[i]] = x
-        if len(new) >= MEMO:
+        if len(new) >= self.most:
             self.memo, self.older = {}, new
         each = np.empty(len(of), object)
         each[:] = of
@@ -72,13 +72,16 @@ class WordTokenizer:
 
 
 @cache
-def loaded(file: str, end: int) -> WordTokenizer:
+def loaded(file: str, end: int, memo: int = MEMO) -> WordTokenizer:
     """One per Python worker, so that what is remembered outlives a task."""
-    return WordTokenizer(file, end)
+    return WordTokenizer(file, end, memo)
 
 
-def pieces(docs: DataFrame, file: str, length: int = 2048, end: int = 1, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids (binary, little-endian 32 bits) of each piece."""
+def pieces(docs: DataFrame, file: str, length: int = 2048, end: int = 1, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, memo: int = MEMO) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids (binary, little-endian 32 bits) of each piece.
+
+    memo: words that a Python worker remembers; more of them take memory and save time.
+    """
     import os
     import zlib
 
@@ -87,7 +90,7 @@ def pieces(docs: DataFrame, file: str, length: int = 2048, end: int = 1, doc_id:
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        t = loaded(file, end)
+        t = loaded(file, end, memo)
         for whole in batches:
             for batch in batches_of(whole, 1, 6 << 20):
                 row, start, n, crc, total, ids = [], [], [], [], [], []

@@ -82,7 +82,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dnsketch.llm import packing
 
     bounded(spark)
-    parts = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    parts = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), memo=300_000)
     return packing.pack(parts, Scratch(spark))
 
 
