@@ -3,9 +3,12 @@
 Tokens of a page are its tags (name, class and id, with the path they stand under) and its texts. Over the pages of one
 host, tokens with the same occurrence vector (how often they are on each page) form an equivalence class; vectors are
 compared by a sum of hashes of (page, count), so they are grouped by an ordinary aggregation however many pages a host
-has. A class is part of the host's template if it is on enough of its pages and has a tag or a repeated text; a class is
-valid on a page if its tags open and close in order, nested inside the classes around it. Template texts go; what stands
-in the slots between template tags is data, and of the slots those under an article element (or, without one, the slots
+has. Copies of a page (same host and html) are one page here. A class is part of the host's template if it is on enough
+of its pages and has a start tag: a text whose occurrences follow no tag's is data, on however many pages it is. A class
+is valid on a page if its tokens come there in one order, each round of them inside one gap of the classes around it,
+and one of its elements at least is closed; tags are taken as they are written, without repair. Texts of valid classes
+go, unless an element around them is never closed in order (elements whose end tag HTML leaves out are); what stands in
+the slots between template tags is data. Of the slots those under an article element (or, without one, the slots
 that are neither chrome by name nor template) are the main text. Elements that are never main text by their meaning
 (head, script, style, nav, header, footer, aside, form, ...; adverts, notices, sidebars and comments by class, id or
 role) are closed slots even if a page is the only one of its host.
@@ -23,7 +26,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +49,8 @@ BLOCK = frozenset(
 CLOSED = frozenset("head script style noscript template iframe noframes nav header footer aside form menu dialog button select option input textarea svg canvas object embed audio video title xmp".split())
 # an item ends where the next begins, unless one of these lists is nearer
 ITEMS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
+# elements that may end without an end tag
+OPTIONAL = frozenset("html head body p li dt dd tr td th thead tbody tfoot option optgroup colgroup caption rb rp rt rtc".split())
 CLOSES_P = BLOCK - {"body", "html", "head"}
 # Words in class, id and role that name chrome
 CHROME = re.compile(
@@ -55,18 +60,24 @@ CHROME = re.compile(
 ARTICLE = frozenset(("article", "main"))
 
 
+TAG, TEXT, NUMBER, END = range(4)  # kinds of tokens; NUMBER is that of a host's pages
+
+
 class Page:
     """One page as blocks of text, each with the path it stands under, and the tags around them."""
 
     def __init__(self, source: str):
-        self.tokens: list[str] = []  # tags with their path, in page order
-        self.blocks: list[tuple[str, str, bool, bool]] = []  # text, path, closed, inside an article
+        self.tokens: list[tuple[int, str, int]] = []  # kind, token and element in page order: tags as written, with their path, and texts
+        self.blocks: list[tuple[str, str, bool, bool, int]] = []  # text, path, closed, inside an article, element
+        self.above: list[int] = []  # the element around each element, as tags are written
+        self.whole: list[bool] = []  # whether it is closed in order
         self.read(source)
 
     def read(self, s: str) -> None:
         # name, path, and whether it or anything above it is closed, an article, a block
         stack: list[tuple[str, str, bool, bool, bool]] = []
         text: list[str] = []
+        raw: list[tuple[str, str, int]] = []  # name, path and number of the elements that no tag has closed
         tokens, find, token = self.tokens, s.find, TOKEN.match
 
         def flush() -> None:
@@ -78,11 +89,33 @@ class Page:
                 t = " ".join(t.split())
                 if t:
                     _, path, closed, article, _ = stack[-1] if stack else ("", "", False, False, False)
-                    self.blocks.append((t, path, closed, article))
+                    if not closed:
+                        tokens.append((TEXT, path + "\0" + t, len(self.blocks)))
+                    self.blocks.append((t, path, closed, article, raw[-1][2] if raw else -1))
 
         def shut(i: int) -> None:
-            while len(stack) > i:
-                tokens.append("/" + stack.pop()[1])
+            del stack[i:]
+
+        def ended(name: str) -> None:  # an end tag as written
+            for k in range(len(raw) - 1, -1, -1):
+                if raw[k][0] == name:
+                    tokens.append((END, raw[k][1], raw[k][2]))
+                    unclosed(k + 1)
+                    del raw[k:]
+                    return
+            tokens.append((END, name, -1))
+
+        def unclosed(k: int) -> None:
+            for name, _, i in raw[k:]:
+                if name not in OPTIONAL:
+                    self.whole[i] = False
+
+        def left_out(name: str) -> None:  # the end tag of an element that may go without
+            k = len(raw) - 1
+            while k >= 0 and raw[k][0] in OPTIONAL and raw[k][0] != name:
+                k -= 1
+            if k >= 0 and raw[k][0] == name:
+                del raw[k:]
 
         def innermost(name: str) -> int:
             for i in range(len(stack) - 1, -1, -1):
@@ -109,10 +142,12 @@ class Page:
             if m[1] or m[4]:  # an end tag
                 k = innermost(name)
                 if k < 0:
+                    ended(name)
                     continue
                 inner = any(x[4] for x in stack[k:])
                 if inner or stack[-1][2]:
                     flush()
+                ended(name)
                 if name in BLOCK or not inner:
                     shut(k)
                 continue
@@ -138,96 +173,138 @@ class Page:
                 flush()
             if name in CLOSES_P and (k := innermost("p")) >= 0:
                 shut(k)
+                left_out("p")
             if name in ITEMS and (k := innermost(name)) >= 0 and k > max(innermost(x) for x in ITEMS[name]):
                 shut(k)
+                left_out(name)
             above = stack[-1] if stack else ("", "", False, False, False)
             path = f"{above[1]}/{label}" if stack else label
             stack.append((name, path, closed or above[2], in_article or name in ARTICLE, block))
-            tokens.append(path)
+            tokens.append((TAG, path, len(self.whole)))
+            self.above.append(raw[-1][2] if raw else -1)
+            raw.append((name, path, len(self.whole)))
+            self.whole.append(True)
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(s, at)
                 at = end.end() if end else n
+                if end:
+                    ended(name)
                 shut(len(stack) - 1)
             elif given and given.rstrip().endswith("/"):
+                raw.pop()
                 shut(len(stack) - 1)
         flush()
-        shut(0)
+        unclosed(0)
+
 
+def host_column(url: str) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
-def host_of(url: str | None) -> str:
-    m = re.match(r"\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m[1].lower() if m else ""
 
+def _occurrences(copied: np.ndarray | None):
+    """(host, kind, token, copy, vector, pages, n) summed over the pages of a partition.
 
-def _occurrences(batches):
-    """(host, kind, token, path, vector, pages, n) summed over the pages of a partition; kind 0: tag, 1: text."""
+    copied: the sorted hashes of pages that have copies, None if they are too many to send. Their rows carry the hash as
+    copy, so that they count once for a host; the rows of all other pages have 0 and are added up here.
+    """
     import xxhash
 
     h64 = xxhash.xxh3_64_intdigest
-    total: dict[tuple, list[int]] = {}
-    seen: dict[str, int] = {}
-
-    def out():
-        keys = list(total)
-        cols = [[k[0] for k in keys], [k[1] for k in keys], [k[2] for k in keys]]
-        v = np.array([x[0] % VECTOR for x in total.values()], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(v), *[pa.array([x[i] for x in total.values()], pa.int64()) for i in (1, 2)]], names=["host", "kind", "token", "vector", "pages", "n"])
-
-    for whole in batches:
-        for batch in batches_of(whole, 1):
-            for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                host, page = host_of(url), Page(source or "")
-                number = h64((url or "") + "\0" + str(len(source or "")))
-                seen[host] = seen.get(host, 0) + 1
-                counts: dict[tuple[int, int], int] = {}
-                for t in page.tokens:
-                    k = (0, h64(t) >> 1)
-                    counts[k] = counts.get(k, 0) + 1
-                for text, path, closed, _ in page.blocks:
-                    if not closed:
-                        k = (1, h64(path + "\0" + text) >> 1)
+
+    def run(batches):
+        total: dict[tuple, list[int]] = {}
+
+        def out():
+            columns = list(zip(*total, strict=True))
+            v = np.array([x[0] % VECTOR for x in total.values()], np.int64)
+            types = (pa.string(), pa.int32(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, types, strict=True)], pa.array(v), *[pa.array([x[i] for x in total.values()], pa.int64()) for i in (1, 2)]], names=["host", "kind", "token", "copy", "vector", "pages", "n"])
+
+        for whole in batches:
+            for batch in batches_of(whole, 1):
+                for host, source, number in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    copy = 0
+                    if copied is None or (len(copied) and copied[min(int(np.searchsorted(copied, number)), len(copied) - 1)] == number):
+                        copy = number
+                        if (host, NUMBER, 0, copy) in total:
+                            continue
+                    counts: dict[tuple[int, int], int] = {}
+                    for kind, t, _ in Page(source or "").tokens:
+                        k = (kind, h64(t) >> 1)
                         counts[k] = counts.get(k, 0) + 1
-                for (kind, token), c in counts.items():
-                    x = total.setdefault((host, kind, token), [0, 0, 0])
-                    x[0] += h64(f"{number} {c}") % VECTOR
-                    x[1] += 1
-                    x[2] += c
-            if len(total) > 200_000:
-                yield out()
-                total.clear()
-    for host, n in seen.items():
-        total[host, 2, 0] = [0, n, n]
-    if total:
-        yield out()
-
-
-def templates(pages: DataFrame, scratch: Scratch, url: str = "url", source: str = "html") -> DataFrame:
+                    counts[NUMBER, 0] = 1
+                    for (kind, token), c in counts.items():
+                        x = total.setdefault((host, kind, token, copy), [0, 0, 0])
+                        if copy:
+                            x[:] = h64(f"{number} {c}") % VECTOR, 1, c
+                        else:
+                            x[0] += h64(f"{number} {c}") % VECTOR
+                            x[1] += 1
+                            x[2] += c
+                    if len(total) > 200_000:
+                        yield out()
+                        total.clear()
+        if total:
+            yield out()
+
+    return run
+
+
+def templates(pages: DataFrame, scratch: Scratch, url: str = "url", source: str = "html", broadcast: int = BROADCAST) -> DataFrame:
     """host, class_id (its occurrence vector), kind, token of every template token of every host.
 
-    Only classes on at least SHARE of a host's pages are kept, so a host's rows are bounded by the tokens of a page.
+    Only classes with a start tag on at least SHARE of a host's pages are kept, so a host's rows are bounded by the tokens of a page.
     """
-    got = pages.select(F.col(url).alias("url"), F.col(source).alias("html")).mapInArrow(_occurrences, "host string, kind int, token long, vector long, pages long, n long")
+    host = host_column(url)
+    rows = pages.select(host.alias("host"), F.col(source).alias("html"), F.xxhash64(host, F.coalesce(F.col(source), F.lit(""))).alias("number"))
+    copies = scratch.save(rows.groupBy("number").count().filter("count > 1").select("number"), "copies")
+    copied = None
+    if copies.count() * 8 <= broadcast:  # the bound of what is sent, checked
+        copied = np.sort(np.array([r[0] for r in copies.toLocalIterator()], np.int64))
+    got = rows.mapInArrow(_occurrences(copied), "host string, kind int, token long, copy long, vector long, pages long, n long")
+    if copied is None or len(copied):  # a copy's row once; those of copy 0 added up
+        each = [F.when(F.col("copy") == 0, F.sum(c)).otherwise(F.max(c)).alias(c) for c in ("vector", "pages", "n")]
+        got = got.groupBy("host", "kind", "token", "copy").agg(*each)
     sums = scratch.save(got.groupBy("host", "kind", "token").agg((F.sum("vector") % VECTOR).alias("vector"), F.sum("pages").alias("pages"), F.sum("n").alias("n")), "sums")
-    hosts = sums.filter("kind = 2").select("host", F.col("pages").alias("of"))
-    often = sums.filter("kind < 2 and pages > 1").join(hosts, "host").filter((F.col("of") >= PAGES) & (F.col("pages") >= SHARE * F.col("of")))
-    return often.select("host", F.col("vector").alias("class_id"), "kind", "token", "pages", "n", "of")
-
-
-def _nested(page: Page, classes: dict[int, int], h64) -> set[int]:
-    """The classes of tags that are valid on this page: every tag of the class that opens also closes, in nested order."""
-    open_: list[tuple[str, int | None]] = []
+    hosts = sums.filter(f"kind = {NUMBER}").select("host", F.col("pages").alias("of"))
+    often = sums.filter(f"kind <> {NUMBER} and pages > 1").join(hosts, "host").filter((F.col("of") >= PAGES) & (F.col("pages") >= SHARE * F.col("of")))
+    tags = F.sum((F.col("kind") == TAG).cast("int")).over(Window.partitionBy("host", "vector"))
+    return often.withColumn("tags", tags).filter("tags > 0").select("host", F.col("vector").alias("class_id"), "kind", "token", "pages", "n", "of")
+
+
+def _valid(page: Page, tokens: list[tuple[int, int, int]], template: dict[tuple[int, int], int]) -> set[int]:
+    """The classes that are valid on this page; tokens: kind, hash, element of each token of the page."""
+    placed: list[tuple[int, tuple[int, int]]] = []  # class and token, in page order
+    rounds: dict[int, list[tuple[int, int]]] = {}
+    tagged: set[int] = set()
+    for kind, token, i in tokens:
+        c = template.get((kind, token))
+        if c is None or (kind != TEXT and (i < 0 or not page.whole[i])):
+            continue
+        if kind == TAG:
+            tagged.add(c)
+        placed.append((c, (kind, token)))
+        rounds.setdefault(c, []).append((kind, token))
+    length: dict[int, int] = {}
+    for c, seq in rounds.items():
+        k = len(set(seq))
+        if c in tagged and len(seq) % k == 0 and all(x == seq[i % k] for i, x in enumerate(seq)):
+            length[c] = k
+    open_: list[list[int]] = []  # class and tokens still to come of each round that is not over
     bad: set[int] = set()
-    for t in page.tokens:
-        c = classes.get(h64(t) >> 1)
-        if t.startswith("/"):
-            if not open_ or open_[-1][0] != t[1:]:
-                if c is not None:
-                    bad.add(c)
-            else:
-                open_.pop()
-        else:
-            open_.append((t, c))
-    return set(classes.values()) - bad - {c for _, c in open_ if c is not None}
+    for c, _ in placed:
+        if c not in length or c in bad:
+            continue
+        at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == c), -1)
+        if at < 0:
+            open_.append([c, length[c]])
+            at = len(open_) - 1
+        bad.update(x for x, _ in open_[at + 1 :])  # begun inside a gap of c and not over at its end
+        del open_[at + 1 :]
+        open_[at][1] -= 1
+        if not open_[at][1]:
+            open_.pop()
+    return set(length) - bad
 
 
 def main_text(source: str | None, template: dict[tuple[int, int], int] | None = None) -> str:
@@ -236,29 +313,28 @@ def main_text(source: str | None, template: dict[tuple[int, int], int] | None =
 
     h64 = xxhash.xxh3_64_intdigest
     page = Page(source or "")
-    tags = {k[1]: c for k, c in (template or {}).items() if k[0] == 0}
-    valid = _nested(page, tags, h64)
-    slots: list[tuple[str, bool, bool]] = []
-    for text, path, closed, article in page.blocks:
-        if closed:
-            continue
-        same = bool(template) and (1, h64(path + "\0" + text) >> 1) in template
-        if same:  # a template's text hangs on a tag of one of its valid classes
-            above = path
-            while above and tags.get(h64(above) >> 1) not in valid:
-                above = above.rpartition("/")[0]
-            same = bool(above)
-        slots.append((text, article, same))
+    same: set[int] = set()  # blocks that are the template's
+    if template:
+        tokens = [(kind, h64(t) >> 1, i) for kind, t, i in page.tokens]
+        valid = _valid(page, tokens, template)
+        for kind, token, i in tokens:
+            if kind == TEXT and template.get((kind, token)) in valid:
+                e = page.blocks[i][4]
+                while e >= 0 and page.whole[e]:
+                    e = page.above[e]
+                if e < 0:
+                    same.add(i)
+    slots = [(b[0], b[3], i in same) for i, b in enumerate(page.blocks) if not b[2]]
     inside = [t for t, article, _ in slots if article] or [t for t, _, same in slots if not same]
     return "\n".join(inside or [t for t, _, _ in slots])  # a host of copies of one page is not all template
 
 
 def extract(pages: DataFrame, scratch: Scratch, url: str = "url", source: str = "html", broadcast: int = BROADCAST) -> DataFrame:
     """pages with text string and n_chars long."""
-    found = scratch.save(templates(pages, scratch, url, source), "templates")
+    found = scratch.save(templates(pages, scratch, url, source, broadcast), "templates")
     rest = [c for c in pages.columns if c not in ("text", "n_chars")]
     schema = T.StructType([pages.schema[c] for c in rest] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    names, u, s = [x.name for x in schema], rest.index(url), rest.index(source)
+    names, s = [x.name for x in schema], rest.index(source)
 
     def done(batch, texts):
         return pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=names)
@@ -272,13 +348,12 @@ def extract(pages: DataFrame, scratch: Scratch, url: str = "url", source: str =
         def run(batches):
             for whole in batches:
                 for batch in batches_of(whole, s):
-                    yield done(batch, [main_text(x, sent.value.get(host_of(y))) for x, y in zip(batch.column(s).to_pylist(), batch.column(u).to_pylist(), strict=True)])
+                    yield done(batch, [main_text(x, sent.value.get(y)) for x, y in zip(batch.column(s).to_pylist(), batch.column(len(rest)).to_pylist(), strict=True)])
 
-        return pages.select(*rest).mapInArrow(run, schema)
+        return pages.select(*rest, host_column(url).alias("_host")).mapInArrow(run, schema)
 
     of_host = found.groupBy(F.col("host").alias("_host")).agg(F.collect_list(F.struct("kind", "token", "class_id")).alias("_template"))
     of_host = scratch.save(of_host, "of_host")
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
     def joined(batches):
         for whole in batches:
@@ -286,4 +361,4 @@ def extract(pages: DataFrame, scratch: Scratch, url: str = "url", source: str =
                 t = [{(x["kind"], x["token"]): x["class_id"] for x in y or ()} for y in batch.column(len(rest)).to_pylist()]
                 yield done(batch, [main_text(x, y) for x, y in zip(batch.column(s).to_pylist(), t, strict=True)])
 
-    return pages.select(*rest, host.alias("_host")).join(of_host, "_host", "left").select(*rest, "_template").mapInArrow(joined, schema)
+    return pages.select(*rest, host_column(url).alias("_host")).join(of_host, "_host", "left").select(*rest, "_template").mapInArrow(joined, schema)

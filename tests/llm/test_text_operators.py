@@ -184,6 +184,34 @@ def test_pages(spark):
             assert (r["page_id"], r["text"], r["n_chars"]) == (r["page_id"], want[r["page_id"]], len(want[r["page_id"]]))
 
 
+def extracted(spark, pages):
+    df = spark.createDataFrame(pages, "url string, html string")
+    return {(r["url"], r["html"]): r["text"] for r in template.extract(df, Scratch(spark)).collect()}
+
+
+def test_copies_of_a_page_keep_their_body(spark):
+    body = "<body><div>Notice of all</div><table><tr><td>Body of the copied page</td></tr></table></body>"
+    pages = [(f"http://copies.example/{i}", body) for i in range(6)]
+    pages += [(f"http://copies.example/o{i}", f"<body><div>Notice of all</div><p>Own {i}</p><p>And {i}</p></body>") for i in range(5)]
+    got = extracted(spark, pages)
+    assert {got[p] for p in pages[:6]} == {"Body of the copied page"} and got[pages[6]] == "Own 0\nAnd 0"
+
+
+def test_a_text_that_follows_no_tag_is_data(spark):
+    pages = [(f"http://often.example/{i}", f"<body><div>Notice of all</div><p>{'Shared quote' if i < 6 else 'Other'} </p><p>Own {i}</p></body>") for i in range(8)]
+    assert extracted(spark, pages)[pages[0]] == "Shared quote\nOwn 0"
+
+
+def test_misplaced_tags_make_no_template():
+    classes = {(template.TAG, "body"): 1, (template.END, "body"): 1, (template.TAG, "body/i"): 2, (template.END, "body/i"): 2, (template.TAG, "body/i/u"): 2, (template.END, "body/i/u"): 2}
+    for html, valid in (("<body><i><u>a</u></i></body>", {1, 2}), ("<body><i><u>a</i></u></body>", {1, 2}), ("<body><i><u>a</u></i><i></i><u></u></body>", {1})):
+        page = template.Page(html)
+        keys = {k: (k[0], n) for n, k in enumerate(classes)}
+        tokens = [(k, keys.get((k, t), (k, -1))[1], i) for k, t, i in page.tokens]
+        assert template._valid(page, tokens, {keys[k]: c for k, c in classes.items()}) == valid, html
+    assert template.Page("<i><u>a</i></u>").whole == [True, False]
+
+
 PASSAGE = "It was a passage of many words that somebody wrote once. Then others took all of it as it stood. They put it into texts of their own without a mark. So it came to be in many places at the same time and nobody knew."
 
 
