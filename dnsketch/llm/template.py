@@ -8,8 +8,8 @@ of its pages and has a start tag: a text whose occurrences follow no tag's is da
 is valid on a page if its tokens come there in one order, each round of them inside one gap of the classes around it,
 and one of its elements at least is closed; tags are taken as they are written, without repair. Texts of valid classes
 go, unless an element around them is never closed in order (elements whose end tag HTML leaves out are); what stands in
-the slots between template tags is data. Of the slots those under an article element (or, without one, the slots
-that are neither chrome by name nor template) are the main text. Elements that are never main text by their meaning
+the slots between template tags is data, and all of it that is not chrome by name is the main text, inside an article
+element and outside. Elements that are never main text by their meaning
 (head, script, style, nav, header, footer, aside, form, ...; adverts, notices, sidebars and comments by class, id or
 role) are closed slots even if a page is the only one of its host.
 
@@ -68,7 +68,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tokens: list[tuple[int, str, int]] = []  # kind, token and element in page order: tags as written, with their path, and texts
-        self.blocks: list[tuple[str, str, bool, bool, int]] = []  # text, path, closed, inside an article, element
+        self.blocks: list[tuple[str, str, bool, int]] = []  # text, path, closed, element
         self.above: list[int] = []  # the element around each element, as tags are written
         self.whole: list[bool] = []  # whether it is closed in order
         self.read(source)
@@ -88,10 +88,10 @@ class Page:
                     t = html.unescape(t)
                 t = " ".join(t.split())
                 if t:
-                    _, path, closed, article, _ = stack[-1] if stack else ("", "", False, False, False)
+                    _, path, closed, _, _ = stack[-1] if stack else ("", "", False, False, False)
                     if not closed:
                         tokens.append((TEXT, path + "\0" + t, len(self.blocks)))
-                    self.blocks.append((t, path, closed, article, raw[-1][2] if raw else -1))
+                    self.blocks.append((t, path, closed, raw[-1][2] if raw else -1))
 
         def shut(i: int) -> None:
             del stack[i:]
@@ -319,14 +319,14 @@ def main_text(source: str | None, template: dict[tuple[int, int], int] | None =
         valid = _valid(page, tokens, template)
         for kind, token, i in tokens:
             if kind == TEXT and template.get((kind, token)) in valid:
-                e = page.blocks[i][4]
+                e = page.blocks[i][3]
                 while e >= 0 and page.whole[e]:
                     e = page.above[e]
                 if e < 0:
                     same.add(i)
-    slots = [(b[0], b[3], i in same) for i, b in enumerate(page.blocks) if not b[2]]
-    inside = [t for t, article, _ in slots if article] or [t for t, _, same in slots if not same]
-    return "\n".join(inside or [t for t, _, _ in slots])  # a host of copies of one page is not all template
+    slots = [(b[0], i in same) for i, b in enumerate(page.blocks) if not b[2]]
+    main = [t for t, of_template in slots if not of_template]
+    return "\n".join(main or [t for t, _ in slots])  # a page is not all template
 
 
 def extract(pages: DataFrame, scratch: Scratch, url: str = "url", source: str = "html", broadcast: int = BROADCAST) -> DataFrame:

@@ -212,6 +212,11 @@ def test_misplaced_tags_make_no_template():
     assert template.Page("<i><u>a</i></u>").whole == [True, False]
 
 
+def test_the_template_counts_inside_articles_and_text_outside_stays(spark):
+    pages = [(f"http://parts.example/{i}", f"<body><div>Lead {i}</div><article><p>Own {i}</p><div>Read more</div></article><div>Tail {i}</div></body>") for i in range(5)]
+    assert extracted(spark, pages)[pages[2]] == "Lead 2\nOwn 2\nTail 2"
+
+
 PASSAGE = "It was a passage of many words that somebody wrote once. Then others took all of it as it stood. They put it into texts of their own without a mark. So it came to be in many places at the same time and nobody knew."
 
 
