@@ -10,8 +10,9 @@ and one of its elements at least is closed; tags are taken as they are written,
 go, unless an element around them is never closed in order (elements whose end tag HTML leaves out are); what stands in
 the slots between template tags is data, and all of it that is not chrome by name is the main text, inside an article
 element and outside. Elements that are never main text by their meaning
-(head, script, style, nav, header, footer, aside, form, ...; adverts, notices, sidebars and comments by class, id or
-role) are closed slots even if a page is the only one of its host.
+(head, script, style, nav, header, footer, aside, form, ...; adverts, notices, sidebars and comments by a whole class, id
+or role) are closed slots even if a page is the only one of its host. No name closes html, body, main, article or an
+element that holds the page's article or, on a page without one, most of its text; inside an article fewer names do.
 
 Defined results: a null or empty html gives an empty text. Character references are decoded, white space within a block
 is one space, blocks are joined by a line feed in page order. Hosts with fewer than PAGES pages have no template texts;
@@ -52,17 +53,21 @@ ITEMS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td
 # elements that may end without an end tag
 OPTIONAL = frozenset("html head body p li dt dd tr td th thead tbody tfoot option optgroup colgroup caption rb rp rt rtc".split())
 CLOSES_P = BLOCK - {"body", "html", "head"}
-# Words in class, id and role that name chrome
-CHROME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|sidebar|side|menu|menus|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|header|masthead|topbar|toolbar|comments?|disqus|replies|reply|respond|share|sharing|social|related|recommended|widget|search|login|signup|skip|complementary|contentinfo|hidden)(?:$|[\s_-])",
-    re.I,
+# Classes, ids and roles that name chrome, as a whole; those of OUTSIDE do so only outside articles
+CHROME = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion promotions cookie cookies consent gdpr popup modal newsletter subscribe sidebar nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments disqus share sharing social login signup complementary contentinfo hidden".split()
 )
+OUTSIDE = frozenset("banner notice notices alert alerts side menu menus header replies reply respond related recommended widget search skip".split())
+NEVER = frozenset("html body main article".split())  # never chrome by name
 ARTICLE = frozenset(("article", "main"))
 
 
 TAG, TEXT, NUMBER, END = range(4)  # kinds of tokens; NUMBER is that of a host's pages
 
 
+NOTHING = ("", "", False, False, False, ())  # around the first element
+
+
 class Page:
     """One page as blocks of text, each with the path it stands under, and the tags around them."""
 
@@ -71,11 +76,15 @@ class Page:
         self.blocks: list[tuple[str, str, bool, int]] = []  # text, path, closed, element
         self.above: list[int] = []  # the element around each element, as tags are written
         self.whole: list[bool] = []  # whether it is closed in order
+        self.named: list[tuple[int, ...]] = []  # the elements around each block that are chrome by name
+        self.hold: set[int] = set()  # those of them that hold an article
+        self.has_article = False  # outside them
         self.read(source)
+        self.decide()
 
     def read(self, s: str) -> None:
-        # name, path, and whether it or anything above it is closed, an article, a block
-        stack: list[tuple[str, str, bool, bool, bool]] = []
+        # name, path, whether it or anything above it is closed, an article, a block, and what is closed by its name around it
+        stack: list[tuple[str, str, bool, bool, bool, tuple[int, ...]]] = []
         text: list[str] = []
         raw: list[tuple[str, str, int]] = []  # name, path and number of the elements that no tag has closed
         tokens, find, token = self.tokens, s.find, TOKEN.match
@@ -88,9 +97,10 @@ class Page:
                     t = html.unescape(t)
                 t = " ".join(t.split())
                 if t:
-                    _, path, closed, _, _ = stack[-1] if stack else ("", "", False, False, False)
-                    if not closed:
-                        tokens.append((TEXT, path + "\0" + t, len(self.blocks)))
+                    _, path, closed, article, _, named = stack[-1] if stack else NOTHING
+                    tokens.append((TEXT, path + "\0" + t, len(self.blocks)))
+                    self.named.append(named)
+                    self.has_article |= article and not closed and not named
                     self.blocks.append((t, path, closed, raw[-1][2] if raw else -1))
 
         def shut(i: int) -> None:
@@ -157,19 +167,20 @@ class Page:
                 elif name == "hr":
                     flush()
                 continue
-            block, closed, label, given = name in BLOCK, name in CLOSED, name, m[3]
+            block, closed, label, given, chrome = name in BLOCK, name in CLOSED, name, m[3], False
             in_article = bool(stack) and stack[-1][3]
             if name == "header" and in_article:  # an article's own heading
                 closed = False
             if given and not given.isspace():
                 marks = {x.lower(): (v or "").strip("\"'") for x, v in MARK.findall(given)}
-                names = " ".join(marks.get(x, "") for x in ("class", "id", "role"))
-                closed = closed or "hidden" in marks or marks.get("aria-hidden") == "true" or bool(CHROME.search(names))
+                names = {x for k in ("class", "id", "role") for x in marks.get(k, "").lower().split()}
+                closed = closed or "hidden" in marks or marks.get("aria-hidden") == "true"
+                chrome = name not in NEVER and not (names.isdisjoint(CHROME) and (in_article or names.isdisjoint(OUTSIDE)))
                 if marks.get("class"):
                     label += "." + ".".join(marks["class"].split())
                 if marks.get("id"):
                     label += "#" + marks["id"]
-            if block or closed:
+            if block or closed or chrome:
                 flush()
             if name in CLOSES_P and (k := innermost("p")) >= 0:
                 shut(k)
@@ -177,9 +188,12 @@ class Page:
             if name in ITEMS and (k := innermost(name)) >= 0 and k > max(innermost(x) for x in ITEMS[name]):
                 shut(k)
                 left_out(name)
-            above = stack[-1] if stack else ("", "", False, False, False)
+            above = stack[-1] if stack else NOTHING
             path = f"{above[1]}/{label}" if stack else label
-            stack.append((name, path, closed or above[2], in_article or name in ARTICLE, block))
+            if name in ARTICLE and not above[2]:
+                self.hold.update(above[5])
+            named = (*above[5], len(self.whole)) if chrome else above[5]
+            stack.append((name, path, closed or above[2], in_article or name in ARTICLE, block, named))
             tokens.append((TAG, path, len(self.whole)))
             self.above.append(raw[-1][2] if raw else -1)
             raw.append((name, path, len(self.whole)))
@@ -197,6 +211,21 @@ class Page:
         unclosed(0)
 
 
+    def decide(self) -> None:
+        """Closes blocks in chrome by name; on a page without an article elsewhere, not what holds one or, without any, most text."""
+        if any(self.named):
+            size: dict[int, int] = {}
+            every = 0
+            for (t, _, closed, _), named in zip(self.blocks, self.named, strict=True):
+                if not closed:
+                    every += len(t)
+                    for i in named:
+                        size[i] = size.get(i, 0) + len(t)
+            opened = set() if self.has_article else self.hold or {i for i, n in size.items() if 2 * n > every}
+            self.blocks = [(t, path, closed or not opened.issuperset(named), i) for (t, path, closed, i), named in zip(self.blocks, self.named, strict=True)]
+        self.tokens = [x for x in self.tokens if x[0] != TEXT or not self.blocks[x[2]][2]]
+
+
 def host_column(url: str) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 

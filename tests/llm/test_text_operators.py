@@ -217,6 +217,23 @@ def test_the_template_counts_inside_articles_and_text_outside_stays(spark):
     assert extracted(spark, pages)[pages[2]] == "Lead 2\nOwn 2\nTail 2"
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<body class="has-sidebar"><p>a</p></body>', "a"),
+        ('<body class="single comments"><p>a</p></body>', "a"),
+        ('<body><article class="post no-comments"><p>a</p></article></body>', "a"),
+        ('<body><div class="side"><article>a</article></div></body>', "a"),
+        ('<body><article>a</article><div class="comments"><article>I like it</article></div></body>', "a"),
+        ('<body><div class="widget"><p>all of a page</p></div><p>b</p></body>', "all of a page\nb"),
+        ('<body><article><div class="entry-header"><h1>a</h1></div><p class="notice">b</p><div class="related-work">c</div></article></body>', "a\nb\nc"),
+        ('<body><article><p>a</p><div class="x ad">buy</div></article><div class="comments">a long comment of all</div><div class="notice">n</div></body>', "a"),
+    ],
+)
+def test_chrome_by_name(html, text):
+    assert template.main_text(html) == text
+
+
 PASSAGE = "It was a passage of many words that somebody wrote once. Then others took all of it as it stood. They put it into texts of their own without a mark. So it came to be in many places at the same time and nobody knew."
 
 
