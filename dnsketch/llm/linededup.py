@@ -1,11 +1,13 @@
 """Operator 10: substring dedup by hashing lines and their sentences.
 
 Units: lines are cut where a sentence ends and where a capitalised word follows, so that a passage pasted into the
-middle of a line has units of its own; neighbouring units of fewer than ANCHOR words are one unit. A unit is normalised
-(lower case, single spaces) and hashed to 128 bits; digests are grouped over the whole table, the occurrence with the
-smallest (doc_id, text hash, offset) is kept, and every later one is a repeat. What is removed are runs of repeated
-units of one document with RUN words or more, shorter leftovers between them included: a single short sentence that two
-documents happen to share stays. The spans that go are returned with their offsets in the original text.
+middle of a line has units of its own. A unit is normalised (lower case, single spaces) and hashed to 128 bits. One of
+fewer than ANCHOR words says too little by itself: it is hashed twice, with as many units behind it and with as many
+before it as give ANCHOR words, across lines. Digests are grouped over the whole table, the occurrence with the smallest
+(doc_id, text hash, offset) is kept, and every later one is a repeat; a short unit is one if either of its digests is.
+What is removed are runs of repeated units of one document with RUN words or more. Only white space lies between the
+units of a run, so no text goes that was not compared: a unit of its own ends a run, however short, and a single short
+sentence that two documents happen to share stays. The spans that go are returned with their offsets in the original text.
 
 Defined results: null or empty texts have no unit and stay as they are. Null ids rank last. Rows with the same doc_id
 and text are one document (each keeps or loses the same). A repeat within one document is removed as well. A document
@@ -26,7 +28,7 @@ from pyspark.sql import types as T
 
 from dnsketch.llm.common import Scratch, batches_of, release
 
-ANCHOR = 4  # words a unit needs to be hashed
+ANCHOR = 4  # words a unit needs to be hashed by itself
 RUN = 25  # words a run of repeated units needs to go
 SIGNS = 10  # a text without spaces: so many characters count as a word
 
@@ -48,38 +50,40 @@ CUT = re.compile(rf"(\s*\n\s*)|(?<=[.!?…])[^\S\n]+|(?<=[^\W\d_A-Z.!?…,;:])[^
 
 
 def units(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, words) of each unit that is hashed, in order."""
+    """(start, end, words) of each unit, in order; all but white space is in one of them."""
     out: list[tuple[int, int, int]] = []
-    short: tuple[int, int, int] | None = None  # neighbouring short units, gathered
     at = 0
 
-    def close() -> None:
-        nonlocal short
-        if short and short[2] >= ANCHOR:
-            out.append(short)
-        short = None
-
     def unit(lo: int, hi: int) -> None:
-        nonlocal short
-        n = max(text.count(" ", lo, hi) + 1, (hi - lo) // (8 * SIGNS))
-        if n >= ANCHOR:
-            close()
-            out.append((lo, hi, n))
-        else:
-            short = (short[0], hi, short[2] + n) if short else (lo, hi, n)
+        if not text[lo:hi].isspace():
+            out.append((lo, hi, max(text.count(" ", lo, hi) + 1, (hi - lo) // (8 * SIGNS))))
 
     for m in CUT.finditer(text):
         if m.start() > at:
             unit(at, m.start())
         at = m.end()
-        if m.group(1) is not None:
-            close()
     if at < len(text):
         unit(at, len(text))
-    close()
+
     return out
 
 
+def hashed(text: str, found: list[tuple[int, int, int]]) -> list[list[bytes]]:
+    """What is hashed of each unit: itself, or with the units behind it and before it if it is short."""
+    norms = [" ".join(text[lo:hi].lower().split()) for lo, hi, _ in found]
+
+    def near(k: int, step: int) -> list[bytes]:
+        j, n = k, found[k][2]
+        while n < ANCHOR:
+            j += step
+            if not 0 <= j < len(found):
+                return []
+            n += found[j][2]
+        return [("\n".join([">", *norms[k : j + 1]]) if step > 0 else "\n".join(["<", *norms[j : k + 1]])).encode()]
+
+    return [[norms[k].encode()] if n >= ANCHOR else near(k, 1) + near(k, -1) for k, (_, _, n) in enumerate(found)]
+
+
 def _digested(batches):
     import xxhash
 
@@ -91,14 +95,16 @@ def _digested(batches):
                 if not text:
                     continue
                 h = whole64(text.encode()) - (1 << 63)
-                for k, (lo, hi, n) in enumerate(units(text)):
-                    row.append(i)
-                    hashes.append(h)
-                    start.append(lo)
-                    end.append(hi)
-                    words.append(n)
-                    seq.append(k)
-                    digests.append(digest(" ".join(text[lo:hi].lower().split()).encode()))
+                found = units(text)
+                for k, ((lo, hi, n), parts) in enumerate(zip(found, hashed(text, found), strict=True)):
+                    for part in parts:
+                        row.append(i)
+                        hashes.append(h)
+                        start.append(lo)
+                        end.append(hi)
+                        words.append(n)
+                        seq.append(k)
+                        digests.append(digest(part))
             two = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             ids = batch.column(0).take(pa.array(row, pa.int32()))
             ids = pc.fill_null(ids, sys.maxsize)
@@ -126,13 +132,13 @@ def spans(runs: list[dict], text: str, least: int = RUN) -> list[tuple[int, int,
     With each span, the documents that have the earliest occurrences of its units.
     """
     out: list[tuple[int, int, list[int]]] = []
-    runs = sorted(runs, key=lambda r: r["k"])
+    runs = sorted(runs, key=lambda r: r["k"])  # a short unit comes twice if both of its digests are repeats
     i = 0
     while i < len(runs):
         j, n = i, runs[i]["words"]
-        while j + 1 < len(runs) and runs[j + 1]["k"] == runs[j]["k"] + 1:
+        while j + 1 < len(runs) and (step := runs[j + 1]["k"] - runs[j]["k"]) <= 1:
             j += 1
-            n += runs[j]["words"]
+            n += runs[j]["words"] if step else 0
         if n >= least:
             lo, hi = runs[i]["lo"], runs[j]["hi"]
             while hi < len(text) and text[hi].isspace():
@@ -152,7 +158,7 @@ def without_repeats(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", t
     names = [*rest, "removed"]
     place = rest.index(text)
 
-    def hashed(batches):  # the same hash as in the units
+    def numbered(batches):  # the same hash as in the units
         import xxhash
 
         for batch in batches:
@@ -172,7 +178,7 @@ def without_repeats(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kept_in", pa.list_(pa.int64()))])))], names=names)
         release()
 
-    marked = docs.select(*rest).mapInArrow(hashed, T.StructType([docs.schema[c] for c in rest] + [T.StructField("_h", T.LongType())]))
+    marked = docs.select(*rest).mapInArrow(numbered, T.StructType([docs.schema[c] for c in rest] + [T.StructField("_h", T.LongType())]))
     own = F.coalesce(F.col(doc_id).cast("long"), F.lit(sys.maxsize))
     joined = marked.join(found.withColumnsRenamed({"d": "_d", "h": "_uh", "runs": "_runs"}), (own == F.col("_d")) & (F.col("_h") == F.col("_uh")), "left")
     return joined.select(*rest, "_runs").mapInArrow(cut, schema)

@@ -254,3 +254,25 @@ def test_repeated_passages(spark):
     again = linededup.without_repeats(twice, Scratch(spark)).collect()
     assert len(again) == 2 * len(texts) and all(r["text"] == got[r["doc_id"]]["text"] for r in again)
     assert linededup.without_repeats(table(spark, [PASSAGE, PASSAGE]).withColumn("doc_id", F.when(F.col("doc_id") == 1, 1)), Scratch(spark)).filter("doc_id is null and text = ''").count() == 1
+
+
+HEAD = "The head that all of these files have in front of their own lines."
+FOOT = "And the foot that all of these files have behind their own lines."
+
+
+def kept(spark, *texts):
+    return [r["text"] for r in linededup.without_repeats(table(spark, texts), Scratch(spark)).orderBy("doc_id").collect()]
+
+
+def test_own_short_lines_between_repeats_stay(spark):
+    lists = ["\n".join(f"{a}{i}\t{i * 7}" for i in range(500)) for a in "xyz"]
+    texts = [f"{HEAD}\n{x}\n{FOOT}" for x in lists] + [f"{HEAD} {FOOT}", f"{HEAD} Oh. {FOOT}"]
+    got = kept(spark, *texts)
+    assert got[:3] == texts[:3] and got[4] == texts[4]
+    # of a run whose units all repeat, no word is lost from the table
+    assert set(" ".join(got).split()) == set(" ".join(texts).split())
+
+
+def test_repeated_short_lines_go(spark):
+    verse = "\n".join(f"the {x} of\n{x[::-1]}" for x in "moon sun star sea hill wood road rain wind fire snow leaf stone".split())
+    assert kept(spark, verse, f"Own line here now.\n{verse}\nYes.") == [verse, "Own line here now.\nYes."]
