@@ -1,7 +1,8 @@
 """Operator 10: substring dedup by hashing lines and their sentences.
 
 Units: lines are cut where a sentence ends and where a capitalised word follows, so that a passage pasted into the
-middle of a line has units of its own. A unit is normalised (lower case, single spaces) and hashed to 128 bits. One of
+middle of a line has units of its own. Words are what white space of any kind separates, or every SIGNS characters where
+that is more, as in scripts without spaces. A unit is normalised (lower case, single spaces) and hashed to 128 bits. One of
 fewer than ANCHOR words says too little by itself: it is hashed twice, with as many units behind it and with as many
 before it as give ANCHOR words, across lines. Digests are grouped over the whole table, the occurrence with the smallest
 (doc_id, text hash, offset) is kept, and every later one is a repeat; a short unit is one if either of its digests is.
@@ -46,7 +47,8 @@ def _upper() -> str:
     return "".join(out)
 
 
-CUT = re.compile(rf"(\s*\n\s*)|(?<=[.!?…])[^\S\n]+|(?<=[^\W\d_A-Z.!?…,;:])[^\S\n]+(?=[{_upper()}][^\W\d_A-Z])|(?<=[,;:])[^\S\n]+(?=[{_upper()}][^\W\d_A-Z])")
+# 。！？ end a sentence without a space behind them, and closing marks belong to it
+CUT = re.compile(rf"(\s*\n\s*)|(?<=[.!?…。！？｡])[^\S\n]+|(?<=[。！？｡])(?![\s。！？｡」』”’）》】])|(?<=[。！？｡][」』”’）》】])(?=\S)|(?<=[^\W\d_A-Z.!?…,;:])[^\S\n]+(?=[{_upper()}][^\W\d_A-Z])|(?<=[,;:])[^\S\n]+(?=[{_upper()}][^\W\d_A-Z])")
 
 
 def units(text: str) -> list[tuple[int, int, int]]:
@@ -55,8 +57,9 @@ def units(text: str) -> list[tuple[int, int, int]]:
     at = 0
 
     def unit(lo: int, hi: int) -> None:
-        if not text[lo:hi].isspace():
-            out.append((lo, hi, max(text.count(" ", lo, hi) + 1, (hi - lo) // (8 * SIGNS))))
+        words = text[lo:hi].split()
+        if words:
+            out.append((lo, hi, max(len(words), sum(map(len, words)) // SIGNS)))
 
     for m in CUT.finditer(text):
         if m.start() > at:

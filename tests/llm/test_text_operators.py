@@ -276,3 +276,17 @@ def test_own_short_lines_between_repeats_stay(spark):
 def test_repeated_short_lines_go(spark):
     verse = "\n".join(f"the {x} of\n{x[::-1]}" for x in "moon sun star sea hill wood road rain wind fire snow leaf stone".split())
     assert kept(spark, verse, f"Own line here now.\n{verse}\nYes.") == [verse, "Own line here now.\nYes."]
+
+
+def test_passages_without_spaces_go(spark):
+    r = random.Random(5)
+    han = lambda n: "".join(chr(r.randint(0x4E00, 0x9FA0)) for _ in range(n))
+    paragraph = "".join(han(r.randint(8, 30)) + "。" for _ in range(20))
+    own = [han(20) + "。" for _ in range(4)]
+    assert kept(spark, paragraph, f"{own[0]}\n{paragraph}\n{own[1]}", f"{own[2]}{paragraph}{own[3]}") == [paragraph, f"{own[0]}\n{own[1]}", own[2] + own[3]]
+
+
+def test_words_between_any_white_space_count(spark):
+    for space in ("\t", "\u00a0"):
+        assert kept(spark, PASSAGE.replace(" ", space), PASSAGE.replace(" ", space) + "\nOwn.") == [PASSAGE.replace(" ", space), "Own."]
+    assert [n for _, _, n in linededup.units("one\ttwo\u00a0three  four\n" + "字" * 45)] == [4, 4]
