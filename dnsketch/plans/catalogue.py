@@ -539,7 +539,7 @@ _MINUTE = """SELECT epoch(date_trunc('minute', ts))::BIGINT AS minute, count(*)
 
 @query(o.with_(o.HOSTS, o.LOG, last=_MINUTE))
 def stream_minutely(spark, d):
-    """Minute counters of a stream, from its windowed state."""
+    """Minute counters of a stream, added up from the parts of its batches."""
     path = periods.shared_folder(spark)
     periods.run_counters(dnslog.dns_log(spark, d, periods.events_stream(spark, d)), path).awaitTermination()
     c = periods.counters(spark, path)

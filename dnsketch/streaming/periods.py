@@ -27,10 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
-def events_stream(spark: SparkSession, folder: str, glob: str = "events*.parquet", per_batch: int = 1) -> DataFrame:
-    """The events of a folder as a stream, so many files a batch."""
-    schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_batch).parquet(folder)
+def events_stream(spark: SparkSession, folder: str, per_batch: int = 1) -> DataFrame:
+    """The events of a folder, a file or a directory of files, as a stream, so many files a batch."""
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    # a stream takes a plain path for a directory; a pattern may also match one file
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(f"{folder}/events.parque[t]")
 
 
 def add_parts(rows: DataFrame, cfg: BloomConfig, path: str, batch: int) -> None:
@@ -63,18 +64,19 @@ def periods(spark: SparkSession, path: str, cfg: BloomConfig) -> sketch.State:
     return sketch.State(head, bloom, sketch.bits_set(bloom), regs, cfg)
 
 
-def run_counters(log: DataFrame, path: str, lateness: str = "10 minutes") -> StreamingQuery:
-    """Counters of each minute, in the engine's own windowed state; each batch writes the windows it changed."""
-    c = metrics.counters(log.withWatermark("ts", lateness), None, F.window("ts", "60 seconds")["start"])
+def run_counters(log: DataFrame, path: str) -> StreamingQuery:
+    """Counters of each minute; each batch writes its own parts, so rows may come in any order and however late."""
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/minutes/batch={number}")
+        c = metrics.counters(batch, None, F.window("ts", "60 seconds")["start"])
+        c.write.mode("overwrite").parquet(f"{path}/minutes/batch={number}")
 
-    return c.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}/_minutes").trigger(availableNow=True).start()
+    return log.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/_minutes").trigger(availableNow=True).start()
 
 
 def counters(spark: SparkSession, path: str) -> DataFrame:
-    """The latest version of each minute."""
+    """The parts of all batches, added up."""
     t = spark.read.option("basePath", f"{path}/minutes").parquet(f"{path}/minutes/batch=*")
-    cols = [c for c in t.columns if c not in ("window_start", "batch")]
-    return t.groupBy("window_start").agg(F.max_by(F.struct(*cols), "batch").alias("x")).select("window_start", "x.*")
+    sums = {c: F.sum(c) for c in t.columns if c not in ("window_start", "batch")}
+    sums["n_qsec"] = F.floor(F.sum("n_proc") / 60)  # a rate: of the sum, not the sum of rates
+    return t.groupBy("window_start").agg(*[x.alias(c) for c, x in sums.items()])

@@ -127,3 +127,18 @@ def test_collector_and_its_stream(spark, tmp_path):
     q = dnstap_stream(spark, folder, 1).writeStream.format("memory").queryName("taps").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["qname"] for r in spark.table("taps").collect()) == [f"h{i}.example." for i in range(5)]
+
+
+def test_minute_counters_of_overlapping_files(spark, tmp_path):
+    import shutil
+
+    from dnsketch.plans import catalogue
+
+    one = "/root/testdata/sf0.001"
+    shutil.copy(f"{one}/pages.parquet", tmp_path / "pages.parquet")
+    events = spark.read.parquet(f"{one}/events.parquet")
+    for k in range(3):  # every file spans the whole time
+        events.filter(f"event_id % 3 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    want = sorted(map(tuple, catalogue.stream_minutely(spark, one).collect()))
+    assert sorted(map(tuple, catalogue.stream_minutely(spark, str(tmp_path)).collect())) == want
+    assert sum(r[1] for r in want) == events.count()
