@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,10 +52,11 @@ def learn(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "tex
     bounds = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(space, -(-2 * SAMPLE * space // r[1]) + 8))])
     h = F.pmod(F.xxhash64(key), F.lit(space))
     chosen = rows.filter(h < bounds[F.col(lang)]).select(F.col(lang).alias("lang"), h.alias("h"), F.col(key).alias("key"), F.substring(text, 1, 4 * EXCERPT).alias("text"))
-    chosen = chosen.orderBy("h", "key", "text").limit(3 * SAMPLE * len(counts)).collect()  # bounded by SAMPLE and LANGUAGES
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "key", "text"))
+    chosen = sorted(chosen.select("lang", nth.alias("nth"), "text").filter(F.col("nth") <= SAMPLE).collect(), key=lambda r: r["nth"])  # bounded by SAMPLE and LANGUAGES
     samples: dict[str, list[bytes]] = {}
     for name in [r[0] for r in counts]:
-        parts = dict.fromkeys(plain(r["text"])[:EXCERPT] for r in [r for r in chosen if r["lang"] == name][:SAMPLE])
+        parts = dict.fromkeys(plain(r["text"])[:EXCERPT] for r in chosen if r["lang"] == name)
         samples[name] = [b for b in parts if len(b) >= 8]
     return _dictionaries(_agreed(samples))
 

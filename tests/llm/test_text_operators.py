@@ -81,6 +81,15 @@ def test_languages(spark):
     assert {x["lang_pred"] for x in langid.identify(odd, {}).collect()} == {"und"}
 
 
+def test_a_rare_language_is_learned_beside_low_hashes_of_another(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 2)
+    h = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    low = [r[0] for r in spark.range(2_000_000).filter(h < 20).collect()]
+    high = [r[0] for r in spark.range(100).filter(h > 1000).limit(3).collect()]
+    rows = [(i, prose("en", 20, i), "en") for i in low] + [(i, prose("de", 20, i), "de") for i in high]
+    assert len(low) > 12 and set(langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))) == {"en", "de"}
+
+
 def test_held_out_is_the_remainder_of_crc32(spark):
     got = spark.range(200).withColumnRenamed("id", "doc_id").select("doc_id", langid.held_out().alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
