@@ -5,19 +5,21 @@ The histogram of piece lengths (at most one entry per length) goes to the driver
 each into the packs that are shortest so far, and keeps counts of packing patterns instead of packs. The patterns are
 a small table of slots; pieces get a rank within their length and find their slot by it.
 
-Defined results: a null or empty text has the end id alone; special strings in a text are ordinary text; repeated rows
-are packed each; equal pieces are told apart by a hash of the whole row only as far as the rank needs it, so which of two
+Defined results: a null or empty text has the end id alone; the tokenizer's special strings in a text have their own ids,
+as the library gives them; repeated rows are packed each; equal pieces are told apart by a hash of the whole row only as far as the rank needs it, so which of two
 equal rows gets which slot is arbitrary but each gets one. An empty table gives no rows. Further columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,12 +33,22 @@ AT_ONCE = 5_000  # words that the library encodes at once; its results are large
 
 class WordTokenizer:
     """Ids of a tokenizer that lowers case and drops white space: words between ASCII spaces are tokenised apart and
-    remembered, and so is a full stop or comma behind a letter, which such a tokenizer never joins with it."""
+    remembered, and so is a full stop or comma behind a letter, which such a tokenizer never joins with it.
+
+    Special strings are taken out of the text as it is written, before anything else, as the library does.
+    """
 
     def __init__(self, file: str, end: int, memo: int = MEMO):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
+        added = self.library.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values()):
+            raise ValueError("added tokens that look at what is around them are not supported")
+        self.special = {t.content: i.to_bytes(4, "little") for i, t in added.items()}
+        either = "|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))
+        self.cut = re.compile(f"({either})") if either else None
+        # a word is never special: what is special in it only once case is gone is ordinary text
         self.library.encode_special_tokens = True
         self.end, self.most = end, memo
         self.memo: dict[str, bytes] = {}
@@ -44,6 +56,16 @@ class WordTokenizer:
 
     def packed(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text, then the end id, as little-endian 32-bit numbers."""
+        tail = self.end.to_bytes(4, "little")
+        hit = self.cut and pc.match_substring_regex(texts, self.cut.pattern)
+        if not hit or not pc.any(hit).as_py():
+            return [x + tail for x in self.plain(texts)]
+        rows = [self.cut.split(t or "") for t in texts.to_pylist()]  # text, special, text, ...
+        got = iter(self.plain(pa.array([x for r in rows for x in r[::2]], pa.large_string())))
+        return [b"".join(self.special[x] if i % 2 else next(got) for i, x in enumerate(r)) + tail for r in rows]
+
+    def plain(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text without special strings."""
         flat, counts = words_of(texts, lower=True, stops=True)
         d = flat.dictionary_encode()
         words = [w.decode() for w in listed(d.dictionary)]
@@ -66,9 +88,9 @@ class WordTokenizer:
             self.memo, self.older = {}, new
         each = np.empty(len(of), object)
         each[:] = of
-        at, tail = each[np.asarray(d.indices)], self.end.to_bytes(4, "little")
+        at = each[np.asarray(d.indices)]
         ends = np.cumsum(counts).tolist()
-        return [b"".join(at[lo:hi].tolist()) + tail for lo, hi in zip([0, *ends], ends)]
+        return [b"".join(at[lo:hi].tolist()) for lo, hi in zip([0, *ends], ends)]
 
 
 @cache

@@ -8,9 +8,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from dnsketch.llm import langid, linededup, packing, toxicity
+from dnsketch.llm import langid, linededup, toxicity
 from dnsketch.llm.queries import tokenizer_path
 
 WORDS = {"en": "the of and to in is that for with was on as by it at from river stone paper window".split(), "de": "der die und das nicht ein ist von mit sich auf für den dem im Fluss stein papier fenster".lower().split()}
@@ -129,12 +130,12 @@ def test_stages(spark, corpus, tmp_path):
     assert key(after) == key(want) and sum(a != b for a, b in zip(key(before), key(after), strict=True)) >= 3
 
     before, after = seen["packing"]
-    t = packing.loaded(tokenizer_path("word_bpe_49k.json"), 1)
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     names = docs.columns
     by = defaultdict(list)
     for r in docs.collect():
         by[r["sequence_id"]].append(r)
-    total = sum(len(t.library.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in before)
+    total = sum(len(library.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in before)
     assert sum(r["length"] for v in by.values() for r in v) == total and len(by) == -(-total // 2048) and "doc_tokens" in names
     assert np.all([sum(r["length"] for r in v) <= 2048 for v in by.values()])
 

@@ -128,12 +128,22 @@ def test_toxicity(spark):
     assert toxicity.grade(docs, none).filter("rejected or severity > 0").count() == 0
 
 
-@given(st.lists(st.one_of(st.none(), st.text(alphabet=" \n\t.,aZé…×5'", max_size=20)), max_size=6))
-@settings(max_examples=150, deadline=None)
-def test_word_tokenizer_is_the_librarys(texts):
+@pytest.fixture(scope="module")
+def words_library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+
+
+STRINGS = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "<|endoftext|"]
+
+
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=" \n\t.,aZé…×5'", max_size=20), st.lists(st.one_of(st.sampled_from(STRINGS), st.text(alphabet=" .a<|É", max_size=4)), max_size=6).map("".join)), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_word_tokenizer_is_the_librarys(words_library, texts):
     t = packing.loaded(tokenizer_path("word_bpe_49k.json"), 1)
     got = [np.frombuffer(x, "<u4").tolist() for x in t.packed(pa.array(texts, pa.string()))]
-    assert got == [t.library.encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
+    assert got == [words_library.encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
     words, counts = words_of(pa.array(texts, pa.string()), lower=True)
     assert [w.decode() for w in words.to_pylist()] == [w for x in texts for w in "".join(c.lower() if c.isascii() else c for c in x or "").split()]
 
@@ -150,12 +160,11 @@ def test_patterns_hold_every_piece(h):
     assert n == Counter(h)
 
 
-def test_packing(spark):
+def test_packing(spark, words_library):
     bounded(spark)
     docs = table(spark, [*ODD, *(prose("en", n, n) for n in range(1, 400, 7))]).withColumn("start", F.lit("clash"))
     parts = packing.pieces(docs, tokenizer_path("word_bpe_49k.json"), length=256, with_ids=True)
     rows = packing.pack(parts, Scratch(spark), 256).collect()
-    library = packing.loaded(tokenizer_path("word_bpe_49k.json"), 1).library
     by_doc, by_seq = {}, {}
     for r in rows:
         by_doc.setdefault(r["doc_id"], []).append(r)
@@ -163,7 +172,7 @@ def test_packing(spark):
         assert zlib.crc32(r["ids"]) == r["ids_crc32"] and r["length"] == len(r["ids"]) // 4
     for d in docs.collect():
         ids = b"".join(r["ids"] for r in sorted(by_doc[d["doc_id"]], key=lambda r: r["start"]))
-        assert np.frombuffer(ids, "<u4").tolist() == library.encode(d["text"] or "", add_special_tokens=False).ids + [1]
+        assert np.frombuffer(ids, "<u4").tolist() == words_library.encode(d["text"] or "", add_special_tokens=False).ids + [1]
     for s in by_seq.values():
         at = 0
         for r in sorted(s, key=lambda r: r["offset"]):
