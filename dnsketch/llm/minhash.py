@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dnsketch.llm.common import Scratch, UnionFind, batches_of, components, listed, release, words_of
@@ -133,18 +133,18 @@ def _sketched(batches):
             n = np.array([len(s) for s in sets], np.int64)
             two = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(two[:, 0]), pa.array(two[:, 1]), bands], names=["doc_id", "n", "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(two[:, 0]), pa.array(two[:, 1]), bands], names=["doc_id", "t", "n", "h1", "h2", "bands"])
     release()
 
 
 def _confirmed(batches):
-    """(a, b, ta, tb) -> (a, b, like): intersection over union, -1 if below the bound."""
+    """(a, ta, b, tb, text of a, text of b) -> (a, ta, b, tb, like): intersection over union, negative below the bound."""
     for whole in batches:
-        for batch in batches_of(whole, 2, 4 << 20):
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            place: dict[int, int] = {}
+        for batch in batches_of(whole, 4, 4 << 20):
+            a, b = (list(zip(*(batch.column(k).to_pylist() for k in (i, i + 1)), strict=True)) for i in (0, 2))
+            place: dict[tuple[int, int], int] = {}
             first: list[tuple[int, int]] = []
-            for col, ids in ((2, a), (3, b)):
+            for col, ids in ((4, a), (5, b)):
                 for i, x in enumerate(ids):
                     if x not in place:
                         place[x] = len(first)
@@ -160,7 +160,7 @@ def _confirmed(batches):
                     like[i] = both / union
                 elif union:
                     like[i] = both / union - 1  # negative, but in order
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(like)], names=["a", "b", "like"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(like)], names=["xm", "xt", "ym", "yt", "like"])
     release()
 
 
@@ -171,90 +171,122 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """
     one = pairs.join(texts.select(F.col("rep").alias("x"), F.col("text").alias("tx")), "x")
     two = one.join(texts.select(F.col("rep").alias("y"), F.col("text").alias("ty")), "y")
-    return two.select("x", "y", "tx", "ty").mapInArrow(_confirmed, "x long, y long, like double")
+    got = two.select(*[F.col(c).alias(c.replace(".", "")) for c in ("x.m", "x.t", "y.m", "y.t")], "tx", "ty").mapInArrow(_confirmed, "xm long, xt long, ym long, yt long, like double")
+    return got.select(vertex("xm", "xt").alias("x"), vertex("ym", "yt").alias("y"), "like")
+
+
+def vertex(m: str, t: str) -> Column:
+    """A row by its id and the hash of its text: rows of one id may have several texts."""
+    return F.struct(F.col(m).alias("m"), F.col(t).alias("t"))
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketch = scratch.save(rows.mapInArrow(_sketched, "doc_id long, n long, h1 long, h2 long, bands array<long>"), "sketch")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("t"))
+    sketch = scratch.save(rows.mapInArrow(_sketched, "doc_id long, t long, n long, h1 long, h2 long, bands array<long>"), "sketch")
     real = sketch.filter("n > 0 and doc_id is not null")
-    same = scratch.save(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "same")
-    first = real.join(same.select("h1", "h2", F.col("rep").alias("doc_id")), ["doc_id", "h1", "h2"])
-    keyed = scratch.save(first.select(F.explode("bands").alias("key"), F.col("doc_id").alias("m"), "n").distinct(), "keyed")
-    pivots = scratch.save(keyed.groupBy("key").agg(F.min("m").alias("p"), F.max("m").alias("last")).filter("p <> last").select("key", "p"), "pivots")
-    live = scratch.save(keyed.join(pivots, "key").select("key", "m", "n", "p"), "live")
+    # a set's representative is the row with the smallest id; links are between ids, bands and texts belong to rows
+    same = scratch.save(real.groupBy("h1", "h2").agg(F.min(vertex("doc_id", "t")).alias("v"), F.min("n").alias("n")), "same")
+    first = real.withColumn("v", vertex("doc_id", "t")).join(same.select("h1", "h2", "v"), ["v", "h1", "h2"])
+    keyed = scratch.save(first.select(F.explode("bands").alias("key"), "v", "n").distinct(), "keyed")
+    pivots = scratch.save(keyed.groupBy("key").agg(F.min("v").alias("p"), F.max("v").alias("last")).filter("p <> last").select("key", "p"), "pivots")
+    live = scratch.save(keyed.join(pivots, "key").select("key", "v", "n", "p"), "live")
     scratch.drop("keyed", "pivots")
 
-    linked = live.select(F.col("m").alias("doc_id")).distinct()
-    texts = rows.filter("doc_id is not null and text is not null").join(linked, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").distinct()
+    linked = live.select("v").distinct()
+    texts = rows.filter("doc_id is not null and text is not null").select(vertex("doc_id", "t").alias("v"), "text").join(linked, "v", "left_semi").select(F.col("v").alias("rep"), "text").distinct()
     texts = scratch.save(texts, "texts")
-    ends = (F.least("m", "p").alias("x"), F.greatest("m", "p").alias("y"))
+    ends = (F.least("v", "p").alias("x"), F.greatest("v", "p").alias("y"))
 
-    # 1: all members of a band with its smallest id
-    like = scratch.save(_verified(live.filter("m <> p").select(*ends).distinct(), texts), "like1")
-    links = like.filter("like > 0").select("x", "y")
+    # 1: all members of a band with its smallest one
+    like = scratch.save(_verified(live.filter("v <> p").select(*ends).distinct(), texts), "like1")
+    links = _ids(like.filter("like > 0"))
     live = _unsettled(live, links, scratch)
     # 2: with the member most like that one
     near = like.groupBy("x", "y").agg(F.max("like").alias("like"))
-    seen = live.filter("m <> p").withColumns({"x": F.least("m", "p"), "y": F.greatest("m", "p")}).join(near, ["x", "y"])
-    best = scratch.save(seen.groupBy("key").agg(F.max_by("m", F.struct("like", -F.col("m"))).alias("q")), "best")
-    pairs = live.drop("p").join(best, "key").filter("m <> q").select(F.least("m", "q").alias("x"), F.greatest("m", "q").alias("y")).distinct()
+    seen = live.filter("v <> p").withColumns({"x": F.least("v", "p"), "y": F.greatest("v", "p")}).join(near, ["x", "y"])
+    best = scratch.save(seen.groupBy("key").agg(F.max_by("v", F.struct("like", -F.col("v.m"), "v.t")).alias("q")), "best")
+    pairs = live.drop("p").join(best, "key").filter("v <> q").select(F.least("v", "q").alias("x"), F.greatest("v", "q").alias("y")).distinct()
     pairs = scratch.save(pairs.join(near, ["x", "y"], "left_anti"), "pairs")
     like = scratch.save(_verified(pairs, texts), "like2")
-    links = links.union(like.filter("like > 0").select("x", "y"))
+    links = links.union(_ids(like.filter("like > 0")))
     live = _unsettled(live, links, scratch)
     # 3: what is still in several components, across these: in small bands pair by pair, in large ones block by block
     size = scratch.save(live.groupBy("key").agg(F.count(F.lit(1)).alias("of")), "size")
     live = scratch.save(live.join(size, "key"), "live")
     few = live.filter(F.col("of") <= FEW)
-    a, b = (few.select("key", F.col("m").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}")) for x in "xy")
+    a, b = (few.select("key", F.col("v").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}")) for x in "xy")
     across = a.join(b, "key").filter(f"x < y and cx <> cy and least(nx, ny) * {LIKE[1]} >= greatest(nx, ny) * {LIKE[0]}")
     pairs = scratch.save(across.select("x", "y").distinct(), "pairs")
     like = scratch.save(_verified(pairs, texts), "like3")
-    links = links.union(like.filter("like > 0").select("x", "y")).union(_in_blocks(live.filter(F.col("of") > FEW), texts, scratch))
+    links = links.union(_ids(like.filter("like > 0"))).union(_in_blocks(live.filter(F.col("of") > FEW), texts, scratch))
 
     # repeated ids with different texts tie their sets together
-    named = real.select("doc_id", "h1", "h2").join(same.select("h1", "h2", "rep"), ["h1", "h2"])
+    named = real.select("doc_id", "h1", "h2").join(same.select("h1", "h2", F.col("v.m").alias("rep")), ["h1", "h2"])
     several = named.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("doc_id", "lo")
     links = links.union(named.join(several, "doc_id").select("lo", "rep")).toDF("a", "b")
     label = components(links, scratch)
-    of_set = same.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    out = sketch.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(of_set, ["h1", "h2"], "left")
-    alone = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", alone.alias("component_id"), F.coalesce(F.col("doc_id") == alone, F.lit(True)).alias("kept"))
+    of_set = same.join(label, F.col("v.m") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "v.m").alias("component_id"))
+    out = sketch.filter("n > 0").select("doc_id", "n", "h1", "h2").join(of_set, ["h1", "h2"], "left").select("doc_id", "n", "component_id")
+    # rows without words have the component of their id's other rows
+    blank = sketch.filter("n = 0").select("doc_id", "n")
+    others = real.select("doc_id", "h1", "h2").join(blank.select("doc_id").distinct(), "doc_id", "left_semi").join(of_set, ["h1", "h2"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    out = out.unionByName(blank.join(others, "doc_id", "left"))
+    alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"), F.coalesce(F.col("doc_id") == alone, F.lit(True)).alias("kept"))
+    result = scratch.save(out, "result")
+    scratch.drop(*[x for x in scratch.at if x != "result"])  # whole texts among them
+    return result
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("x.m").alias("x"), F.col("y.m").alias("y"))
 
 
 def _in_blocks(live: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Links between components of large bands, without a row per pair.
 
     Large bands that share members are one cluster. Its stated queries are the members outside its largest component:
-    of any pair in two components, at least one is among them. Blocks of queries meet blocks of members in a task that
-    counts common elements through an inverted list and returns a union-find forest of the links.
+    of any pair in two components, at least one is among them. Members are told apart by the size of their sets, in
+    classes that grow by 4 / 3: linked sets are in the same class or in neighbours. Blocks of queries meet blocks of
+    members of those classes in a task that counts common elements through an inverted list and returns a union-find
+    forest of the links. Sets are made once and travel as 64-bit numbers.
     """
-    lowest = live.groupBy("key").agg(F.min("m").alias("p"))
-    ties = live.select("key", "m").join(lowest, "key").select(F.col("m").alias("a"), F.col("p").alias("b"))
+    lowest = live.groupBy("key").agg(F.min("v.m").alias("p"))
+    ties = live.select("key", "v.m").join(lowest, "key").select(F.col("m").alias("a"), F.col("p").alias("b"))
     cluster = scratch.save(components(ties, scratch).toDF("m", "cl"), "cluster")
     # one component and size for each member; a bare band of one member has no tie and no pair either
-    of = live.groupBy("m").agg(F.min("c").alias("c"), F.max("n").alias("n")).join(cluster, "m")
+    of = live.groupBy("v").agg(F.min("c").alias("c"), F.max("n").alias("n")).withColumn("m", F.col("v.m")).join(cluster, "m")
     of = scratch.save(of, "of")
     big = of.groupBy("cl", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("cl").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("big"))
-    mark = of.join(big, "cl").withColumn("asks", F.col("c") != F.col("big"))
-    cost = F.sum(F.lit(1.0 / BLOCK) + F.col("n") / BLOCK_ELEMENTS)
-    plan = mark.groupBy("cl").agg(F.ceil(cost).cast("int").alias("mb"), F.ceil(F.sum(F.when(F.col("asks"), F.lit(1.0 / BLOCK) + F.col("n") / BLOCK_ELEMENTS).otherwise(0.0))).cast("int").alias("qb")).filter("qb > 0")
-    mark = scratch.save(mark.join(plan, "cl").select("cl", "m", "c", "asks", "mb", "qb"), "mark")
-    full = scratch.save(mark.join(texts.withColumnRenamed("rep", "m"), "m"), "full")
+    size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(LIKE[1] / LIKE[0])) + 1e-9)
+    mark = of.join(big, "cl").select("cl", "v", "m", "c", "n", (F.col("c") != F.col("big")).alias("asks"), size.alias("s"))
+    cost = F.ceil(F.sum(F.lit(1.0 / BLOCK) + F.col("n") / BLOCK_ELEMENTS)).cast("int")
+    asks = mark.filter("asks").withColumn("s", F.explode(F.array(*[F.col("s") + i for i in (-1, 0, 1)])))
+    plan = mark.groupBy("cl", "s").agg(cost.alias("mb")).join(asks.groupBy("cl", "s").agg(cost.alias("qb")), ["cl", "s"])
+    plan = scratch.save(plan, "plan")
+    sets = scratch.save(mark.join(texts.withColumnRenamed("rep", "v"), "v").select("cl", "s", "m", "c", "asks", "text").mapInArrow(_numbers, "cl long, s long, m long, c long, asks boolean, elements binary"), "sets")
     deal = lambda n, salt: F.pmod(F.xxhash64("m", F.lit(salt)), F.col(n)).cast("int")
-    left = full.filter("asks").select(F.col("cl").alias("qcl"), F.col("m").alias("qm"), F.col("c").alias("qc"), F.col("text").alias("qt"), deal("qb", 1).alias("q"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("b"))
-    right = full.select("cl", "m", "c", "text", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), deal("mb", 2).alias("b"))
-    found = left.groupBy("qcl", "q", "b").cogroup(right.groupBy("cl", "q", "b")).applyInArrow(_block, "x long, y long")
+    left = sets.filter("asks").withColumn("s", F.explode(F.array(*[F.col("s") + i for i in (-1, 0, 1)]))).join(plan, ["cl", "s"])
+    left = left.select(F.col("cl").alias("qcl"), F.col("s").alias("qs"), F.col("m").alias("qm"), F.col("c").alias("qc"), F.col("elements").alias("qe"), deal("qb", 1).alias("q"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("b"))
+    right = sets.join(plan, ["cl", "s"]).select("cl", "s", "m", "c", "elements", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), deal("mb", 2).alias("b"))
+    found = left.groupBy("qcl", "qs", "q", "b").cogroup(right.groupBy("cl", "s", "q", "b")).applyInArrow(_block, "x long, y long")
     return scratch.save(found, "blocks")
 
 
+def _numbers(batches):
+    """The text in the last column -> its set as bytes."""
+    for whole in batches:
+        for batch in batches_of(whole, 5, 4 << 20):
+            sets = [s.tobytes() for s in shingle_sets(batch.column(5))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sets, pa.binary())], names=["cl", "s", "m", "c", "asks", "elements"])
+    release()
+
+
 def _block(left: pa.Table, right: pa.Table) -> pa.Table:
     uf = UnionFind()
     if left.num_rows and right.num_rows:
-        qs, ms = (shingle_sets(t[c].combine_chunks()) for t, c in ((left, "qt"), (right, "text")))
+        qs, ms = ([np.frombuffer(e, np.uint64) for e in t[c].to_pylist()] for t, c in ((left, "qe"), (right, "elements")))
         qn, mn = (np.array([len(s) for s in x], np.int64) for x in (qs, ms))
         qid, mid, qc, mc = (np.asarray(t[c]) for t, c in ((left, "qm"), (right, "m"), (left, "qc"), (right, "c")))
         elements = np.concatenate(qs)
@@ -275,7 +307,7 @@ def _block(left: pa.Table, right: pa.Table) -> pa.Table:
 def _unsettled(live: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of live whose band still has members of several components, with their component c."""
     label = components(links.toDF("a", "b"), scratch)
-    now = live.select("key", "m", "n", "p").join(label.withColumnRenamed("node", "m"), "m", "left").select("key", "m", "n", "p", F.coalesce("component", "m").alias("c"))
+    now = live.select("key", "v", "n", "p").join(label, F.col("v.m") == F.col("node"), "left").select("key", "v", "n", "p", F.coalesce("component", "v.m").alias("c"))
     now = scratch.save(now, "named")
     open_ = scratch.save(now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key"), "open")
     return scratch.save(now.join(open_, "key"), "live")

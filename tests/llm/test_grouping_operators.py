@@ -106,6 +106,25 @@ def test_minhash_odd_ids(spark):
     assert sorted(r["doc_id"] or -1 for r in minhash.drop_copies(df, Scratch(spark)).collect()) == [-1, 3, 3, 3, 12]
 
 
+def test_minhash_of_an_id_with_several_near_texts(spark):
+    """Links of any of an id's texts count, and its rows without words share its component."""
+    bounded(spark)
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(900)]
+    base = [[r.choice(words) for _ in range(61)] for _ in range(5)]
+    a, b, c, d, e = (" ".join(x) for x in base)
+    near = [noisy(x, ["other"], r, 1) for x in base]
+    rows = [(3, a), (3, b), (9, near[1]), (12, near[0]), (5, None), (5, c), (2, near[2]), (7, d), (7, ""), (8, e), (1, near[4]), (1, near[3]), (20, "")]
+    sets = [(i, shingles(t)) for i, t in rows]
+    links = [(i, j) for i, s in sets for j, t in sets if i != j and s and t and 100 * len(s & t) >= 75 * len(s | t)]
+    want = roots({i for i, _ in rows}, links)
+    assert want == {3: 3, 9: 3, 12: 3, 5: 2, 2: 2, 7: 1, 8: 1, 1: 1, 20: 20}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x["doc_id"], x["n_shingles"], x["component_id"], x["kept"]) for x in minhash.near_duplicates(df, Scratch(spark)).collect())
+    assert got == sorted((i, len(s), want[i], want[i] == i) for i, s in sets)
+    assert {x["doc_id"] for x in minhash.drop_copies(df, Scratch(spark)).collect()} == {1, 2, 3, 20}
+
+
 def test_signatures_estimate_jaccard():
     r = np.random.default_rng(3)
     a = np.unique(r.integers(0, 1 << 63, 300, dtype=np.uint64))
