@@ -27,6 +27,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +37,7 @@ from dnsketch.llm.common import Scratch, batches_of
 PAGES = 4  # pages a host needs for a template
 VECTOR = 1 << 44  # occurrence vectors are compared modulo this
 SHARE = 0.5  # of a host's pages that have a template's class
-BROADCAST = 64 << 20  # bytes of template texts that may be sent to every executor; beyond, a join
+BROADCAST = 32 << 20  # bytes of template texts that may be sent to every executor; beyond, a join
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^<>]*\Z", re.S)
 MARK = re.compile(r"([a-zA-Z_:@-][\w:.@-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -47,7 +48,7 @@ RAW = frozenset("script style textarea title noscript template iframe noframes x
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-CLOSED = frozenset("head script style noscript template iframe noframes nav header footer aside form menu dialog button select option input textarea svg canvas object embed audio video title xmp".split())
+CLOSED = frozenset("head script style noscript template iframe noframes nav header footer aside menu dialog button select option input textarea svg canvas object embed audio video title xmp".split())
 # an item ends where the next begins, unless one of these lists is nearer
 ITEMS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 # elements that may end without an end tag
@@ -65,30 +66,67 @@ ARTICLE = frozenset(("article", "main"))
 TAG, TEXT, NUMBER, END = range(4)  # kinds of tokens; NUMBER is that of a host's pages
 
 
-NOTHING = ("", "", False, False, False, ())  # around the first element
+NOTHING = ("", 0, False, False, False, -1)  # around the first element
+
+
+def key_of(above: int, label: str) -> int:
+    """A path or a text under a path as a number: that of what is above it, hashed with its own label."""
+    return xxhash.xxh3_64_intdigest(above.to_bytes(8, "little") + label.encode("utf-8", "surrogatepass")) >> 1
+
+
+class Nest:
+    """Open elements; the innermost of a name is found at once, however deep they nest."""
+
+    def __init__(self):
+        self.items: list[tuple] = []  # the name comes first
+        self.where: dict[str, list[int]] = {}
+
+    def push(self, item: tuple) -> None:
+        self.where.setdefault(item[0], []).append(len(self.items))
+        self.items.append(item)
+
+    def cut(self, k: int) -> list[tuple]:
+        """Closes the elements from the k-th on."""
+        gone = self.items[k:]
+        del self.items[k:]
+        for x in gone:
+            self.where[x[0]].pop()
+        return gone
+
+    def innermost(self, name: str) -> int:
+        at = self.where.get(name)
+        return at[-1] if at else -1
 
 
 class Page:
-    """One page as blocks of text, each with the path it stands under, and the tags around them."""
+    """One page as blocks of text, each with the element it stands in, and the tags around them.
+
+    Time and memory are in proportion to the page, also where elements are never closed.
+    """
 
     def __init__(self, source: str):
-        self.tokens: list[tuple[int, str, int]] = []  # kind, token and element in page order: tags as written, with their path, and texts
-        self.blocks: list[tuple[str, str, bool, int]] = []  # text, path, closed, element
+        self.tokens: list[tuple[int, int, int]] = []  # kind, key and element in page order: tags as written, and texts
+        self.blocks: list[tuple[str, bool, int]] = []  # text, closed, element
         self.above: list[int] = []  # the element around each element, as tags are written
         self.whole: list[bool] = []  # whether it is closed in order
-        self.named: list[tuple[int, ...]] = []  # the elements around each block that are chrome by name
+        self.named: list[int] = []  # the element around each block that is chrome by name, or -1
+        self.around: dict[int, int] = {}  # such an element -> the next one around it, or -1
         self.hold: set[int] = set()  # those of them that hold an article
+        self.forms: set[int] = set()  # those of them that are forms
         self.has_article = False  # outside them
         self.read(source)
         self.decide()
 
     def read(self, s: str) -> None:
-        # name, path, whether it or anything above it is closed, an article, a block, and what is closed by its name around it
-        stack: list[tuple[str, str, bool, bool, bool, tuple[int, ...]]] = []
+        stack = Nest()  # name, path, whether it or anything above it is closed, an article, a block, and the chrome by name around it
+        inner_blocks: list[int] = []  # places of blocks in the stack
         text: list[str] = []
-        raw: list[tuple[str, str, int]] = []  # name, path and number of the elements that no tag has closed
+        raw = Nest()  # name, path and number of the elements that no tag has closed
         tokens, find, token = self.tokens, s.find, TOKEN.match
 
+        def top() -> tuple:
+            return stack.items[-1] if stack.items else NOTHING
+
         def flush() -> None:
             if text:
                 t = "".join(text)
@@ -97,48 +135,44 @@ class Page:
                     t = html.unescape(t)
                 t = " ".join(t.split())
                 if t:
-                    _, path, closed, article, _, named = stack[-1] if stack else NOTHING
-                    tokens.append((TEXT, path + "\0" + t, len(self.blocks)))
+                    _, path, closed, article, _, named = top()
+                    tokens.append((TEXT, key_of(path, "\0" + t), len(self.blocks)))
                     self.named.append(named)
-                    self.has_article |= article and not closed and not named
-                    self.blocks.append((t, path, closed, raw[-1][2] if raw else -1))
+                    self.has_article |= article and not closed and named < 0
+                    self.blocks.append((t, closed, raw.items[-1][2] if raw.items else -1))
 
-        def shut(i: int) -> None:
-            del stack[i:]
+        def shut(k: int) -> None:
+            stack.cut(k)
+            while inner_blocks and inner_blocks[-1] >= k:
+                inner_blocks.pop()
 
         def ended(name: str) -> None:  # an end tag as written
-            for k in range(len(raw) - 1, -1, -1):
-                if raw[k][0] == name:
-                    tokens.append((END, raw[k][1], raw[k][2]))
-                    unclosed(k + 1)
-                    del raw[k:]
-                    return
-            tokens.append((END, name, -1))
-
-        def unclosed(k: int) -> None:
-            for name, _, i in raw[k:]:
+            k = raw.innermost(name)
+            if k < 0:
+                tokens.append((END, key_of(0, name), -1))
+                return
+            first, *rest = raw.cut(k)
+            tokens.append((END, first[1], first[2]))
+            unclosed(rest)
+
+        def unclosed(items: list[tuple]) -> None:
+            for name, _, i in items:
                 if name not in OPTIONAL:
                     self.whole[i] = False
 
         def left_out(name: str) -> None:  # the end tag of an element that may go without
-            k = len(raw) - 1
-            while k >= 0 and raw[k][0] in OPTIONAL and raw[k][0] != name:
+            k = len(raw.items) - 1
+            while k >= 0 and raw.items[k][0] in OPTIONAL and raw.items[k][0] != name:
                 k -= 1
-            if k >= 0 and raw[k][0] == name:
-                del raw[k:]
+            if k >= 0 and raw.items[k][0] == name:
+                raw.cut(k)
 
-        def innermost(name: str) -> int:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    return i
-            return -1
-
-        at, n = 0, len(s)
+        at, n, end_of_tags, last_start = 0, len(s), s.rfind(">"), s.rfind("<")
         while at < n:
             i = find("<", at)
             m = token(s, i) if i >= 0 else None
             while m is None and i >= 0:  # no tag: a plain sign
-                i = find("<", i + 1)
+                i = find("<", i + 1) if i < end_of_tags else last_start if last_start > i else -1  # behind the last > only the last < may begin one
                 m = token(s, i) if i >= 0 else None
             if m is None:
                 text.append(s[at:])
@@ -150,12 +184,12 @@ class Page:
             if not name:
                 continue
             if m[1] or m[4]:  # an end tag
-                k = innermost(name)
+                k = stack.innermost(name)
                 if k < 0:
                     ended(name)
                     continue
-                inner = any(x[4] for x in stack[k:])
-                if inner or stack[-1][2]:
+                inner = bool(inner_blocks) and inner_blocks[-1] >= k
+                if inner or top()[2]:
                     flush()
                 ended(name)
                 if name in BLOCK or not inner:
@@ -167,63 +201,86 @@ class Page:
                 elif name == "hr":
                     flush()
                 continue
-            block, closed, label, given, chrome = name in BLOCK, name in CLOSED, name, m[3], False
-            in_article = bool(stack) and stack[-1][3]
+            block, closed, label, given, chrome = name in BLOCK, name in CLOSED, name, m[3], name == "form"
+            in_article = top()[3]
             if name == "header" and in_article:  # an article's own heading
                 closed = False
             if given and not given.isspace():
                 marks = {x.lower(): (v or "").strip("\"'") for x, v in MARK.findall(given)}
                 names = {x for k in ("class", "id", "role") for x in marks.get(k, "").lower().split()}
                 closed = closed or "hidden" in marks or marks.get("aria-hidden") == "true"
-                chrome = name not in NEVER and not (names.isdisjoint(CHROME) and (in_article or names.isdisjoint(OUTSIDE)))
+                chrome = chrome or name not in NEVER and not (names.isdisjoint(CHROME) and (in_article or names.isdisjoint(OUTSIDE)))
                 if marks.get("class"):
                     label += "." + ".".join(marks["class"].split())
                 if marks.get("id"):
                     label += "#" + marks["id"]
             if block or closed or chrome:
                 flush()
-            if name in CLOSES_P and (k := innermost("p")) >= 0:
+            if name in CLOSES_P and (k := stack.innermost("p")) >= 0:
                 shut(k)
                 left_out("p")
-            if name in ITEMS and (k := innermost(name)) >= 0 and k > max(innermost(x) for x in ITEMS[name]):
+            if name in ITEMS and (k := stack.innermost(name)) >= 0 and k > max(stack.innermost(x) for x in ITEMS[name]):
                 shut(k)
                 left_out(name)
-            above = stack[-1] if stack else NOTHING
-            path = f"{above[1]}/{label}" if stack else label
-            if name in ARTICLE and not above[2]:
-                self.hold.update(above[5])
-            named = (*above[5], len(self.whole)) if chrome else above[5]
-            stack.append((name, path, closed or above[2], in_article or name in ARTICLE, block, named))
-            tokens.append((TAG, path, len(self.whole)))
-            self.above.append(raw[-1][2] if raw else -1)
-            raw.append((name, path, len(self.whole)))
+            above, number = top(), len(self.whole)
+            path, named = key_of(above[1], label), above[5]
+            if name in ARTICLE and not above[2] and named >= 0:
+                self.hold.add(named)
+            if chrome:
+                self.around[number] = named
+                named = number
+                if name == "form":
+                    self.forms.add(number)
+            if block:
+                inner_blocks.append(len(stack.items))
+            stack.push((name, path, closed or above[2], in_article or name in ARTICLE, block, named))
+            tokens.append((TAG, path, number))
+            self.above.append(raw.items[-1][2] if raw.items else -1)
+            raw.push((name, path, number))
             self.whole.append(True)
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(s, at)
                 at = end.end() if end else n
                 if end:
                     ended(name)
-                shut(len(stack) - 1)
+                shut(len(stack.items) - 1)
             elif given and given.rstrip().endswith("/"):
-                raw.pop()
-                shut(len(stack) - 1)
+                raw.cut(len(raw.items) - 1)
+                shut(len(stack.items) - 1)
         flush()
-        unclosed(0)
-
+        unclosed(raw.cut(0))
 
     def decide(self) -> None:
-        """Closes blocks in chrome by name; on a page without an article elsewhere, not what holds one or, without any, most text."""
-        if any(self.named):
-            size: dict[int, int] = {}
+        """Closes blocks in chrome by name; on a page without an article elsewhere, not what holds one or, without any, most text.
+
+        A form is open only if it holds an article.
+        """
+        if self.around:
+            size = dict.fromkeys(self.around, 0)
             every = 0
-            for (t, _, closed, _), named in zip(self.blocks, self.named, strict=True):
+            for (t, closed, _), named in zip(self.blocks, self.named, strict=True):
                 if not closed:
                     every += len(t)
-                    for i in named:
-                        size[i] = size.get(i, 0) + len(t)
-            opened = set() if self.has_article else self.hold or {i for i, n in size.items() if 2 * n > every}
-            self.blocks = [(t, path, closed or not opened.issuperset(named), i) for (t, path, closed, i), named in zip(self.blocks, self.named, strict=True)]
-        self.tokens = [x for x in self.tokens if x[0] != TEXT or not self.blocks[x[2]][2]]
+                    if named >= 0:
+                        size[named] += len(t)
+            for i in reversed(size):  # from the inside
+                if (j := self.around[i]) >= 0:
+                    size[j] += size[i]
+                    if i in self.hold:
+                        self.hold.add(j)
+            opened = set() if self.has_article else self.hold or {i for i, n in size.items() if 2 * n > every} - self.forms
+            shut = {-1: False}
+            for i, j in self.around.items():  # from the outside
+                shut[i] = shut[j] or i not in opened
+            self.blocks = [(t, closed or shut[named], i) for (t, closed, i), named in zip(self.blocks, self.named, strict=True)]
+        self.tokens = [x for x in self.tokens if x[0] != TEXT or not self.blocks[x[2]][1]]
+
+    def sound(self) -> list[bool]:
+        """Whether each element and all around it are closed in order."""
+        out: list[bool] = []
+        for whole, above in zip(self.whole, self.above, strict=True):
+            out.append(whole and (above < 0 or out[above]))
+        return out
 
 
 def host_column(url: str) -> Column:
@@ -236,8 +293,6 @@ def _occurrences(copied: np.ndarray | None):
     copied: the sorted hashes of pages that have copies, None if they are too many to send. Their rows carry the hash as
     copy, so that they count once for a host; the rows of all other pages have 0 and are added up here.
     """
-    import xxhash
-
     h64 = xxhash.xxh3_64_intdigest
 
     def run(batches):
@@ -258,9 +313,8 @@ def _occurrences(copied: np.ndarray | None):
                         if (host, NUMBER, 0, copy) in total:
                             continue
                     counts: dict[tuple[int, int], int] = {}
-                    for kind, t, _ in Page(source or "").tokens:
-                        k = (kind, h64(t) >> 1)
-                        counts[k] = counts.get(k, 0) + 1
+                    for kind, token, _ in Page(source or "").tokens:
+                        counts[kind, token] = counts.get((kind, token), 0) + 1
                     counts[NUMBER, 0] = 1
                     for (kind, token), c in counts.items():
                         x = total.setdefault((host, kind, token, copy), [0, 0, 0])
@@ -301,12 +355,12 @@ def templates(pages: DataFrame, scratch: Scratch, url: str = "url", source: str
     return often.withColumn("tags", tags).filter("tags > 0").select("host", F.col("vector").alias("class_id"), "kind", "token", "pages", "n", "of")
 
 
-def _valid(page: Page, tokens: list[tuple[int, int, int]], template: dict[tuple[int, int], int]) -> set[int]:
-    """The classes that are valid on this page; tokens: kind, hash, element of each token of the page."""
+def _valid(page: Page, template: dict[tuple[int, int], int]) -> set[int]:
+    """The classes that are valid on this page."""
     placed: list[tuple[int, tuple[int, int]]] = []  # class and token, in page order
     rounds: dict[int, list[tuple[int, int]]] = {}
     tagged: set[int] = set()
-    for kind, token, i in tokens:
+    for kind, token, i in page.tokens:
         c = template.get((kind, token))
         if c is None or (kind != TEXT and (i < 0 or not page.whole[i])):
             continue
@@ -338,26 +392,39 @@ def _valid(page: Page, tokens: list[tuple[int, int, int]], template: dict[tuple[
 
 def main_text(source: str | None, template: dict[tuple[int, int], int] | None = None) -> str:
     """The text in the slots of a page; template: (kind, token) -> class."""
-    import xxhash
-
-    h64 = xxhash.xxh3_64_intdigest
     page = Page(source or "")
     same: set[int] = set()  # blocks that are the template's
     if template:
-        tokens = [(kind, h64(t) >> 1, i) for kind, t, i in page.tokens]
-        valid = _valid(page, tokens, template)
-        for kind, token, i in tokens:
-            if kind == TEXT and template.get((kind, token)) in valid:
-                e = page.blocks[i][3]
-                while e >= 0 and page.whole[e]:
-                    e = page.above[e]
-                if e < 0:
-                    same.add(i)
-    slots = [(b[0], i in same) for i, b in enumerate(page.blocks) if not b[2]]
+        valid, sound = _valid(page, template), page.sound()
+        for kind, token, i in page.tokens:
+            if kind == TEXT and template.get((kind, token)) in valid and ((e := page.blocks[i][2]) < 0 or sound[e]):
+                same.add(i)
+    slots = [(t, i in same) for i, (t, closed, _) in enumerate(page.blocks) if not closed]
     main = [t for t, of_template in slots if not of_template]
     return "\n".join(main or [t for t, _ in slots])  # a page is not all template
 
 
+class Templates:
+    """The templates of all hosts in arrays, ENTRY bytes each and the hosts' names; one of them at a time as a dictionary."""
+
+    ENTRY = 17
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.sort_by("host")
+        hosts = rows["host"].combine_chunks().dictionary_encode()  # in order of their first row
+        starts = np.searchsorted(np.asarray(hosts.indices), np.arange(len(hosts.dictionary) + 1)).tolist()
+        self.at = {h: (starts[i], starts[i + 1]) for i, h in enumerate(hosts.dictionary.to_pylist())}
+        self.kind, self.token, self.class_id = (rows[c].to_numpy().astype(t) for c, t in (("kind", np.int8), ("token", np.int64), ("class_id", np.int64)))
+        self.last: tuple[str | None, dict[tuple[int, int], int]] = (None, {})
+
+    def of(self, host: str) -> dict[tuple[int, int], int]:
+        if host != self.last[0]:
+            lo, hi = self.at.get(host, (0, 0))
+            keys = zip(self.kind[lo:hi].tolist(), self.token[lo:hi].tolist(), strict=True)
+            self.last = host, dict(zip(keys, self.class_id[lo:hi].tolist(), strict=True))
+        return self.last[1]
+
+
 def extract(pages: DataFrame, scratch: Scratch, url: str = "url", source: str = "html", broadcast: int = BROADCAST) -> DataFrame:
     """pages with text string and n_chars long."""
     found = scratch.save(templates(pages, scratch, url, source, broadcast), "templates")
@@ -368,16 +435,14 @@ def extract(pages: DataFrame, scratch: Scratch, url: str = "url", source: str =
     def done(batch, texts):
         return pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=names)
 
-    if found.count() * 40 <= broadcast:  # the bound of what is sent, checked
-        known: dict[str, dict[tuple[int, int], int]] = {}
-        for r in found.toLocalIterator():
-            known.setdefault(r["host"], {})[r["kind"], r["token"]] = r["class_id"]
-        sent = scratch.spark.sparkContext.broadcast(known)
+    size = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("host")), F.lit(0))).first()
+    if size[0] * Templates.ENTRY + size[1] <= broadcast:  # the bound of what is sent, checked
+        sent = scratch.spark.sparkContext.broadcast(Templates(found.select("host", "kind", "token", "class_id").toArrow()))
 
         def run(batches):
             for whole in batches:
                 for batch in batches_of(whole, s):
-                    yield done(batch, [main_text(x, sent.value.get(y)) for x, y in zip(batch.column(s).to_pylist(), batch.column(len(rest)).to_pylist(), strict=True)])
+                    yield done(batch, [main_text(x, sent.value.of(y)) for x, y in zip(batch.column(s).to_pylist(), batch.column(len(rest)).to_pylist(), strict=True)])
 
         return pages.select(*rest, host_column(url).alias("_host")).mapInArrow(run, schema)
 

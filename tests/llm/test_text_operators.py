@@ -220,16 +220,68 @@ def test_a_text_that_follows_no_tag_is_data(spark):
     assert extracted(spark, pages)[pages[0]] == "Shared quote\nOwn 0"
 
 
+def path(labels):
+    at = 0
+    for x in labels.split("/"):
+        at = template.key_of(at, x)
+    return at
+
+
 def test_misplaced_tags_make_no_template():
-    classes = {(template.TAG, "body"): 1, (template.END, "body"): 1, (template.TAG, "body/i"): 2, (template.END, "body/i"): 2, (template.TAG, "body/i/u"): 2, (template.END, "body/i/u"): 2}
+    classes = {(kind, path(x)): c for x, c in (("body", 1), ("body/i", 2), ("body/i/u", 2)) for kind in (template.TAG, template.END)}
     for html, valid in (("<body><i><u>a</u></i></body>", {1, 2}), ("<body><i><u>a</i></u></body>", {1, 2}), ("<body><i><u>a</u></i><i></i><u></u></body>", {1})):
-        page = template.Page(html)
-        keys = {k: (k[0], n) for n, k in enumerate(classes)}
-        tokens = [(k, keys.get((k, t), (k, -1))[1], i) for k, t, i in page.tokens]
-        assert template._valid(page, tokens, {keys[k]: c for k, c in classes.items()}) == valid, html
+        assert template._valid(template.Page(html), classes) == valid, html
     assert template.Page("<i><u>a</i></u>").whole == [True, False]
 
 
+def test_a_plain_deduction_gives_the_same_texts(spark):
+    """Occurrence vectors as tuples over all pages of a host, classes as sets, everything in memory."""
+    r = random.Random(9)
+    pages = []
+    for h in range(4):
+        lines = [f"Line {h} {k}" for k in range(12)]
+        for i in range((3, 9, 14, 6)[h]):
+            body = [f"<div>{x}</div>" for x in lines if r.random() < (1, 1, 0.6, 0.9)[h]] + [f"<p>Own {h} {i} {k}</p>" for k in range(r.randint(1, 4))]
+            r.shuffle(body)
+            html = "<body><span>Top</span><article><b>Read on</b>" + "".join(body) + "<i>More</i></article>" + "</div>" * (r.random() < 0.2) + "<u>End</u></body>"
+            pages += [(f"http://h{h}.example/{i}", html)] * r.choice((1, 1, 1, 3))
+    got = extracted(spark, pages)
+    changed = 0
+    for h in range(4):
+        own = sorted({x for u, x in pages if f"//h{h}." in u})
+        counts = [Counter((k, t) for k, t, _ in template.Page(x).tokens) for x in own]
+        classes = {}
+        for token in set().union(*counts):
+            v = tuple(c[token] for c in counts)
+            on = sum(map(bool, v))
+            if len(own) >= template.PAGES and on > 1 and on >= template.SHARE * len(own):
+                classes.setdefault(v, set()).add(token)
+        deduced = {t: n for n, c in enumerate(classes.values()) if any(k == template.TAG for k, _ in c) for t in c}
+        for u, x in pages:
+            if f"//h{h}." in u:
+                assert got[u, x] == template.main_text(x, deduced)
+                changed += got[u, x] != template.main_text(x)
+    assert changed > 10
+
+
+def test_tags_that_are_never_closed_take_time_in_proportion():
+    import time
+    import tracemalloc
+
+    took = {}
+    for n in (30_000, 240_000):
+        for one in ("<b>x", "<div class=ad>x", "<p><i>x"):
+            start = time.perf_counter()
+            page = template.Page(one * n)
+            took[n, one] = time.perf_counter() - start
+            assert len(page.whole) == n * (1 + (one[1] == "p"))
+    assert all(took[240_000, x] < 30 * took[30_000, x] + 1 for _, x in took)
+    tracemalloc.start()
+    template.main_text("<b>x" * 250_000)
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+
+
 def test_the_template_counts_inside_articles_and_text_outside_stays(spark):
     pages = [(f"http://parts.example/{i}", f"<body><div>Lead {i}</div><article><p>Own {i}</p><div>Read more</div></article><div>Tail {i}</div></body>") for i in range(5)]
     assert extracted(spark, pages)[pages[2]] == "Lead 2\nOwn 2\nTail 2"
@@ -239,6 +291,10 @@ def test_the_template_counts_inside_articles_and_text_outside_stays(spark):
     "html, text",
     [
         ('<body class="has-sidebar"><p>a</p></body>', "a"),
+        ('<form id="aspnetForm"><div>Menu</div><article>a</article><input value="x"></form>', "Menu\na"),
+        ('<div id="social-history"><p>a</p></div>', "a"),
+        ('<body class="page has-sidebar"><main class="search-results"><p>a</p></main></body>', "a"),
+        ('<body><article class="side-story"><p>a</p></article><form><p>Name</p></form></body>', "a"),
         ('<body class="single comments"><p>a</p></body>', "a"),
         ('<body><article class="post no-comments"><p>a</p></article></body>', "a"),
         ('<body><div class="side"><article>a</article></div></body>', "a"),
