@@ -1,8 +1,8 @@
 """Operator 10: substring dedup by hashing lines and their sentences.
 
 Units: lines are cut where a sentence ends and where a capitalised word follows, so that a passage pasted into the
-middle of a line has units of its own. Words are what white space of any kind separates, or every SIGNS characters where
-that is more, as in scripts without spaces. A unit is normalised (lower case, single spaces) and hashed to 128 bits. One of
+middle of a line has units of its own. Words are what white space of any kind separates, or every SIGNS characters, or
+every DENSE_SIGNS characters of a script without spaces, where that is more. A unit is normalised (lower case, single spaces) and hashed to 128 bits. One of
 fewer than ANCHOR words says too little by itself: it is hashed twice, with as many units behind it and with as many
 before it as give ANCHOR words, across lines. Digests are grouped over the whole table, the occurrence with the smallest
 (doc_id, text hash, offset) is kept, and every later one is a repeat; a short unit is one if either of its digests is.
@@ -12,17 +12,16 @@ sentence that two documents happen to share stays. The spans that go are returne
 
 Defined results: null or empty texts have no unit and stay as they are. Null ids rank last. Rows with the same doc_id
 and text are one document (each keeps or loses the same). A repeat within one document is removed as well. A document
-that loses everything stays with an empty text. Further columns stay; a column named ``removed`` is replaced.
+that loses everything stays with an empty text. Repeats of fewer than RUN words stay and are listed in ``repeated``.
+Further columns stay; columns named ``removed`` or ``repeated`` are replaced.
 """
 
 from __future__ import annotations
 
 import re
-import sys
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +30,8 @@ from dnsketch.llm.common import Scratch, batches_of, release
 
 ANCHOR = 4  # words a unit needs to be hashed by itself
 RUN = 25  # words a run of repeated units needs to go
-SIGNS = 10  # a text without spaces: so many characters count as a word
+SIGNS = 10  # so many characters without a space count as a word
+DENSE_SIGNS = 2  # and so many of a script that is written without spaces
 
 
 def _upper() -> str:
@@ -47,27 +47,40 @@ def _upper() -> str:
     return "".join(out)
 
 
-# 。！？ end a sentence without a space behind them, and closing marks belong to it
-CUT = re.compile(rf"(\s*\n\s*)|(?<=[.!?…。！？｡])[^\S\n]+|(?<=[。！？｡])(?![\s。！？｡」』”’）》】])|(?<=[。！？｡][」』”’）》】])(?=\S)|(?<=[^\W\d_A-Z.!?…,;:])[^\S\n]+(?=[{_upper()}][^\W\d_A-Z])|(?<=[,;:])[^\S\n]+(?=[{_upper()}][^\W\d_A-Z])")
+STOPS, WIDE, CLOSING = ".!?…。！？｡", "。！？｡", "」』”’）》】"  # wide stops need no space behind them, closing marks belong to them
+# white space or a stop: then the space behind a stop, the end of a wide sentence, a line feed, or a space that a capitalised
+# word follows (what stands before it is looked at by the caller). One class of signs in front keeps the search fast.
+CUT = re.compile(rf"[\s{STOPS}](?:(?<=[{STOPS}])(\s+)|(?<=[{WIDE}])([{CLOSING}]?)(?![\s{WIDE}{CLOSING}])|(?<=\n)\s*|(?<=[^\S\n])[^\S\n]*(?:\n\s*|()(?=[{_upper()}][^\W\d_A-Z])))")
+# Blocks of scripts that are written without spaces (Thai, Lao, Myanmar, Khmer, Kana, Han)
+DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def units(text: str) -> list[tuple[int, int, int]]:
     """(start, end, words) of each unit, in order; all but white space is in one of them."""
     out: list[tuple[int, int, int]] = []
     at = 0
+    dense = DENSE.search(text) is not None
 
     def unit(lo: int, hi: int) -> None:
-        words = text[lo:hi].split()
+        u = text[lo:hi]
+        words = u.split()
         if words:
-            out.append((lo, hi, max(len(words), sum(map(len, words)) // SIGNS)))
+            n = max(len(words), (len(u) - len(words) + 1) // SIGNS)
+            out.append((lo, hi, max(n, len(DENSE.findall(u)) // DENSE_SIGNS) if dense else n))
 
     for m in CUT.finditer(text):
-        if m.start() > at:
-            unit(at, m.start())
+        lo, kind = m.start(), m.lastindex
+        if kind == 1:
+            lo += 1
+        elif kind == 2:
+            lo = m.end()
+        elif kind == 3 and not (lo and ((before := text[lo - 1]) in ",;:" or before.isalpha() and not "A" <= before <= "Z")):
+            continue
+        if lo > at:
+            unit(at, lo)
         at = m.end()
     if at < len(text):
         unit(at, len(text))
-
     return out
 
 
@@ -110,20 +123,19 @@ def _digested(batches):
                         digests.append(digest(part))
             two = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             ids = batch.column(0).take(pa.array(row, pa.int32()))
-            ids = pc.fill_null(ids, sys.maxsize)
             arrays = [ids, pa.array(hashes, pa.int64()), *[pa.array(x, pa.int32()) for x in (start, end, words, seq)], pa.array(two[:, 0]), pa.array(two[:, 1])]
             yield pa.RecordBatch.from_arrays(arrays, names=["d", "h", "lo", "hi", "words", "k", "d1", "d2"])
     release()
 
 
 def repeats(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """d (doc_id, null as the largest number), h (text hash), runs: the repeated units of each document."""
+    """d (doc_id), h (text hash), runs: the repeated units of each document."""
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("text"))
     every = scratch.save(rows.mapInArrow(_digested, "d long, h long, lo int, hi int, words int, k int, d1 long, d2 long"), "units")
-    place = F.struct("d", "h", "lo")
+    place = F.struct(F.col("d").isNull().alias("last"), F.coalesce("d", F.lit(0)).alias("d"), "h", "lo")
     first = every.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1", "d2", "first")
     first = scratch.save(first, "first")
-    again = every.join(first, ["d1", "d2"]).filter(place != F.col("first")).select("d", "h", "k", "lo", "hi", "words", F.col("first.d").alias("of"))
+    again = every.join(first, ["d1", "d2"]).filter(place != F.col("first")).select("d", "h", "k", "lo", "hi", "words", F.when(~F.col("first.last"), F.col("first.d")).alias("of"))
     again = scratch.save(again, "again")
     scratch.drop("units", "first")
     return again.groupBy("d", "h").agg(F.collect_set(F.struct("k", "lo", "hi", "words", "of")).alias("runs"))
@@ -134,7 +146,12 @@ def spans(runs: list[dict], text: str, least: int = RUN) -> list[tuple[int, int,
 
     With each span, the documents that have the earliest occurrences of its units.
     """
-    out: list[tuple[int, int, list[int]]] = []
+    return [(lo, hi, of) for lo, hi, of, n in all_spans(runs, text) if n >= least]
+
+
+def all_spans(runs: list[dict], text: str) -> list[tuple[int, int, list[int], int]]:
+    """The same for all runs of repeated units, however short, with their words."""
+    out: list[tuple[int, int, list[int], int]] = []
     runs = sorted(runs, key=lambda r: r["k"])  # a short unit comes twice if both of its digests are repeats
     i = 0
     while i < len(runs):
@@ -142,23 +159,27 @@ def spans(runs: list[dict], text: str, least: int = RUN) -> list[tuple[int, int,
         while j + 1 < len(runs) and (step := runs[j + 1]["k"] - runs[j]["k"]) <= 1:
             j += 1
             n += runs[j]["words"] if step else 0
-        if n >= least:
-            lo, hi = runs[i]["lo"], runs[j]["hi"]
-            while hi < len(text) and text[hi].isspace():
-                hi += 1
-            out.append((lo, hi, sorted({r["of"] for r in runs[i : j + 1]} - {sys.maxsize})))
+        lo, hi = runs[i]["lo"], runs[j]["hi"]
+        while hi < len(text) and text[hi].isspace():
+            hi += 1
+        out.append((lo, hi, sorted({r["of"] for r in runs[i : j + 1]} - {None}), n))
         i = j + 1
     return out
 
 
 def without_repeats(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", least: int = RUN) -> DataFrame:
-    """docs with text without its repeated passages, and removed array<struct<start, end, kept_in>>: offsets in the original text, and the
-    documents that keep what is removed (null ids are left out of that list)."""
-    rest = [c for c in docs.columns if c != "removed"]
+    """docs with text without its repeated passages, removed and repeated, both array<struct<start, end, kept_in>>: offsets in the
+    original text, and the documents that have the earliest occurrence (null ids are left out of that list).
+
+    removed: the runs that went; repeated: those of fewer than `least` words, down to a single line, that stay. least = 1
+    removes every repeated unit.
+    """
+    rest = [c for c in docs.columns if c not in ("removed", "repeated")]
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kept_in", T.ArrayType(T.LongType()))])
-    schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField("removed", T.ArrayType(span))])
+    schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(c, T.ArrayType(span)) for c in ("removed", "repeated")])
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kept_in", pa.list_(pa.int64()))]))
     found = scratch.save(repeats(docs, scratch, doc_id, text), "runs")
-    names = [*rest, "removed"]
+    names = [*rest, "removed", "repeated"]
     place = rest.index(text)
 
     def numbered(batches):  # the same hash as in the units
@@ -170,18 +191,20 @@ def without_repeats(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", t
     def cut(batches):
         for whole in batches:
             for batch in batches_of(whole, place):
-                texts, gone = [], []
+                texts, gone, stay = [], [], []
                 for t, runs in zip(batch.column(place).to_pylist(), batch.column(len(rest)).to_pylist(), strict=True):
-                    s = spans(runs, t, least) if runs else []
-                    for lo, hi, _ in reversed(s):
-                        t = t[:lo] + t[hi:]
-                    texts.append(t.rstrip() if s else t)
-                    gone.append([{"start": lo, "end": hi, "kept_in": of} for lo, hi, of in s])
+                    every = all_spans(runs, t) if runs else []
+                    s = [x for x in every if x[3] >= least]
+                    if s:
+                        ends = [0, *(x for lo, hi, *_ in s for x in (lo, hi)), len(t)]
+                        t = "".join(t[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)).rstrip()
+                    texts.append(t)
+                    for out, short in ((gone, False), (stay, True)):
+                        out.append([{"start": lo, "end": hi, "kept_in": of} for lo, hi, of, n in every if (n < least) == short])
                 columns = [*batch.columns[:place], pa.array(texts, pa.string()), *batch.columns[place + 1 : len(rest)]]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kept_in", pa.list_(pa.int64()))])))], names=names)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, kind), pa.array(stay, kind)], names=names)
         release()
 
     marked = docs.select(*rest).mapInArrow(numbered, T.StructType([docs.schema[c] for c in rest] + [T.StructField("_h", T.LongType())]))
-    own = F.coalesce(F.col(doc_id).cast("long"), F.lit(sys.maxsize))
-    joined = marked.join(found.withColumnsRenamed({"d": "_d", "h": "_uh", "runs": "_runs"}), (own == F.col("_d")) & (F.col("_h") == F.col("_uh")), "left")
+    joined = marked.join(found.withColumnsRenamed({"d": "_d", "h": "_uh", "runs": "_runs"}), F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_uh")), "left")
     return joined.select(*rest, "_runs").mapInArrow(cut, schema)

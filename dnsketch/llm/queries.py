@@ -100,7 +100,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = linededup.without_repeats(docs, Scratch(spark))
     gone = F.aggregate("removed", F.lit(0), lambda a, s: a + s["end"] - s["start"])
-    return found.select("doc_id", "text", F.size("removed").alias("n_removed"), gone.cast("long").alias("chars_removed"), F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"])).alias("spans"), F.array_distinct(F.flatten("removed.kept_in")).alias("kept_in"))
+    return found.select("doc_id", "text", F.size("removed").alias("n_removed"), gone.cast("long").alias("chars_removed"), F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"])).alias("spans"), F.transform("repeated", lambda s: F.concat_ws("-", s["start"], s["end"])).alias("short_repeats"), F.array_distinct(F.flatten("removed.kept_in")).alias("kept_in"))
 
 
 QUERIES = {

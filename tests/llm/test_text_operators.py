@@ -355,12 +355,23 @@ def test_repeated_short_lines_go(spark):
 def test_passages_without_spaces_go(spark):
     r = random.Random(5)
     han = lambda n: "".join(chr(r.randint(0x4E00, 0x9FA0)) for _ in range(n))
-    paragraph = "".join(han(r.randint(8, 30)) + "。" for _ in range(20))
+    paragraph = "".join(han(r.randint(8, 30)) + "。" for _ in range(10))[:191] + "。"
     own = [han(20) + "。" for _ in range(4)]
     assert kept(spark, paragraph, f"{own[0]}\n{paragraph}\n{own[1]}", f"{own[2]}{paragraph}{own[3]}") == [paragraph, f"{own[0]}\n{own[1]}", own[2] + own[3]]
 
 
+def test_short_repeats_are_listed_and_the_largest_id_is_no_null(spark):
+    big = 2**63 - 1
+    line = "A line of some twenty words that is in each of these texts and yet is too short to go by itself."
+    df = spark.createDataFrame([(big, PASSAGE), (None, PASSAGE + "\nOwn none."), (4, f"{line}\nOwn four."), (5, f"Own five.\n{line}")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in linededup.without_repeats(df, Scratch(spark)).collect()}
+    assert got[big]["text"] == PASSAGE and got[None]["text"] == "Own none." and got[None]["removed"][0]["kept_in"] == [big]
+    assert [(s["start"], s["end"], s["kept_in"]) for s in got[5]["repeated"]] == [(10, 10 + len(line), [4])] and not got[4]["repeated"]
+    every = {r["doc_id"]: r["text"] for r in linededup.without_repeats(df, Scratch(spark), least=1).collect()}
+    assert every == {big: PASSAGE, None: "Own none.", 4: f"{line}\nOwn four.", 5: "Own five."}
+
+
 def test_words_between_any_white_space_count(spark):
     for space in ("\t", "\u00a0"):
         assert kept(spark, PASSAGE.replace(" ", space), PASSAGE.replace(" ", space) + "\nOwn.") == [PASSAGE.replace(" ", space), "Own."]
-    assert [n for _, _, n in linededup.units("one\ttwo\u00a0three  four\n" + "字" * 45)] == [4, 4]
+    assert [n for _, _, n in linededup.units("one\ttwo\u00a0three  four\n" + "字" * 45 + "\n" + "a" * 45)] == [4, 22, 4]
