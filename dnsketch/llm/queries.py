@@ -68,7 +68,7 @@ def op5_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dnsketch.llm import kdshard
 
-    return kdshard.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark))
+    return kdshard.shard(table(spark, sf_dir, "documents"), Scratch(spark))
 
 
 def op7_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:

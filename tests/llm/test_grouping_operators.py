@@ -198,9 +198,9 @@ def test_top_inner_products(spark, monkeypatch, tree):
 
 def test_shards(spark):
     r = random.Random(3)
-    texts = [None, "", *("x" * r.randint(0, 300) + "\n" * r.randint(0, 3) for _ in range(700)), *["copy of one text"] * 3, *["heavy " * 40] * 300]
-    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, size int")
-    rows = kdshard.shard(df.select("doc_id", "text"), Scratch(spark), 10).collect()
+    texts = [None, "", *("x" * r.randint(0, 300) + "\n" * r.randint(0, 3) for _ in range(700)), *["copy of one text"] * 3, *["heavy " * 40] * 300, *["half a shard " * 6] * 100]
+    df = spark.createDataFrame([(i, t, "abc"[i % 3], f"s{i % 7}" if i % 5 else None, None if i % 11 == 0 else i) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, size int")
+    rows = kdshard.shard(df, Scratch(spark), 10).collect()
     assert sorted(x["doc_id"] for x in rows) == list(range(len(texts)))
     by, where = defaultdict(list), defaultdict(set)
     for x in rows:
@@ -208,10 +208,45 @@ def test_shards(spark):
         b = (t or "").encode()
         assert (x["size"], x["text_crc32"], x["law"], x["grown_shard"]) == (len(b) + 16, zlib.crc32(b), "bytes", None)
         by[x["shard"]].append(x)
-        where[t].add(x["shard"])
+        where[t or ""].add(x["shard"])
     assert set(by) <= set(range(10)) and all(sorted(x["slot"] for x in v) == list(range(len(v))) for v in by.values())
     total = [sum(x["size"] for x in v) for v in by.values()]
-    assert len(total) == 10 and max(total) < 1.2 * sum(total) / 10 and min(total) > 0.8 * sum(total) / 10
-    assert len(where["copy of one text"]) == 1 and len(where["heavy " * 40]) > 1
-    assert kdshard.shard(df.limit(0).select("doc_id", "text"), Scratch(spark)).count() == 0
-    assert Counter(x["shard"] for x in kdshard.shard(df.limit(1).select("doc_id", "text"), Scratch(spark)).collect()).total() == 1
+    part = sum(total) / 10
+    assert len(total) == 10 and max(total) < 1.03 * part and min(total) > 0.97 * part
+    # equal texts are together, but for those that outweigh a shard
+    weight = Counter()
+    for x in rows:
+        weight[texts[x["doc_id"]] or ""] += x["size"]
+    assert all(len(w) == 1 for t, w in where.items() if weight[t] <= part) and len(where["heavy " * 40]) > 1
+    assert 0.3 * part < weight["half a shard " * 6] < part
+    assert kdshard.shard(df.limit(0), Scratch(spark)).count() == 0
+    assert Counter(x["shard"] for x in kdshard.shard(df.limit(1), Scratch(spark)).collect()).total() == 1
+    few = kdshard.shard(df, Scratch(spark), target=int(4 * part)).groupBy("shard").count().collect()
+    assert len(few) == 3
+
+
+def test_shards_are_those_of_a_plain_tree(spark):
+    """Without heavy points: every cut is at the weighted median along the widest dimension."""
+    r = random.Random(6)
+    texts = ["y" * r.randint(1, 40) + str(i) for i in range(3000)]
+    df = spark.createDataFrame([(i, t, r.random(), r.random() * 3) for i, t in enumerate(texts)], "doc_id long, text string, a double, b double")
+    where = {x["doc_id"]: x["shard"] for x in kdshard.shard(df, Scratch(spark), 8, dimensions=[F.col("a"), F.col("b")]).collect()}
+    at = {x["doc_id"]: (x["a"], x["b"] / 3) for x in df.collect()}
+    size = [len(t) + 16 for t in texts]
+    plain = {}
+
+    def grow(ids, first, n):
+        if n == 1:
+            plain.update(dict.fromkeys(ids, first))
+            return
+        d = max((0, 1), key=lambda k: max(at[i][k] for i in ids) - min(at[i][k] for i in ids))
+        ids, total, left = sorted(ids, key=lambda i: at[i][d]), sum(size[i] for i in ids), 0
+        k = 0
+        while left + size[ids[k]] / 2 < total / 2:
+            left += size[ids[k]]
+            k += 1
+        grow(ids[:k], first, n // 2)
+        grow(ids[k:], first + n // 2, n - n // 2)
+
+    grow(range(3000), 0, 8)
+    assert sum(plain[i] == where[i] for i in plain) >= 2970  # but for points at a cut
