@@ -22,13 +22,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the corpus teaches; those without a letter or with a narrow margin go."""
     bounded(spark)
-    return langid.keep_identified(docs, langid.learn(docs, ~langid.held_out()))
+    return langid.keep_identified(docs, langid.learn(docs, ~langid.held_out(), Scratch(spark)))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are more likely clean than toxic."""
+    """Documents whose expected grade is nearer to 0 than to a toxic one."""
     bounded(spark)
-    return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), Scratch(spark)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

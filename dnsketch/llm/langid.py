@@ -17,13 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dnsketch.llm.common import batches_of, keep, release
+from dnsketch.llm.common import Scratch, batches_of, keep, release
 
 UND = "und"
 SAMPLE = 400  # documents read for each language's dictionary, at most
 EXCERPT = 512  # bytes that one of them adds
 DICTIONARY = 32 << 10  # bytes of a dictionary
-LANGUAGES = 200  # most languages learned, the most frequent first
 BLOCK = 2048  # bytes compressed at once, so that a long text cannot become its own dictionary
 LEVEL, SHORT, SHORT_LEVEL = 6, 400, 19  # texts of up to SHORT bytes get the level that finds 3-byte matches
 MARGIN = 0.005  # a rejection below it
@@ -38,46 +37,60 @@ def plain(text: str) -> bytes:
     return " ".join(words).encode() if any(c.isalpha() for w in words for c in w) else b""
 
 
-def learn(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
+def learn(docs: DataFrame, usable: Column, scratch: Scratch, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """A dictionary per language from at most SAMPLE documents of each, chosen by a hash of the key.
 
-    Two passes: one counts languages (no text is read), one reads the texts whose hash is below its language's bound.
+    Two passes: one counts languages (no text is read), one reads the texts whose hash is below its language's bound. Each
+    language's excerpts are gathered in a task of their own; the driver gets three dictionaries of each and no text, and
+    a worker holds one of each, so memory grows with the number of languages by DICTIONARY bytes and by nothing else.
     """
     rows = docs.filter(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
+    counts = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).collect()  # one row per language
     if not counts:
         return {}
+    names = [r[0] for r in counts]
     # a hash in 0..2^20-1 below share * 2^20 keeps about twice SAMPLE documents; the smallest hashes are used
     space = 1 << 20
     bounds = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(space, -(-2 * SAMPLE * space // r[1]) + 8))])
     h = F.pmod(F.xxhash64(key), F.lit(space))
     chosen = rows.filter(h < bounds[F.col(lang)]).select(F.col(lang).alias("lang"), h.alias("h"), F.col(key).alias("key"), F.substring(text, 1, 4 * EXCERPT).alias("text"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "key", "text"))
-    chosen = sorted(chosen.select("lang", nth.alias("nth"), "text").filter(F.col("nth") <= SAMPLE).collect(), key=lambda r: r["nth"])  # bounded by SAMPLE and LANGUAGES
-    samples: dict[str, list[bytes]] = {}
-    for name in [r[0] for r in counts]:
-        parts = dict.fromkeys(plain(r["text"])[:EXCERPT] for r in chosen if r["lang"] == name)
-        samples[name] = [b for b in parts if len(b) >= 8]
-    return _dictionaries(_agreed(samples))
-
-
-def _dictionaries(samples: dict[str, list[bytes]]) -> dict[str, bytes]:
-    """Excerpts joined up to the size of a dictionary; languages without any are left out."""
-    return {name: b" ".join(parts)[:DICTIONARY] for name, parts in samples.items() if parts}
-
-
-def _agreed(samples: dict[str, list[bytes]]) -> dict[str, list[bytes]]:
-    """Without excerpts that the dictionaries of the other half of the sample put in another language.
-
-    A wrong label would put a foreign text into a dictionary, and each of its copies would then fit there.
-    """
-    halves = [{name: parts[k::2] for name, parts in samples.items()} for k in (0, 1)]
-    judges = [Classifier(d) if len(d := _dictionaries(h)) > 1 else None for h in halves]
-    out: dict[str, list[bytes]] = {}
-    for name, parts in samples.items():
-        kept = [b for i, b in enumerate(parts) if (j := judges[1 - i % 2]) is None or j.best(b)[0] == name or name not in j.names]
-        out[name] = kept or parts
-    return out
+    chosen = chosen.select("lang", nth.cast("int").alias("nth"), "text").filter(F.col("nth") <= SAMPLE)
+    samples = scratch.save(chosen.groupBy("lang").applyInArrow(_excerpts, "lang string, nth int, body binary"), "samples")
+    halves = [_dictionaries(samples.filter(F.col("nth") % 2 == k), names) for k in (0, 1)]
+    judges = [d if len(d) > 1 else {} for d in halves]
+
+    def agreed(batches):  # what the dictionaries of the other half of the sample put in another language goes
+        judge = [Classifier(d) if d else None for d in judges]
+        for batch in batches:
+            ok = [(j := judge[1 - n % 2]) is None or name not in j.names or j.best(b)[0] == name for name, n, b in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ok, pa.bool_())], names=["lang", "nth", "body", "ok"])
+
+    # a wrong label would put a foreign text into a dictionary, and each of its copies would then fit there
+    judged = scratch.save(samples.mapInArrow(agreed, "lang string, nth int, body binary, ok boolean"), "judged")
+    all_out = judged.groupBy("lang").agg(F.bool_or("ok").alias("any"))
+    kept = judged.join(all_out, "lang").filter("ok or not any").select("lang", "nth", "body")
+    found = _dictionaries(kept, names)
+    scratch.drop("samples", "judged")
+    return found
+
+
+def _excerpts(t: pa.Table) -> pa.Table:
+    """One language's (lang, nth, text) -> its distinct excerpts in order, numbered from 0."""
+    t = t.sort_by("nth")
+    parts = [b for b in dict.fromkeys(plain(x)[:EXCERPT] for x in t["text"].to_pylist()) if len(b) >= 8]
+    return pa.table({"lang": pa.array([t["lang"][0].as_py()] * len(parts), pa.string()), "nth": pa.array(range(len(parts)), pa.int32()), "body": pa.array(parts, pa.binary())})
+
+
+def _dictionaries(samples: DataFrame, names: list[str]) -> dict[str, bytes]:
+    """Excerpts joined in order up to the size of a dictionary; languages without any are left out."""
+
+    def joined(t: pa.Table) -> pa.Table:
+        t = t.sort_by("nth")
+        return pa.table({"lang": t["lang"][:1], "d": pa.array([b" ".join(t["body"].to_pylist())[:DICTIONARY]], pa.binary())})
+
+    got = {r["lang"]: bytes(r["d"]) for r in samples.groupBy("lang").applyInArrow(joined, "lang string, d binary").collect()}
+    return {name: got[name] for name in names if name in got}
 
 
 class Classifier:

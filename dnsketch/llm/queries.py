@@ -36,7 +36,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     bounded(spark)
     docs = table(spark, sf_dir, "documents")
-    known = langid.learn(docs, ~langid.held_out())
+    known = langid.learn(docs, ~langid.held_out(), Scratch(spark))
     found = langid.identify(docs.select("doc_id", "text"), known)
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
@@ -46,7 +46,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     bounded(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), Scratch(spark))
     return toxicity.grade(docs, model).select("doc_id", "severity", "toxic_p", "grade", F.col("rejected").alias("toxic"), (~F.col("rejected")).alias("kept"))
 
 

@@ -1,16 +1,17 @@
 """Operator 3: toxicity grades by cumulative-link ordinal regression over sparse text features.
 
 P(grade > k) = logistic(w.x - theta_k) with one weight vector for all ordered thresholds theta_0 < theta_1 < ...; the
-output is the expected grade, sum of P(grade > k). Features are whole words and word beginnings that the labelled
-sample ties to toxicity or away from it (chi-square), counted per text as log(1 + n).
+output is the expected grade, sum of P(grade > k), and a text is rejected when that is nearer to a toxic grade than to 0.
+Features are whole words and word beginnings that the labelled sample ties to toxicity or away from it (chi-square),
+counted per text as log(1 + n). Weights and thresholds maximise the likelihood of the labelled grades.
 
-Labels are binary, so the grades of training rows are: 0 not toxic, and for toxic rows 1, 2 or 3 as the number of
-distinct positively tied words falls in the lower, middle or upper third of toxic rows.
+The grades come from the labels alone: 0 not toxic, 1 toxic in a text of good quality, 2 toxic in a text of bad quality
+(1 where the quality is null or not labelled).
 
 Defined results: a null or empty text has no feature and gets the expected grade of the thresholds alone; without a
 labelled row of both kinds nothing is toxic (severity 0). Rows repeat as they come, further columns stay, and columns
-with the names of results are replaced. A label without a document, or null, is not used; documents with several
-labels count once per label.
+with the names of results are replaced. A label without a document, or null, is not used; a document with several
+labels counts once, with the highest grade.
 """
 
 from __future__ import annotations
@@ -25,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dnsketch.llm.common import batches_of, keep, release
+from dnsketch.llm.common import Scratch, batches_of, keep, release
 
 SAMPLE = 12_000  # labelled documents learned from, at most about this many (by a hash of the id)
 FEATURES = 2_000  # words and beginnings that are kept
 BEGIN = (5, 6, 7)  # lengths of word beginnings
 LEAST = 5  # documents a feature must be in
-GRADES = 3
-TOXIC = 0.5  # P(grade > 0) from which a document is rejected
+GRADES = 2  # above 0
+SEVERE = 0.5  # expected grade from which a document is rejected
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -84,67 +85,102 @@ def _counted(batches):
     yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([c[0] for c in n.values()], pa.int64()), pa.array([c[1] for c in n.values()], pa.int64())], names=["f", "n", "t"])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """text, y of about so many labelled documents at most."""
-    rows = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("y"))
+def labelled(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> DataFrame:
+    """text, grade of about so many labelled documents at most: one scan of the documents, written once."""
+    toxic = F.col("toxic") > 0
+    bad = F.coalesce(F.col("quality") <= 0, F.lit(False)) if "quality" in labels.columns else F.lit(False)
+    rows = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", F.when(toxic & bad, 2).when(toxic, 1).otherwise(0).alias("grade"))
+    rows = rows.groupBy("doc_id").agg(F.max("grade").alias("grade"))
     total = rows.count()
     if total > sample:
         rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(sample / total * (1 << 20)))
-    return docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(rows), "doc_id").select("text", "y")  # rows: at most about `sample`
+    rows = scratch.save(rows, "labels")
+    few = F.broadcast(rows) if rows.count() <= 2 * sample else rows  # the bound of what is sent, checked
+    return scratch.save(docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(few, "doc_id").select("text", "grade"), "labelled")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Features by chi-square over the sample, then the ordinal model by Newton-scaled gradient steps on their hits."""
-    rows = labelled(docs, labels, sample)
-    totals = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> Model:
+    """Features by chi-square over the sample, then the ordinal model on their hits."""
+    rows = labelled(docs, labels, scratch, sample)
+    y = (F.col("grade") > 0).cast("int")
+    totals = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(y), F.lit(0))).first()
     n, t = int(totals[0]), int(totals[1])
     if not 0 < t < n:
         return Model()
-    c = rows.mapInArrow(_counted, "f string, n long, t long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).filter(F.col("n") >= LEAST)
+    c = rows.select("text", y.alias("y")).mapInArrow(_counted, "f string, n long, t long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).filter(F.col("n") >= LEAST)
     gap = F.col("t") * n - F.col("n") * t  # chi-square of the 2 x 2 table, up to a constant
     chi = gap.cast("double") * gap / (F.col("n") * (n - F.col("n") + 1.0))
-    top = c.select("f", "n", "t", chi.alias("chi")).orderBy(F.desc("chi"), "f").limit(FEATURES).collect()
+    top = c.select("f", chi.alias("chi")).orderBy(F.desc("chi"), "f").limit(FEATURES).collect()
     model = Model(names={r["f"]: i for i, r in enumerate(top)}, weights=np.zeros(len(top)))
-    tied = {i for i, r in enumerate(top) if r["t"] / t > 3 * max(r["n"] - r["t"], 0.5) / (n - t)}
 
     def hits(batches):
         for batch in batches:
             xs = [model.vector(x) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([list(x) for x in xs], pa.list_(pa.int32())), pa.array([list(x.values()) for x in xs], pa.list_(pa.float32()))], names=["y", "i", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([list(x) for x in xs], pa.list_(pa.int32())), pa.array([list(x.values()) for x in xs], pa.list_(pa.float32()))], names=["grade", "i", "v"])
 
-    got = rows.mapInArrow(hits, "y int, i array<int>, v array<float>").toArrow()  # the bounded sample
-    y = np.asarray(got["y"])
+    got = rows.mapInArrow(hits, "grade int, i array<int>, v array<float>").toArrow()  # the bounded sample
+    scratch.drop("labels", "labelled")
     at = got["i"].combine_chunks()
     lengths = np.diff(np.asarray(at.offsets))
-    row, col, val = np.repeat(np.arange(len(y)), lengths), np.asarray(at.flatten()), np.asarray(got["v"].combine_chunks().flatten(), dtype=np.float64)
-    strong = np.bincount(row, weights=np.isin(col, list(tied)), minlength=len(y))
-    cuts = np.quantile(strong[y > 0], [1 / 3, 2 / 3])
-    grade = np.where(y > 0, 1 + (strong > cuts[0]).astype(int) + (strong > cuts[1]), 0)
-    _fit(model, row, col, val, grade)
+    row, col, val = np.repeat(np.arange(n), lengths), np.asarray(at.flatten()), np.asarray(got["v"].combine_chunks().flatten(), dtype=np.float64)
+    model.weights, model.thresholds = fitted(Hits(row, col, val, np.asarray(got["grade"]), len(top)))
     return model
 
 
-def _fit(model: Model, row, col, val, grade, rounds: int = 400, ridge: float = 1e-4) -> None:
-    n, f = len(grade), len(model.weights)
-    above = np.stack([grade > k for k in range(GRADES)], 1).astype(float)
-    base = np.clip(above.mean(0), 1e-4, 1 - 1e-4)
-    theta = np.maximum.accumulate(np.log((1 - base) / base) + 1e-3 * np.arange(GRADES))
-    w, m1, m2, p1, p2 = np.zeros(f), np.zeros(f), np.zeros(f), np.zeros(GRADES), np.zeros(GRADES)
-    for step in range(1, rounds + 1):  # Adam; full batch
-        eta = np.bincount(row, weights=w[col] * val, minlength=n)
-        err = 1 / (1 + np.exp(np.clip(theta[None] - eta[:, None], -500, 500))) - above  # of each threshold's logistic loss
-        g = np.bincount(col, weights=err.sum(1)[row] * val, minlength=f) / n + ridge * w
-        gt = -err.mean(0)
-        for x, gr, a, b in ((w, g, m1, m2), (theta, gt, p1, p2)):
-            a += 0.1 * (gr - a)
-            b += 0.01 * (gr * gr - b)
-            x -= 0.05 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
-        theta = np.maximum.accumulate(theta)
-    model.weights, model.thresholds = w, theta
+@dataclass
+class Hits:
+    """Training rows: value val of feature col in row row, and the grade of each row."""
+
+    row: np.ndarray
+    col: np.ndarray
+    val: np.ndarray
+    grade: np.ndarray
+    features: int
+
+
+def thresholds(p: np.ndarray) -> np.ndarray:
+    """The first threshold and the logarithms of the steps between them -> ordered thresholds."""
+    return p[0] + np.concatenate([[0.0], np.cumsum(np.exp(p[1:]))])
+
+
+def loss(h: Hits, w: np.ndarray, p: np.ndarray, ridge: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log likelihood with its ridge, and its gradients by w and p.
+
+    P(grade = g) = F(theta_g - eta) - F(theta_(g-1) - eta) with the logistic F, which is 0 below the first threshold and 1 above the last.
+    """
+    n, theta = len(h.grade), thresholds(p)
+    eta = np.bincount(h.row, weights=w[h.col] * h.val, minlength=n)
+    cdf = np.column_stack([np.zeros(n), 1 / (1 + np.exp(np.clip(eta[:, None] - theta[None], -500, 500))), np.ones(n)])
+    rows = np.arange(n)
+    hi, lo = cdf[rows, h.grade + 1], cdf[rows, h.grade]
+    prob = np.maximum(hi - lo, 1e-300)
+    g = np.bincount(h.col, weights=(1 - hi - lo)[h.row] * h.val, minlength=h.features) / n + ridge * w
+    by_theta = np.zeros(len(theta))
+    for k in range(len(theta)):  # the upper bound of grade k, the lower one of grade k + 1
+        f = cdf[:, k + 1] * (1 - cdf[:, k + 1]) / prob
+        by_theta[k] = (f[h.grade == k + 1].sum() - f[h.grade == k].sum()) / n
+    tail = np.cumsum(by_theta[::-1])[::-1]
+    gp = np.concatenate([tail[:1], tail[1:] * np.exp(p[1:])])
+    return float(-np.log(prob).mean() + ridge / 2 * (w @ w)), g, gp
+
+
+def fitted(h: Hits, rounds: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, ordered thresholds) by Adam over all rows at once."""
+    above = np.clip([(h.grade > k).mean() for k in range(GRADES)], 1e-4, 1 - 1e-4)
+    start = np.log((1 - above) / above)
+    x = np.concatenate([np.zeros(h.features), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
+    m1, m2 = np.zeros_like(x), np.zeros_like(x)
+    for step in range(1, rounds + 1):
+        _, g, gp = loss(h, x[: h.features], x[h.features :], ridge)
+        gr = np.concatenate([g, gp])
+        m1 += 0.1 * (gr - m1)
+        m2 += 0.01 * (gr * gr - m2)
+        x -= 0.05 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
+    return x[: h.features], thresholds(x[h.features :])
 
 
 def grade(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with severity double (expected grade), toxic_p double (P(grade > 0)), grade int (most probable), rejected boolean."""
+    """df with severity double (expected grade), toxic_p double (P(grade > 0)), grade int (most probable), rejected boolean (severity of at least SEVERE)."""
     new = [T.StructField("severity", T.DoubleType()), T.StructField("toxic_p", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("rejected", T.BooleanType())]
     rest = [c for c in df.columns if c not in {x.name for x in new}]
     schema, place = T.StructType([df.schema[c] for c in rest] + new), rest.index(text)
@@ -154,7 +190,7 @@ def grade(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for batch in batches_of(whole, place):
                 p = np.array([model.above(model.vector(t)) for t in batch.column(place).to_pylist()]).reshape(batch.num_rows, GRADES)
                 each = np.hstack([np.ones((len(p), 1)), p]) - np.hstack([p, np.zeros((len(p), 1))])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array(each.argmax(1).astype("int32")), pa.array(p[:, 0] >= TOXIC)], names=[x.name for x in schema])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array(each.argmax(1).astype("int32")), pa.array(p.sum(1) >= SEVERE)], names=[x.name for x in schema])
         release()
 
     return df.select(*rest).mapInArrow(run, schema)

@@ -68,7 +68,7 @@ def prose(lang, n, seed):
 def test_languages(spark):
     langs = [("en", "de")[i % 2] for i in range(120)]
     df = table(spark, [prose(x, 40, i) for i, x in enumerate(langs)], lang=langs)
-    known = langid.learn(df, ~langid.held_out())
+    known = langid.learn(df, ~langid.held_out(), Scratch(spark))
     assert set(known) == {"en", "de"}
     got = langid.identify(df.select("doc_id", "text"), known).join(df.select("doc_id", "lang"), "doc_id")
     assert got.filter("lang = lang_pred").count() == 120 and got.filter("score < 0 or score > 1").count() == 0
@@ -77,7 +77,7 @@ def test_languages(spark):
     assert [r[i]["lang_pred"] for i in (0, 1, 2, len(ODD))] == ["und"] * 4 and r[len(ODD) + 1]["lang_pred"] == "de"
     kept = langid.keep_identified(odd, known)
     assert kept.columns == odd.columns and {0, 1, 2, len(ODD)} & {x["doc_id"] for x in kept.collect()} == set() and kept.filter("score = 'x'").count() == kept.count()
-    assert langid.learn(df.limit(0), F.lit(True)) == {}
+    assert langid.learn(df.limit(0), F.lit(True), Scratch(spark)) == {}
     assert {x["lang_pred"] for x in langid.identify(odd, {}).collect()} == {"und"}
 
 
@@ -87,7 +87,40 @@ def test_a_rare_language_is_learned_beside_low_hashes_of_another(spark, monkeypa
     low = [r[0] for r in spark.range(2_000_000).filter(h < 20).collect()]
     high = [r[0] for r in spark.range(100).filter(h > 1000).limit(3).collect()]
     rows = [(i, prose("en", 20, i), "en") for i in low] + [(i, prose("de", 20, i), "de") for i in high]
-    assert len(low) > 12 and set(langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))) == {"en", "de"}
+    assert len(low) > 12 and set(langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), Scratch(spark))) == {"en", "de"}
+
+
+def test_predictions_are_those_of_plain_compression(spark):
+    """Dictionaries from the chosen documents in order, and the smallest sum of block sizes, in plain Python."""
+    import zstandard
+
+    r = random.Random(12)
+    langs = [("en", "de", "fr")[i % 3] for i in range(90)]
+    WORDS["fr"] = "le la et les des en un une est que dans pour au avec sur".split()
+    texts = [prose(x, r.randint(10, 900), i) for i, x in enumerate(langs)]
+    texts[4] = prose("fr", 60, 1)  # a wrong label
+    df = table(spark, texts, lang=langs)
+    known = langid.learn(df, ~langid.held_out(), Scratch(spark))
+    h = {x["doc_id"]: x["h"] for x in df.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("h")).collect()}
+    train = [i for i in range(90) if zlib.crc32(str(i).encode()) % 4 != 2]
+    parts = {x: list(dict.fromkeys(langid.plain(texts[i])[: langid.EXCERPT] for i in sorted(train, key=lambda i: (h[i], i)) if langs[i] == x)) for x in ("en", "de", "fr")}
+
+    def size(d, b):
+        lvl = langid.SHORT_LEVEL if len(b) <= langid.SHORT else langid.LEVEL
+        c = zstandard.ZstdCompressor(level=lvl, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+        return sum(len(c.compress(b[i : i + langid.BLOCK])) for i in range(0, len(b), langid.BLOCK))
+
+    def judged(x, k, b):
+        half = {y: b" ".join(p[1 - k % 2 :: 2])[: langid.DICTIONARY] for y, p in parts.items()}
+        return min(half, key=lambda y: size(half[y], b)) == x
+
+    plain = {x: b" ".join(b for k, b in enumerate(p) if judged(x, k, b))[: langid.DICTIONARY] for x, p in parts.items()}
+    assert known == plain and langid.plain(texts[4])[:80] not in known[langs[4]]
+    got = {x["doc_id"]: x for x in langid.identify(df.select("doc_id", "text"), known).collect()}
+    for i, t in enumerate(texts):
+        sizes = sorted((size(d, langid.plain(t)), k, x) for k, (x, d) in enumerate(known.items()))
+        margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+        assert got[i]["lang_pred"] == sizes[0][2] and abs(got[i]["score"] - min(1, margin / langid.FULL)) < 0.1
 
 
 def test_held_out_is_the_remainder_of_crc32(spark):
@@ -97,7 +130,7 @@ def test_held_out_is_the_remainder_of_crc32(spark):
 
 def test_learning_sees_no_held_out_text(spark):
     df = table(spark, [prose("en", 20, i) + f" secret{i}" for i in range(60)], lang=["en"] * 60)
-    body = langid.learn(df, ~langid.held_out())["en"].decode()
+    body = langid.learn(df, ~langid.held_out(), Scratch(spark))["en"].decode()
     for i in range(60):
         if zlib.crc32(str(i).encode()) % 4 == 2:
             assert prose("en", 20, i)[:60] not in body
@@ -114,8 +147,8 @@ def test_toxicity(spark):
         texts.append(" ".join(w))
         bad.append(toxic)
     docs = table(spark, texts)
-    labels = spark.createDataFrame([(i, 1, int(b)) for i, b in enumerate(bad[:200])] + [(None, 1, 1), (5, 1, None), (99999, 1, 1)], "doc_id long, quality int, toxic int")
-    model = toxicity.train(docs, labels)
+    labels = spark.createDataFrame([(i, int(texts[i].count("vile") < 2), int(b)) for i, b in enumerate(bad[:200])] + [(None, 1, 1), (6, 1, None), (99999, 1, 1), (7, None, 0), (7, 0, 0), (10, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels, Scratch(spark))
     assert (np.diff(model.thresholds) >= 0).all()
     got = {x["doc_id"]: x for x in toxicity.grade(docs, model).collect()}
     assert sum(got[i]["rejected"] == b for i, b in enumerate(bad)) >= 290 and all(0 <= x["severity"] <= toxicity.GRADES for x in got.values())
@@ -124,7 +157,7 @@ def test_toxicity(spark):
     clash = docs.withColumn("grade", F.lit("own"))
     kept = toxicity.keep_clean(clash, model)
     assert kept.columns == clash.columns and kept.filter("grade = 'own'").count() == kept.count() >= 230
-    none = toxicity.train(docs, labels.limit(0))
+    none = toxicity.train(docs, labels.limit(0), Scratch(spark))
     assert toxicity.grade(docs, none).filter("rejected or severity > 0").count() == 0
 
 
@@ -138,6 +171,38 @@ def words_library():
 STRINGS = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "<|endoftext|"]
 
 
+def test_ordinal_likelihood_and_fit():
+    r = np.random.default_rng(4)
+    n, f = 400, 6
+    x = (r.random((n, f)) < 0.4) * r.random((n, f))
+    grade = (x @ np.array([3, 2, 0, -2, 1, 4]) + r.logistic(size=n) > np.array([[1.0], [2.5]])).sum(0)
+    row, col = np.nonzero(x)
+    h = toxicity.Hits(row, col, x[row, col], grade, f)
+
+    def plain(w, p):
+        theta, total = [p[0], p[0] + np.exp(p[1])], 0.0
+        for i in range(n):
+            above = [1.0, *(1 / (1 + np.exp(t - x[i] @ w)) for t in theta), 0.0]
+            total -= np.log(above[grade[i]] - above[grade[i] + 1])
+        return total / n + 0.01 / 2 * (w @ w)
+
+    w, p = r.normal(size=f), np.array([0.3, -0.5])
+    value, g, gp = toxicity.loss(h, w, p, 0.01)
+    assert abs(value - plain(w, p)) < 1e-9
+    for k in range(f + 2):
+        d = np.zeros(f + 2)
+        d[k] = 1e-6
+        slope = (plain(w + d[:f], p + d[f:]) - plain(w - d[:f], p - d[f:])) / 2e-6
+        assert abs(slope - np.concatenate([g, gp])[k]) < 1e-6
+    z = np.zeros(f + 2)
+    for _ in range(4000):  # plain descent
+        _, g, gp = toxicity.loss(h, z[:f], z[f:], 0.01)
+        z -= 0.5 * np.concatenate([g, gp])
+    fw, ft = toxicity.fitted(h, ridge=0.01)
+    fp = np.array([ft[0], np.log(ft[1] - ft[0])])
+    assert toxicity.loss(h, fw, fp, 0.01)[0] < toxicity.loss(h, z[:f], z[f:], 0.01)[0] + 1e-3
+
+
 @given(st.lists(st.one_of(st.none(), st.text(alphabet=" \n\t.,aZé…×5'", max_size=20), st.lists(st.one_of(st.sampled_from(STRINGS), st.text(alphabet=" .a<|É", max_size=4)), max_size=6).map("".join)), max_size=6))
 @settings(max_examples=300, deadline=None)
 def test_word_tokenizer_is_the_librarys(words_library, texts):
