@@ -176,10 +176,11 @@ def test_graph_search_has_high_recall(monkeypatch):
     assert len(hnsw.links_of(x, g, y[:400], 0.95)[0]) >= 0.99 * truth
 
 
-@pytest.mark.parametrize("tree", [mtree.TREE, 40])
-def test_top_inner_products(spark, monkeypatch, tree):
-    monkeypatch.setattr(mtree, "TREE", tree)
-    monkeypatch.setattr(mtree, "PAGE", 8)
+@pytest.mark.parametrize("small", [False, True])
+def test_top_inner_products(spark, monkeypatch, small):
+    if small:  # several cells, trees and query blocks
+        for name, v in (("TREE_BYTES", 40 * 48), ("QUERY_BYTES", 96), ("PAGE", 8), ("CELLS", 3)):
+            monkeypatch.setattr(mtree, name, v)
     r = np.random.default_rng(7)
     e = [r.normal(size=6) * r.choice([0.2, 1, 3]) for _ in range(160)] + [np.zeros(6)] * 12 + [np.ones(6)] * 3
     rows = [(i, v.astype(np.float32)) for i, v in enumerate(e)]
@@ -196,6 +197,37 @@ def test_top_inner_products(spark, monkeypatch, tree):
     assert mtree.top(vectors(spark, []), Scratch(spark)).count() == 0
 
 
+def test_top_of_clusters_avoids_most_computations(spark, monkeypatch):
+    """With the default page of 256, in several trees: exact, and less than a third of all scores computed."""
+    monkeypatch.setattr(mtree, "TREE_BYTES", 1000 * 8 * 16)
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(40, 16))
+    e = np.repeat(centres, 150, axis=0) + 0.03 * r.normal(size=(6000, 16))
+    e /= np.linalg.norm(e, axis=1)[:, None]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(e)], "vec_id long, embedding array<double>")
+    work = {}
+    got = defaultdict(list)
+    for x in mtree.top(df, Scratch(spark), work=work).collect():
+        got[x["query_id"]].append((x["rank"], x["vec_id"], x["score"]))
+    q = np.floor(256 * e).astype(int)
+    for i in range(0, 6000, 50):
+        s = q @ q[i]
+        best = [j for j in np.lexsort((np.arange(6000), -s)) if j != i][:5]
+        assert sorted(got[i]) == [(k + 1, j, s[j]) for k, j in enumerate(best)]
+    assert work["all"] == 120 * 6000 and work["computed"] < work["all"] / 3
+
+
+def test_top_of_enormous_components(spark):
+    big = 1e200
+    e = {0: [big, 1.0], 1: [big, 0.0], 2: [-big, 1.0], 3: [1.0, 1.0], 4: [1e308, 1.0], 50: [2.0**61, 0.0], 51: [0.0, 1.0]}
+    df = spark.createDataFrame([(i, v) for i, v in e.items()], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for x in mtree.top(df, Scratch(spark)).orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append((x["vec_id"], x["score"]))
+    top = mtree.LARGEST
+    assert got == {0: [(1, top), (3, top), (50, top), (51, 65536), (2, -top - 1)], 50: [(0, top), (1, top), (3, top), (51, 0), (2, -top - 1)]}
+
+
 def test_shards(spark):
     r = random.Random(3)
     texts = [None, "", *("x" * r.randint(0, 300) + "\n" * r.randint(0, 3) for _ in range(700)), *["copy of one text"] * 3, *["heavy " * 40] * 300, *["half a shard " * 6] * 100]
