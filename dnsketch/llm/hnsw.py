@@ -1,11 +1,14 @@
 """Operator 5: near-duplicate vectors by hierarchical navigable small-world graphs, one per shard.
 
-Equal vectors are one point with a weight. Points are dealt to shards of at most about SHARD points by a hash; a task
-builds each shard's graph (a hierarchy of ever fewer points with long links above, a ground layer with diverse links).
-Every point queries every shard, in blocks. In each block a sample of queries is audited against brute force over the
-shard; the beam is doubled until no audited link is missing, and queries whose beam is full of links get a wider one in
-any case. Beyond the widest beam, which costs as much as looking at the whole shard, queries are compared by brute force. Found pairs are confirmed by cosine in double
-precision; each task reduces its links to a union-find forest and counts, and the forests are joined.
+Equal vectors are one point with a weight. Points are dealt to shards of at most SHARD points and SHARD_BYTES by a hash; a
+task builds each shard's graph (a hierarchy of ever fewer points with long links above, a ground layer with diverse
+links). Every point queries every shard, in blocks of up to a shard's size, so that a graph travels as often as it
+must. In each block a sample of queries is audited against brute force over the shard; the beam is doubled until no audited
+link is missing and NEAREST of the audited queries have found the point next to them (which every query has, also where
+there are no links), and queries whose beam is full of links get a wider one in any case. Beyond the widest beam, which
+costs as much as looking at the whole shard, queries are compared by brute force. Found pairs are confirmed by cosine in
+double precision, counted and joined to a union-find forest a few hundred queries at a time, so a dense group takes no
+more memory than a sparse one; the forests are joined. audited() tells what the audits found.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing (n_links 0,
 their own component); a null id gives a null component and no links; only vectors of equal length are compared; equal
@@ -22,15 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dnsketch.llm.common import Scratch, UnionFind, components
+from dnsketch.llm.common import Scratch, components
 
-SHARD = 40_000  # points of one graph
-BLOCK = 8_192  # queries of one task
+SHARD, SHARD_BYTES = 40_000, 48 << 20  # points of one graph, and bytes of their vectors; also of the queries of one task
+TASKS = 12  # blocks are smaller while there are fewer tasks than this
 LINKS = 16  # of a point in the upper layers; twice as many on the ground
 BEAM, WIDEST, BUILD_BEAM = 32, 128, 40
 AUDIT = 64  # queries of a block that are audited
 EXPAND = 4  # points expanded at once
+NEAREST = 0.9  # of the audited queries that must find the point next to them
 AT_ONCE = 512  # queries searched together
+DENSE = 128  # queries compared by brute force together
 
 
 def diverse(x: np.ndarray, own: np.ndarray, cand: np.ndarray, keep: int) -> np.ndarray:
@@ -260,41 +265,74 @@ def _built(t: pa.Table) -> pa.Table:
     return pa.table(one)
 
 
-def links_of(x: np.ndarray, g: Graph, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, point) of all pairs found with cosine of at least `least`, by beams that pass their audit."""
+class Forest:
+    """Union-find over the numbers below n, many links at once; the root of a set is its smallest number."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            up = self.up
+            ra, rb = up[a], up[b]
+            apart = ra != rb
+            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+            np.minimum.at(up, np.maximum(ra, rb), np.minimum(ra, rb))
+            while (further := up[up]).tobytes() != up.tobytes():
+                up = further
+            self.up = up
+
+
+def links_of(x: np.ndarray, g: Graph, q: np.ndarray, least: float, audit: dict | None = None):
+    """(query, point) of all pairs found with cosine of at least `least`, by beams that pass their audit, part by part.
+
+    audit: gets the numbers of true links and of found ones among the audited queries at the beam they were settled with.
+    """
     n, slack = len(x), 1e-4
+    audit = {} if audit is None else audit
     probe = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-    truth = q[probe] @ x.T >= least
+    likeness = q[probe] @ x.T
+    truth = likeness >= least
+    # the nearest point that is not the query itself: a graph without links to find shows there whether it is searched well
+    likeness[likeness > 1 - 1e-9] = -9
+    nearest = likeness.argmax(1)
+    spot = np.full(len(q), -1)
+    spot[probe] = np.arange(len(probe))
     beam, rest = BEAM, np.arange(len(q))
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     while len(rest):
         if beam > WIDEST or beam >= n:
-            for lo in range(0, len(rest), AT_ONCE):
-                i, j = np.nonzero(q[rest[lo : lo + AT_ONCE]] @ x.T >= least)
-                found.append((rest[lo : lo + AT_ONCE][i], j))
-            break
+            for lo in range(0, len(rest), DENSE):
+                i, j = np.nonzero(q[rest[lo : lo + DENSE]] @ x.T >= least)
+                yield rest[lo : lo + DENSE][i], j
+            audited = spot[rest][spot[rest] >= 0]
+            both = int(truth[audited].sum())
+            audit |= {"true": audit.get("true", 0) + both, "found": audit.get("found", 0) + both}
+            return
         ids, sim = g.search(q[rest], beam)
         hit = (sim >= least - slack) & (ids >= 0)
-        i, j = np.nonzero(hit)
-        qi, xi = rest[i], ids[i, j]
-        sure = np.einsum("ij,ij->i", q[qi], x[xi]) >= least
-        qi, xi = qi[sure], xi[sure]
         full = hit.sum(1) * 2 > beam  # so many links that there may be more
-        audited = np.isin(probe, rest[~full])
-        got = np.zeros_like(truth)
-        spot = np.full(len(q), -1)
-        spot[probe] = np.arange(len(probe))
-        mine = spot[qi] >= 0
-        got[spot[qi[mine]], xi[mine]] = True
-        if (truth[audited] & ~got[audited]).any():  # the audit failed: a wider beam for all
+        mine = np.flatnonzero((spot[rest] >= 0) & ~full)  # audited
+        at = spot[rest[mine]]
+        got = np.zeros((len(at), n), bool)
+        k, c = np.nonzero(ids[mine] >= 0)
+        got[k, ids[mine][k, c]] = True
+        lost = truth[at] & ~got
+        near = got[np.arange(len(at)), nearest[at]].mean() if len(at) else 1.0
+        if lost.any() or near < NEAREST:  # the audit failed: a wider beam for all
             beam *= 2
             continue
-        settled = np.zeros(len(q), bool)
-        settled[rest[~full]] = True
-        keep = settled[qi]
-        found.append((qi[keep], xi[keep]))
+        both = int(truth[at].sum())
+        audit |= {"true": audit.get("true", 0) + both, "found": audit.get("found", 0) + both - int(lost.sum())}
+        for lo in range(0, len(rest), AT_ONCE):
+            i, j = np.nonzero(hit[lo : lo + AT_ONCE] & ~full[lo : lo + AT_ONCE, None])
+            qi, xi = rest[lo + i], ids[lo + i, j]
+            sure = np.einsum("ij,ij->i", q[qi], x[xi]) >= least
+            yield qi[sure], xi[sure]
         rest, beam = rest[full], beam * 2
-    return np.concatenate([f[0] for f in found] or [np.zeros(0, int)]), np.concatenate([f[1] for f in found] or [np.zeros(0, int)])
+
+
+def _shard_points(dim: int) -> int:
+    return max(64, min(SHARD, SHARD_BYTES // (8 * dim)))
 
 
 def near_duplicates(vectors: DataFrame, scratch: Scratch, least: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -305,13 +343,15 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, least: float = 0.95, v
     sizes = {r[0]: r[1] for r in same.groupBy("dim").count().collect()}  # one row per length of vectors
     if not sizes:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    shards = F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, -(-n // SHARD))])[F.col("dim")]
+    of_dim = lambda f: F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, f(d, n))])[F.col("dim")]
+    shards = of_dim(lambda d, n: -(-n // _shard_points(d)))
     first = rows.select("dim", "key", F.col("vec_id").alias("rep"), "v").join(same, ["dim", "key", "rep"]).dropDuplicates(["dim", "key"])
     points = scratch.save(first.withColumn("shard", F.pmod(F.xxhash64("key"), shards).cast("int")).select("dim", "shard", "rep", "weight", "v"), "points")
     graphs = points.groupBy("dim", "shard").applyInArrow(_built, "shard int, dim int, ids binary, weights binary, x binary, graph binary")
     graphs = scratch.save(graphs, "graphs")
 
-    blocks = F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, -(-n // BLOCK))])[F.col("dim")]
+    # as many blocks as shards, since a block may be as large; more while that makes too few tasks, but none of under 1,024 queries
+    blocks = of_dim(lambda d, n: max(k := -(-n // _shard_points(d)), min(-(-TASKS // k), -(-n // 1024))))
     asks = points.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), blocks).cast("int")).select("dim", "block", "rep", "weight", "v", F.explode(F.sequence(F.lit(0), (shards - 1).cast("int"))).alias("shard"))
     index = graphs.select("*", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("block"))
 
@@ -322,18 +362,17 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, least: float = 0.95, v
         dim = left["dim"][0].as_py()
         x = np.frombuffer(right["x"][0].as_py(), np.float64).reshape(-1, dim)
         ids, weights = (np.frombuffer(right[c][0].as_py(), np.int64) for c in ("ids", "weights"))
-        own, w = np.asarray(left["rep"]), np.asarray(left["weight"])
-        qi, xi = links_of(x, Graph.load(x, right["graph"][0].as_py()), _matrix(left["v"], dim), least)
-        count = np.bincount(qi, weights=weights[xi], minlength=len(own)).astype(np.int64)
-        uf = UnionFind()
-        for a, b in zip(own[qi].tolist(), ids[xi].tolist(), strict=True):
-            if a != b:
-                uf.union(a, b)
-        ends = [(k, uf.find(k)) for k in uf.up if uf.find(k) != k]
-        # links of the forest have n = null; counts have b = null
-        a = np.concatenate([own, np.array([e[0] for e in ends], np.int64)])
-        b = pa.array([None] * len(own) + [e[1] for e in ends], pa.int64())
-        return pa.table({"a": pa.array(a), "b": b, "n": pa.array(count.tolist() + [None] * len(ends), pa.int64())})
+        own = np.asarray(left["rep"])
+        nodes, place = np.unique(np.concatenate([own, ids]), return_inverse=True)  # in order, so that the smallest number is the smallest id
+        forest, count, audit = Forest(len(nodes)), np.zeros(len(own), np.int64), {"true": 0, "found": 0}
+        for qi, xi in links_of(x, Graph.load(x, right["graph"][0].as_py()), _matrix(left["v"], dim), least, audit):
+            count += np.bincount(qi, weights=weights[xi], minlength=len(own)).astype(np.int64)
+            forest.join(place[qi], place[len(own) + xi])
+        at = np.flatnonzero(forest.up != np.arange(len(nodes)))
+        # counts have b = null, links of the forest n = null, the audit a = null
+        a = pa.array([*own.tolist(), *nodes[at].tolist(), None], pa.int64())
+        b = pa.array([None] * len(own) + nodes[forest.up[at]].tolist() + [audit["true"]], pa.int64())
+        return pa.table({"a": a, "b": b, "n": pa.array(count.tolist() + [None] * len(at) + [audit["found"]], pa.int64())})
 
     got = asks.groupBy("dim", "shard", "block").cogroup(index.groupBy("dim", "shard", "block")).applyInArrow(asked, "a long, b long, n long")
     got = scratch.save(got, "got")
@@ -341,9 +380,15 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, least: float = 0.95, v
     # an id with several vectors ties them together
     named = rows.filter("dim > 0").join(same.select("dim", "key", "rep"), ["dim", "key"]).select("vec_id", "rep")
     several = named.groupBy("vec_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("vec_id", "lo")
-    edges = got.filter("b is not null").select("a", "b").union(named.join(several, "vec_id").select("lo", "rep").toDF("a", "b"))
+    edges = got.filter("n is null").select("a", "b").union(named.join(several, "vec_id").select("lo", "rep").toDF("a", "b"))
     label = components(edges, scratch).toDF("rep", "component")
     of_set = same.join(n, "rep", "left").join(label, "rep", "left").select("dim", "key", F.coalesce("n", "weight").alias("n"), F.coalesce("component", "rep").alias("component"))
     out = rows.join(of_set, ["dim", "key"], "left")
     mine = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.greatest(F.coalesce(F.col("n") - 1, F.lit(0)), F.lit(0)).cast("long").alias("n_links"), mine.alias("component_id"), F.coalesce(F.col("vec_id") == mine, F.lit(True)).alias("kept"))
+
+
+def audited(scratch: Scratch) -> tuple[int, int]:
+    """(found, true) links of the audited queries of the last run with this scratch folder; a query's link with itself counts."""
+    r = scratch.spark.read.parquet(scratch.at["got"]).filter("a is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return r[0], r[1]

@@ -173,7 +173,55 @@ def test_graph_search_has_high_recall(monkeypatch):
     ids, _ = g.search(y, 32)
     assert (ids[:, :3] == np.arange(3000)[:, None]).any(1).mean() > 0.98
     truth = (y[:400] @ x.T >= 0.95).sum()
-    assert len(hnsw.links_of(x, g, y[:400], 0.95)[0]) >= 0.99 * truth
+    audit = {}
+    assert sum(len(i) for i, _ in hnsw.links_of(x, g, y[:400], 0.95, audit)) >= 0.99 * truth
+    assert audit["true"] == audit["found"] > 0
+
+
+def test_forest_joins_many_links_at_once():
+    r = np.random.default_rng(5)
+    f, links = hnsw.Forest(300), []
+    for _ in range(4):
+        a, b = r.integers(0, 300, 50), r.integers(0, 300, 50)
+        f.join(a, b)
+        links += list(zip(a.tolist(), b.tolist(), strict=True))
+        want = roots(range(300), links)
+        assert f.up.tolist() == [want[i] for i in range(300)]
+
+
+def test_a_dense_cluster_takes_bounded_memory():
+    """40,000 points within 0.95 of each other: 2,000 queries have 80 million links, none of which is kept."""
+    import tracemalloc
+
+    r = np.random.default_rng(2)
+    x = r.normal(size=16) + 0.02 * r.normal(size=(40_000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    g = hnsw.Graph(x)
+    g.links, g.upper = np.tile(np.arange(1, 9, dtype=np.int32), (40_000, 1)), []  # any graph: beams of links are full
+    tracemalloc.start()
+    forest, n = hnsw.Forest(40_000), 0
+    for qi, xi in hnsw.links_of(x, g, x[:2_000], 0.95):
+        forest.join(qi, xi)
+        n += len(qi)
+    assert n == 2_000 * 40_000 and not forest.up.any() and tracemalloc.get_traced_memory()[1] < 900 << 20
+    tracemalloc.stop()
+
+
+def test_vectors_in_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD", 150)
+    r = np.random.default_rng(8)
+    base = r.normal(size=(300, 12))
+    e = np.vstack([base, base[:200] + 0.06 * r.normal(size=(200, 12)), base[:3].repeat(60, 0) + 0.01 * r.normal(size=(180, 12))]).astype(np.float32)
+    scratch = Scratch(spark)
+    got = {x["vec_id"]: x for x in hnsw.near_duplicates(vectors(spark, list(enumerate(e))), scratch).collect()}
+    u = e.astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    s = u @ u.T >= 0.95
+    np.fill_diagonal(s, False)
+    want = roots(range(len(e)), np.argwhere(s).tolist())
+    assert all((got[i]["n_links"], got[i]["component_id"]) == (s[i].sum(), want[i]) for i in range(len(e)))
+    found, true = hnsw.audited(scratch)
+    assert found == true > 100
 
 
 @pytest.mark.parametrize("small", [False, True])
