@@ -68,6 +68,7 @@ class Graph:
 
     def __init__(self, x: np.ndarray, levels: np.ndarray | None = None):
         self.x = np.ascontiguousarray(x, np.float32)
+        self.lone = np.zeros(0, np.int32)
         if levels is not None:
             self._build(levels)
 
@@ -98,6 +99,21 @@ class Graph:
             self.links[new, :LINKS] = mine
             self._back(np.repeat(new, LINKS), mine.reshape(-1))
             first += len(new)
+        self.lone = self._unreached()
+
+    def _unreached(self) -> np.ndarray:
+        """Points that no way of links leads to from any point where a search may begin: every query is compared with them."""
+        seen = np.zeros(len(self.x), bool)
+        at = self.upper[-1][0] if self.upper else self._starts()
+        while len(at):
+            seen[at] = True
+            near = np.unique(self.links[at])
+            at = near[(near >= 0) & ~seen[near]]
+        return np.flatnonzero(~seen).astype(np.int32)
+
+    def _starts(self) -> np.ndarray:
+        start = np.flatnonzero((self.links >= 0).any(1))[:4] if len(self.x) > 1 else np.array([0])
+        return start if len(start) else np.array([0])
 
     def _nearest(self, at: np.ndarray, keep: int) -> np.ndarray:
         """Links among the points at, by all their distances (few points)."""
@@ -132,12 +148,16 @@ class Graph:
         if (~few).any():
             self.links[at[~few]] = diverse(self.x, at[~few], cand[~few], room)
 
-    def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """The beam's points and likenesses for each query, in no order; -1 where there are fewer."""
-        parts = [self._search(q[lo : lo + AT_ONCE].astype(np.float32), beam) for lo in range(0, len(q), AT_ONCE)]
+    def search(self, q: np.ndarray, beam: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The beam's points and likenesses for each query, in no order; -1 where there are fewer.
+
+        own: the point that each query is itself, or -1; the search begins there too.
+        """
+        own = np.full(len(q), -1) if own is None else own
+        parts = [self._search(q[lo : lo + AT_ONCE].astype(np.float32), beam, own[lo : lo + AT_ONCE]) for lo in range(0, len(q), AT_ONCE)]
         return np.vstack([p[0] for p in parts]), np.vstack([p[1] for p in parts])
 
-    def _search(self, q: np.ndarray, beam: int):
+    def _search(self, q: np.ndarray, beam: int, own: np.ndarray):
         n, b = len(self.x), len(q)
         entry = None
         for at, links in self.upper:
@@ -152,10 +172,15 @@ class Graph:
                 entry = self._walk(q, entry, 4, links, place)[0][:, :2]
                 entry = np.where(entry >= 0, entry, entry[:, :1])
         if entry is None:
-            start = np.flatnonzero((self.links >= 0).any(1))[:4] if n > 1 else np.array([0])
-            start = start if len(start) else np.array([0])
-            entry = np.tile(start.astype(np.int32), (b, 1))
-        return self._walk(q, entry, beam, self.links, None)
+            entry = np.tile(self._starts().astype(np.int32), (b, 1))
+        entry = np.column_stack([np.where(own >= 0, own, entry[:, 0]), entry]).astype(np.int32)
+        ids, sim = self._walk(q, entry, beam, self.links, None)
+        if len(self.lone):
+            ids = np.hstack([ids, np.tile(self.lone, (b, 1))])
+            sim = np.hstack([sim, q @ self.x[self.lone].T])
+            top = np.argsort(-sim, axis=1, kind="stable")[:, :beam]
+            ids, sim = np.take_along_axis(ids, top, 1), np.take_along_axis(sim, top, 1)
+        return ids, sim
 
     def _walk(self, q, entry, beam, links, place):
         b, n = len(q), len(self.x)
@@ -209,15 +234,15 @@ class Graph:
     def dump(self) -> bytes:
         f = io.BytesIO()
         parts = {f"u{i}{k}": a for i, pair in enumerate(self.upper) for k, a in zip("al", pair, strict=True)}
-        np.savez(f, links=self.links, **parts)
+        np.savez(f, links=self.links, lone=self.lone, **parts)
         return f.getvalue()
 
     @classmethod
     def load(cls, x: np.ndarray, dumped: bytes) -> "Graph":
         g = cls(x)
         z = np.load(io.BytesIO(dumped))
-        g.links = z["links"]
-        g.upper = [(z[f"u{i}a"], z[f"u{i}l"]) for i in range((len(z.files) - 1) // 2)]
+        g.links, g.lone = z["links"], z["lone"]
+        g.upper = [(z[f"u{i}a"], z[f"u{i}l"]) for i in range((len(z.files) - 2) // 2)]
         return g
 
 
@@ -283,18 +308,21 @@ class Forest:
             self.up = up
 
 
-def links_of(x: np.ndarray, g: Graph, q: np.ndarray, least: float, audit: dict | None = None):
+def links_of(x: np.ndarray, g: Graph, q: np.ndarray, least: float, own: np.ndarray | None = None, audit: dict | None = None):
     """(query, point) of all pairs found with cosine of at least `least`, by beams that pass their audit, part by part.
 
-    audit: gets the numbers of true links and of found ones among the audited queries at the beam they were settled with.
+    own: the point that each query is itself, or -1; that pair is left out. audit: gets the numbers of true links and of
+    found ones among the audited queries at the beam they were settled with.
     """
     n, slack = len(x), 1e-4
+    own = np.full(len(q), -1) if own is None else own
     audit = {} if audit is None else audit
     probe = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
     likeness = q[probe] @ x.T
+    is_own = own[probe] >= 0
+    likeness[is_own, own[probe][is_own]] = -9
     truth = likeness >= least
-    # the nearest point that is not the query itself: a graph without links to find shows there whether it is searched well
-    likeness[likeness > 1 - 1e-9] = -9
+    # a graph without links to find shows by the nearest points whether it is searched well
     nearest = likeness.argmax(1)
     spot = np.full(len(q), -1)
     spot[probe] = np.arange(len(probe))
@@ -303,13 +331,14 @@ def links_of(x: np.ndarray, g: Graph, q: np.ndarray, least: float, audit: dict |
         if beam > WIDEST or beam >= n:
             for lo in range(0, len(rest), DENSE):
                 i, j = np.nonzero(q[rest[lo : lo + DENSE]] @ x.T >= least)
-                yield rest[lo : lo + DENSE][i], j
+                i = rest[lo + i]
+                yield i[own[i] != j], j[own[i] != j]
             audited = spot[rest][spot[rest] >= 0]
             both = int(truth[audited].sum())
             audit |= {"true": audit.get("true", 0) + both, "found": audit.get("found", 0) + both}
             return
-        ids, sim = g.search(q[rest], beam)
-        hit = (sim >= least - slack) & (ids >= 0)
+        ids, sim = g.search(q[rest], beam, own[rest])
+        hit = (sim >= least - slack) & (ids >= 0) & (ids != own[rest][:, None])
         full = hit.sum(1) * 2 > beam  # so many links that there may be more
         mine = np.flatnonzero((spot[rest] >= 0) & ~full)  # audited
         at = spot[rest[mine]]
@@ -363,9 +392,12 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, least: float = 0.95, v
         x = np.frombuffer(right["x"][0].as_py(), np.float64).reshape(-1, dim)
         ids, weights = (np.frombuffer(right[c][0].as_py(), np.int64) for c in ("ids", "weights"))
         own = np.asarray(left["rep"])
+        order = np.argsort(ids)
+        at = order[np.minimum(np.searchsorted(ids, own, sorter=order), len(ids) - 1)]
+        at = np.where(ids[at] == own, at, -1)
         nodes, place = np.unique(np.concatenate([own, ids]), return_inverse=True)  # in order, so that the smallest number is the smallest id
         forest, count, audit = Forest(len(nodes)), np.zeros(len(own), np.int64), {"true": 0, "found": 0}
-        for qi, xi in links_of(x, Graph.load(x, right["graph"][0].as_py()), _matrix(left["v"], dim), least, audit):
+        for qi, xi in links_of(x, Graph.load(x, right["graph"][0].as_py()), _matrix(left["v"], dim), least, at, audit):
             count += np.bincount(qi, weights=weights[xi], minlength=len(own)).astype(np.int64)
             forest.join(place[qi], place[len(own) + xi])
         at = np.flatnonzero(forest.up != np.arange(len(nodes)))
@@ -382,13 +414,13 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, least: float = 0.95, v
     several = named.groupBy("vec_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("vec_id", "lo")
     edges = got.filter("n is null").select("a", "b").union(named.join(several, "vec_id").select("lo", "rep").toDF("a", "b"))
     label = components(edges, scratch).toDF("rep", "component")
-    of_set = same.join(n, "rep", "left").join(label, "rep", "left").select("dim", "key", F.coalesce("n", "weight").alias("n"), F.coalesce("component", "rep").alias("component"))
+    of_set = same.join(n, "rep", "left").join(label, "rep", "left").select("dim", "key", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
     out = rows.join(of_set, ["dim", "key"], "left")
     mine = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.greatest(F.coalesce(F.col("n") - 1, F.lit(0)), F.lit(0)).cast("long").alias("n_links"), mine.alias("component_id"), F.coalesce(F.col("vec_id") == mine, F.lit(True)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), mine.alias("component_id"), F.coalesce(F.col("vec_id") == mine, F.lit(True)).alias("kept"))
 
 
 def audited(scratch: Scratch) -> tuple[int, int]:
-    """(found, true) links of the audited queries of the last run with this scratch folder; a query's link with itself counts."""
+    """(found, true) links of the audited queries of the last run with this scratch folder."""
     r = scratch.spark.read.parquet(scratch.at["got"]).filter("a is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
     return r[0], r[1]

@@ -174,7 +174,7 @@ def test_graph_search_has_high_recall(monkeypatch):
     assert (ids[:, :3] == np.arange(3000)[:, None]).any(1).mean() > 0.98
     truth = (y[:400] @ x.T >= 0.95).sum()
     audit = {}
-    assert sum(len(i) for i, _ in hnsw.links_of(x, g, y[:400], 0.95, audit)) >= 0.99 * truth
+    assert sum(len(i) for i, _ in hnsw.links_of(x, g, y[:400], 0.95, audit=audit)) >= 0.99 * truth
     assert audit["true"] == audit["found"] > 0
 
 
