@@ -41,10 +41,32 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def murmur_rows(data: np.ndarray, seed: int = MURMUR_SEED) -> np.ndarray:
+    """The same for each row of a table of bytes, all of one length."""
+    m, r, length = np.uint64(M64), np.uint64(47), data.shape[1]
+    h = np.full(len(data), seed ^ (length * M64 & U64), np.uint64)
+    words = np.zeros((len(data), -(-length // 8) * 8), np.uint8)
+    words[:, :length] = data
+    words = words.view("<u8")
+    for i in range(length // 8):
+        k = words[:, i] * m
+        h = (h ^ (k ^ k >> r) * m) * m
+    if length % 8:
+        h = (h ^ words[:, -1]) * m
+    h = (h ^ h >> r) * m
+    return h ^ h >> r
+
+
 @F.pandas_udf(T.LongType())
 def murmur_of(data: pd.Series) -> pd.Series:
-    """MurmurHash64A of a binary column as a signed 64-bit number; null stays null."""
-    return pd.Series([None if b is None else signed(murmur64a(bytes(b))) for b in data], dtype="Int64")
+    """MurmurHash64A of a binary column as a signed 64-bit number; null stays null. Values of one length go together."""
+    lengths = data.map(len, na_action="ignore").fillna(-1).to_numpy(np.int64)
+    out = np.zeros(len(data), np.int64)
+    for n in np.unique(lengths[lengths >= 0]).tolist():
+        at = np.flatnonzero(lengths == n)
+        rows = np.frombuffer(b"".join(data.iloc[at]), np.uint8).reshape(len(at), n)
+        out[at] = murmur_rows(rows).view(np.int64)
+    return pd.Series(out).astype("Int64").mask(pd.Series(lengths < 0))
 
 
 def sha_low64(token: Column) -> Column:
@@ -113,37 +135,55 @@ def offsets_udf(m: int, k: int):
     return of
 
 
-def exploded_offsets(df: DataFrame, m: int, k: int, digest: str = "digest", filter_idx: str = "filter_idx") -> DataFrame:
-    """df without the digest (32 bytes) but with a row per offset, column o; rows go through as Arrow buffers.
+def bucketed_offsets(df: DataFrame, m: int, k: int, bucket_bits: int, key: str = "period_end", digest: str = "digest", filter_idx: str = "filter_idx", most: int = 4_000_000) -> DataFrame:
+    """key, filter_idx, bucket, bits array<short>: the distinct bits of each bucket, gathered in the task up to `most` bits.
 
-    A digest of another length, or none, gives no row.
+    A bucket comes once for each task and gathering instead of a row for each bit. A digest that has not 32 bytes gives none.
     """
-    rest = [c for c in df.columns if c != digest]
-    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField("o", T.LongType())])
-    at = rest.index(filter_idx)
+    kind = df.schema[key]
+    schema = T.StructType([kind, T.StructField("filter_idx", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("bits", T.ArrayType(T.ShortType(), False))])
+    buckets = -(-m // bucket_bits)
 
     def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # key, filter and offset of each bit
+
+        def out(as_type):
+            keys, f, o = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            named, code = np.unique(keys, return_inverse=True)
+            filters = int(f.max()) + 1
+            whole = np.unique((code.astype(np.int64) * filters + f) * (buckets * bucket_bits) + o)
+            place = whole // bucket_bits
+            start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            at = place[start]
+            bits = pa.ListArray.from_arrays(pa.array(np.append(start, len(whole)), pa.int32()), pa.array((whole % bucket_bits).astype(np.int16)))
+            return pa.RecordBatch.from_arrays([pa.array(named[at // buckets // filters]).cast(as_type), pa.array((at // buckets % filters).astype(np.int32)), pa.array((at % buckets).astype(np.int32)), bits], names=[key, "filter_idx", "bucket", "bits"])
+
+        size, as_type = 0, None
         for batch in batches:
-            d = batch.column(len(rest))
-            n = pc.fill_null(pc.binary_length(d), 0)
-            if not pc.all(pc.equal(n, 32)).as_py():
-                batch = batch.filter(pc.equal(n, 32))
-                d = batch.column(len(rest))
+            as_type = batch.column(0).type
+            d = batch.column(2)
+            good = pc.equal(pc.fill_null(pc.binary_length(d), 0), 32)
+            if not pc.all(good).as_py():
+                batch = batch.filter(good)
+                d = batch.column(2)
             if not batch.num_rows:
                 continue
             start = np.frombuffer(d.buffers()[1], np.int32)[d.offset]
             limbs = np.frombuffer(d.buffers()[2], np.uint8)[start : start + 32 * len(d)].view("<u4").reshape(len(d), 8).astype(np.uint64)
-            f = np.asarray(batch.column(at))
-            rows, out = [], []
+            keys, f = np.asarray(batch.column(0).cast(pa.int64())), np.asarray(batch.column(1))
             for idx in np.unique(f).tolist():
                 i = np.flatnonzero(f == idx)
                 o = offsets(filter_hash(limbs[i], int(idx)), m, k)
-                rows.append(np.repeat(i, o.shape[1]))
-                out.append(o.ravel())
-            take = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns[: len(rest)]), pa.array(np.concatenate(out))], names=[*rest, "o"])
-
-    return df.select(*rest, digest).mapInArrow(run, schema)
+                held.append((np.repeat(keys[i], o.shape[1]), np.full(o.size, idx), o.ravel()))
+                size += o.size
+            if size >= most:
+                yield out(as_type)
+                size = 0
+        if held:
+            yield out(as_type)
+
+    return df.select(key, filter_idx, digest).mapInArrow(run, schema)
 
 
 def register(h: Column) -> Column:

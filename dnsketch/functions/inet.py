@@ -27,36 +27,56 @@ def ipv4_bytes(n: Column) -> Column:
     return F.unhex(F.lpad(F.hex(n), 8, "0"))
 
 
-ADDRESS = T.StructType().add("af", T.IntegerType()).add("bits", T.StringType()).add("text", T.StringType())
+def _halves(n: int, width: int) -> tuple[int, int]:
+    """An address as 128 bits, from the left, in two signed 64-bit numbers."""
+    n <<= 128 - width
+    return tuple(x - (1 << 64) if x >> 63 else x for x in (n >> 64, n & (1 << 64) - 1))
+
+
+def masked_halves(hi: Column, lo: Column, plen: Column) -> tuple[Column, Column]:
+    """The first plen bits of the 128, the others 0."""
+    ones = lambda n: F.call_function("shiftleft", F.lit(-1).cast("long"), n.cast("int"))
+    left = F.when(plen <= 0, F.lit(0)).when(plen >= 64, hi).otherwise(hi.bitwiseAND(ones(64 - plen)))
+    right = F.when(plen <= 64, F.lit(0)).when(plen >= 128, lo).otherwise(lo.bitwiseAND(ones(128 - plen)))
+    return left.cast("long"), right.cast("long")
+
+
+def packed(af: Column, hi: Column, lo: Column) -> Column:
+    """The 4 or 16 bytes of an address."""
+    text = F.concat(*[F.lpad(F.hex(x), 16, "0") for x in (hi, lo)])
+    return F.unhex(F.when(af == 4, F.substring(text, 1, 8)).when(af == 6, text))
+
+
+ADDRESS = T.StructType().add("af", T.IntegerType()).add("hi", T.LongType()).add("lo", T.LongType()).add("text", T.StringType())
 
 
 @F.pandas_udf(ADDRESS)
 def address(text: pd.Series) -> pd.DataFrame:
-    """af (4 or 6), bits as text, canonical text; nulls for what is no address."""
+    """af (4 or 6), 128 bits as two numbers (IPv4 in the first 32), canonical text; nulls for what is no address."""
     rows = []
     for x in text:
         try:
             a = ipaddress.ip_address(x)
-            rows.append((a.version, format(int(a), f"0{a.max_prefixlen}b"), str(a)))
+            rows.append((a.version, *_halves(int(a), a.max_prefixlen), str(a)))
         except ValueError:
-            rows.append((None, None, None))
-    return pd.DataFrame(rows, columns=["af", "bits", "text"]).astype({"af": "Int32"})
+            rows.append((None, None, None, None))
+    return pd.DataFrame(rows, columns=["af", "hi", "lo", "text"], dtype=object).astype({"af": "Int32", "hi": "Int64", "lo": "Int64"})
 
 
-PREFIX = T.StructType().add("af", T.IntegerType()).add("bits", T.StringType()).add("plen", T.IntegerType())
+PREFIX = T.StructType().add("af", T.IntegerType()).add("hi", T.LongType()).add("lo", T.LongType()).add("plen", T.IntegerType())
 
 
 @F.pandas_udf(PREFIX)
 def prefix(text: pd.Series) -> pd.DataFrame:
-    """`address/length` -> af, bits with host bits cleared, plen; nulls for what is none."""
+    """`address/length` -> af, 128 bits with host bits cleared, plen; nulls for what is none."""
     rows = []
     for x in text:
         try:
             n = ipaddress.ip_network(x, strict=False)
-            rows.append((n.version, format(int(n.network_address), f"0{n.max_prefixlen}b"), n.prefixlen))
+            rows.append((n.version, *_halves(int(n.network_address), n.max_prefixlen), n.prefixlen))
         except ValueError:
-            rows.append((None, None, None))
-    return pd.DataFrame(rows, columns=["af", "bits", "plen"]).astype({"af": "Int32", "plen": "Int32"})
+            rows.append((None, None, None, None))
+    return pd.DataFrame(rows, columns=["af", "hi", "lo", "plen"], dtype=object).astype({"af": "Int32", "hi": "Int64", "lo": "Int64", "plen": "Int32"})
 
 
 ENDPOINT = re.compile(r"^(?:\[(?P<six>[0-9A-Fa-f:.]+)\]|(?P<four>\*|[0-9.]+))(?::(?P<port>\d{1,5}))?$")

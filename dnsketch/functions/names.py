@@ -67,6 +67,12 @@ def reverse_pointer6(hex32: Column) -> Column:
     return F.concat(F.concat_ws(".", F.reverse(F.split(F.lower(hex32), ""))), F.lit(".ip6.arpa"))
 
 
+def whole_number(text: Column, least: int, most: int) -> Column:
+    """Decimal digits and nothing else, within the range; null otherwise."""
+    n = F.when(text.rlike(r"^[0-9]{1,20}$"), text).cast("decimal(20,0)")
+    return F.when(n.between(least, most), n.cast("long"))
+
+
 def entity_part(token: Column) -> Column:
     """What stands before the first @; null without one."""
     return F.when(F.contains(token, F.lit("@")), F.substring_index(token, "@", 1))

@@ -15,7 +15,9 @@ BUCKET_BITS = 32768  # bits of one bitmap row
 UNKNOWN = "UNKNOWN"
 FULL = 4294967295  # estimate of a filter whose bits are all set
 FPR_ALARM = 0.001
-BIAS_TEXT = "5.9119e-18*e*e*e*e - 1.4253e-12*e*e*e + 1.2940e-7*e*e - 5.2921e-3*e + 83.3216"
+# the bias of a raw estimate, in per cent, as a polynomial (highest power first), and where it ends
+BIAS = (5.9119e-18, -1.4253e-12, 1.2940e-7, -5.2921e-3, 83.3216)
+BIAS_END = 72000
 THREAT_LEVELS = {1: "High", 2: "Medium", 3: "Low", 4: "Undefined"}
 VERSION = (1, 0)
 

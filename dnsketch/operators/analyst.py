@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dnsketch.functions.names import entity_part, host_part, registrable, suffixes
 from dnsketch.model import THREAT_LEVELS
+from dnsketch.session import written
 
 
 def hits_by_entity(hits: DataFrame, token: str = "token") -> DataFrame:
@@ -14,6 +15,11 @@ def hits_by_entity(hits: DataFrame, token: str = "token") -> DataFrame:
     return hits.select(entity_part(F.col(token)).alias("entity")).filter("entity is not null").groupBy("entity").agg(F.count(F.lit(1)).alias("hits"))
 
 
+def occurrences(names: DataFrame, name: str = "name") -> DataFrame:
+    """name, n: each name once, with how often it came."""
+    return names.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+
+
 def hit_domains(hits: DataFrame, token: str = "token") -> DataFrame:
     return hits.select(host_part(F.col(token)).alias("domain")).distinct()
 
@@ -30,15 +36,15 @@ def unmatched(counts: DataFrame, sectors: DataFrame) -> DataFrame:
 def pareto(counts: DataFrame, name: str, count: str, share: float = 0.8) -> DataFrame:
     """The largest rows until their running sum reaches the share of all; the row that reaches it is included.
 
-    Ties are broken by name. The running sum has two levels: rows are dealt to ranges of the count, ranges are summed,
-    and a row's sum is that of the ranges before and of its own range so far.
+    Ties are broken by name. Rows are sorted in ranges of (count, name) whose bounds Spark samples, so that a tail of equal
+    counts is many ranges, and written; ranges are summed, and a row's sum is that of the ranges before and of its own range so far.
     """
-    c = counts.withColumn("_range", F.floor(F.log2(F.greatest(F.col(count), F.lit(1)).cast("double"))))
-    sums = c.groupBy("_range").agg(F.sum(count).alias("_sum"))
-    before = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    sorted_ = written(counts.select(name, count).repartitionByRange(F.desc(count), F.asc(name)).withColumn("_range", F.spark_partition_id()), "pareto")
+    sums = sorted_.groupBy("_range").agg(F.sum(count).alias("_sum"))
+    before = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each range
     total = F.floor(F.lit(share) * counts.agg(F.sum(count)).scalar())
     inside = F.sum(count).over(Window.partitionBy("_range").orderBy(F.desc(count), name).rowsBetween(Window.unboundedPreceding, 0))
-    out = c.withColumn("_inside", inside).join(before, "_range").withColumn("running", F.col("_before") + F.col("_inside"))
+    out = sorted_.withColumn("_inside", inside).join(before, "_range").withColumn("running", F.col("_before") + F.col("_inside"))
     return out.filter(F.col("running") - F.col(count) < total).select(name, count, "running")
 
 

@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dnsketch.functions.hashing import rank, register
+from dnsketch.model import BIAS, BIAS_END
 
 REGISTERS = 16384
-# The bias, in per cent, as a polynomial of the raw estimate (highest power first), and where it ends
-BIAS = (5.9119e-18, -1.4253e-12, 1.2940e-7, -5.2921e-3, 83.3216)
-BIAS_END = 72000
 
 
 def registers(rows: DataFrame, keys: list[str], h: str) -> DataFrame:

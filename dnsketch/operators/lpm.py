@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dnsketch.functions.inet import masked_halves
+
 
 def masked(ip: Column, plen: Column) -> Column:
     """An IPv4 number with only its first plen bits."""
@@ -32,12 +34,15 @@ def client_entities(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 
 def match_bits(addresses: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """The same for IPv4 and IPv6 at once: addresses (af, bits) and prefixes (af, bits, plen, entity, ord), bits as text of 0 and 1.
+    """The same for IPv4 and IPv6 at once: addresses (af, hi, lo) and prefixes (af, hi, lo, plen, entity, ord).
 
-    Works for every length, /0 and lengths that are no multiple of 8 included.
+    Works for every length, /0 and lengths that are no multiple of 8 included. The lengths in use, 162 at most, are a
+    scalar; each distinct address makes a probe for each length of its family.
     """
-    known = prefixes.withColumn("head", F.expr("substring(bits, 1, plen)")).groupBy("af", "plen", "head").agg(F.min_by("entity", "ord").alias("entity"))
-    lengths = known.select("af", "plen").distinct()
-    probes = addresses.select("af", "bits").distinct().join(lengths, "af").withColumn("head", F.expr("substring(bits, 1, plen)"))
-    best = probes.join(known, ["af", "plen", "head"]).groupBy("af", "bits").agg(F.max_by("entity", "plen").alias("entity"))
-    return addresses.join(best, ["af", "bits"], "left")
+    hi, lo = masked_halves(F.col("hi"), F.col("lo"), F.col("plen"))
+    known = prefixes.select("af", "plen", hi.alias("phi"), lo.alias("plo"), "entity", "ord").groupBy("af", "plen", "phi", "plo").agg(F.min_by("entity", "ord").alias("entity"))
+    lengths = known.agg(F.collect_set(F.struct("af", "plen"))).scalar()
+    once = addresses.select("af", "hi", "lo").distinct().withColumn("l", F.explode(lengths)).filter("l.af = af").withColumn("plen", F.col("l.plen"))
+    probes = once.select("af", "hi", "lo", "plen", hi.alias("phi"), lo.alias("plo"))
+    best = probes.join(known, ["af", "plen", "phi", "plo"]).groupBy("af", "hi", "lo").agg(F.max_by("entity", "plen").alias("entity"))
+    return addresses.join(best, ["af", "hi", "lo"], "left")

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dnsketch.functions.formulas import actual_fpr, approx_count, fill_rate
-from dnsketch.functions.hashing import exploded_offsets, murmur_of, sha_low64
+from dnsketch.functions.hashing import bucketed_offsets, murmur_of, sha_low64
 from dnsketch.functions.inet import ipv4_bytes
 from dnsketch.model import BUCKET_BITS, FPR_ALARM, VERSION, BloomConfig
 from dnsketch.operators import hll
+from dnsketch.session import written
 from dnsketch.sources.dnslog import token_rows
 
 TABLES = ("header", "bloom", "filter", "hll")
@@ -39,9 +40,15 @@ def unsigned_mod(h: Column, n: int) -> Column:
     return F.pmod(F.pmod(F.shiftrightunsigned(h, 1), F.lit(n)) * 2 + h.bitwiseAND(F.lit(1)), F.lit(n))
 
 
+def addressed(rows: DataFrame) -> DataFrame:
+    """rows with addr, the 4 or 16 bytes of the client's address; made of the IPv4 number ip where there is no such column."""
+    return rows if "addr" in rows.columns else rows.withColumn("addr", ipv4_bytes(F.col("ip")))
+
+
 def client_filters(rows: DataFrame, cfg: BloomConfig) -> DataFrame:
-    """ip, client_hash, filters array<int> of each distinct client."""
-    clients = rows.select("ip").distinct().withColumn("client_hash", murmur_of(ipv4_bytes(F.col("ip"))))
+    """addr (and ip, if the rows have it), client_hash, filters array<int> of each distinct client."""
+    keys = [c for c in ("addr", "ip") if c in (rows := addressed(rows)).columns]
+    clients = rows.select(*keys).distinct().withColumn("client_hash", murmur_of(F.col("addr")))
     subsets = F.array(*[F.array(*[F.lit(i) for i in c]) for c in cfg.combos])
     return clients.withColumn("filters", subsets[unsigned_mod(F.col("client_hash"), len(cfg.combos)).cast("int")])
 
@@ -51,29 +58,24 @@ def filter_tokens(rows: DataFrame, cfg: BloomConfig) -> DataFrame:
 
     The distinct has a map-side part, so that a host that half of all lookups ask for is one row per task.
     """
-    keyed = rows.withColumn("period_end", period_end(F.col("ts"), cfg.period))
+    keyed = addressed(rows).withColumn("period_end", period_end(F.col("ts"), cfg.period))
     if cfg.filters == 1:
         return token_rows(keyed).select("period_end", F.lit(0).alias("filter_idx"), "token").distinct()
-    once = keyed.select("period_end", "ip", "host", "qtype", "entity").distinct()
-    of = client_filters(rows, cfg).select("ip", "filters")
-    return token_rows(once.join(of, "ip").select("period_end", "host", "qtype", "entity", F.explode("filters").alias("filter_idx")).distinct()).select("period_end", "filter_idx", "token").distinct()
-
-
-def filter_offsets(tokens: DataFrame, cfg: BloomConfig) -> DataFrame:
-    """period_end, filter_idx, o: a row per bit of each token. Spark makes the hash, Arrow batches the 256-bit arithmetic."""
-    hashed = tokens.select("period_end", "filter_idx", F.unhex(F.sha2("token", 256)).alias("digest"))
-    return exploded_offsets(hashed, cfg.bits, cfg.hashes)
+    once = keyed.select("period_end", "addr", "host", "qtype", "entity").distinct()
+    of = client_filters(keyed.select("addr"), cfg).select("addr", "filters")
+    return token_rows(once.join(of, "addr").select("period_end", "host", "qtype", "entity", F.explode("filters").alias("filter_idx")).distinct()).select("period_end", "filter_idx", "token").distinct()
 
 
 def bitmaps(tokens: DataFrame, cfg: BloomConfig) -> DataFrame:
     """period_end, filter_idx, bucket, bitmap: 4 KiB rows, least significant bit first.
 
-    Bits are dealt by bucket before they are gathered: a part of a bitmap takes 4 KiB however few bits it has, so parts
-    made before the shuffle would grow with tasks x buckets; bits grow with tokens only, and hashing spreads them evenly.
+    Spark makes the hash, Arrow batches the 256-bit arithmetic and gather a task's bits by bucket, two bytes a bit: what is
+    shuffled is neither a row for each bit nor 4 KiB for each bucket of each task. Hashing spreads buckets evenly.
     """
-    bits = filter_offsets(tokens, cfg).withColumn("bucket", F.floor(F.col("o") / BUCKET_BITS).cast("int"))
-    dealt = bits.repartition("period_end", "filter_idx", "bucket")
-    return dealt.groupBy("period_end", "filter_idx", "bucket").agg(F.bitmap_construct_agg((F.col("o") % BUCKET_BITS)).alias("bitmap"))
+    hashed = tokens.select("period_end", "filter_idx", F.unhex(F.sha2("token", 256)).alias("digest"))
+    dealt = bucketed_offsets(hashed, cfg.bits, cfg.hashes, BUCKET_BITS).repartition("period_end", "filter_idx", "bucket")
+    bits = dealt.select("period_end", "filter_idx", "bucket", F.explode("bits").alias("o"))
+    return bits.groupBy("period_end", "filter_idx", "bucket").agg(F.bitmap_construct_agg(F.col("o").cast("long")).alias("bitmap"))
 
 
 def bits_set(bloom: DataFrame) -> DataFrame:
@@ -83,6 +85,11 @@ def bits_set(bloom: DataFrame) -> DataFrame:
 def header(rows: DataFrame, registers: DataFrame, cfg: BloomConfig) -> DataFrame:
     keyed = rows.withColumn("period_end", period_end(F.col("ts"), cfg.period))
     h = keyed.groupBy("period_end").agg(F.min("ts").alias("period_begin"), F.min("ts").alias("first_request"), F.max("ts").alias("last_request"), F.count(F.lit(1)).alias("number_of_requests"))
+    return described(h, registers, cfg)
+
+
+def described(h: DataFrame, registers: DataFrame, cfg: BloomConfig) -> DataFrame:
+    """Headers with the estimates of the registers and the geometry."""
     est = hll.estimated(registers, ["period_end", "kind"]).groupBy("period_end").pivot("kind", ["client", "host"]).agg(F.first("estimate"))
     cols = {"number_of_filters": cfg.filters, "number_of_bits_per_filter": cfg.bits, "number_of_hashes": cfg.hashes, "number_of_filters_per_user": cfg.per_user, "flatten_threshold": cfg.flatten, "major": VERSION[0], "minor": VERSION[1]}
     h = h.join(est.withColumnsRenamed({"client": "est_clients", "host": "est_host_names"}), "period_end", "left")
@@ -91,15 +98,25 @@ def header(rows: DataFrame, registers: DataFrame, cfg: BloomConfig) -> DataFrame
 
 def registers(rows: DataFrame, cfg: BloomConfig) -> DataFrame:
     """period_end, kind, reg, rank: clients by their Murmur hash, tokens by the first bytes of SHA-256."""
-    keyed = rows.withColumn("period_end", period_end(F.col("ts"), cfg.period))
-    clients = keyed.select("period_end", "ip").distinct().select("period_end", F.lit("client").alias("kind"), murmur_of(ipv4_bytes(F.col("ip"))).alias("h"))
+    keyed = addressed(rows).withColumn("period_end", period_end(F.col("ts"), cfg.period))
+    clients = keyed.select("period_end", "addr").distinct().select("period_end", F.lit("client").alias("kind"), murmur_of(F.col("addr")).alias("h"))
     once = token_rows(keyed.select("period_end", "host", "qtype", "entity").distinct()).select("period_end", "token").distinct()
     hosts = once.select("period_end", F.lit("host").alias("kind"), sha_low64(F.col("token")).alias("h"))
     return hll.registers(clients.union(hosts), ["period_end", "kind"], "h")
 
 
+def with_empty(state: State, periods: DataFrame) -> State:
+    """The state with an empty one (no requests, no bits) for each of the periods (period_end) that it lacks."""
+    none = periods.select("period_end").distinct().join(state.header.select("period_end"), "period_end", "left_anti")
+    zero = {"number_of_requests": 0, "est_clients": 0, "est_host_names": 0, "number_of_filters": state.config.filters, "number_of_bits_per_filter": state.config.bits, "number_of_hashes": state.config.hashes, "number_of_filters_per_user": state.config.per_user, "flatten_threshold": state.config.flatten, "major": VERSION[0], "minor": VERSION[1]}
+    begin = F.timestamp_seconds(F.col("period_end").cast("long") - state.config.period)
+    header = none.withColumns({"period_begin": begin} | {k: F.lit(v).cast("long") for k, v in zero.items()})
+    filters = none.select("period_end", F.explode(F.sequence(F.lit(0), F.lit(state.config.filters - 1))).alias("filter_idx"), F.lit(0).cast("long").alias("bits_set"))
+    return State(state.header.unionByName(header, allowMissingColumns=True), state.bloom, state.filter.unionByName(filters), state.hll, state.config)
+
+
 def build_state(rows: DataFrame, cfg: BloomConfig) -> State:
-    """Accepted lookups (ts, ip, host, qtype, entity) -> the tables of every period."""
+    """Accepted lookups (ts, addr or ip, host, qtype, entity) -> the tables of every period."""
     regs = registers(rows, cfg)
     bloom = bitmaps(filter_tokens(rows, cfg), cfg)
     return State(header(rows, regs, cfg), bloom, bits_set(bloom), regs, cfg)
@@ -148,11 +165,24 @@ def persist(state: State, path: str, mode: str = "overwrite") -> None:
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
         for name in TABLES:
-            getattr(state, name).write.mode(mode).partitionBy("period_end").parquet(f"{path}/{name}")
+            getattr(state, name).repartition("period_end").write.mode(mode).partitionBy("period_end").parquet(f"{path}/{name}")
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
 
 
+def store(rows: DataFrame, cfg: BloomConfig, path: str) -> State:
+    """Builds the state of the lookups and persists it; what is derived from registers and bitmaps is derived from the stored ones."""
+    spark = rows.sparkSession
+    rows = rows.persist()
+    try:
+        regs = written(registers(rows, cfg), "registers")
+        bloom = written(bitmaps(filter_tokens(rows, cfg), cfg), "bitmaps")
+        persist(State(header(rows, regs, cfg), bloom, bits_set(bloom), regs, cfg), path)
+    finally:
+        rows.unpersist()
+    return load(spark, path, cfg)
+
+
 def load(spark: SparkSession, path: str, cfg: BloomConfig) -> State:
     """Stored states; a geometry other than cfg's fails."""
     t = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
@@ -162,6 +192,18 @@ def load(spark: SparkSession, path: str, cfg: BloomConfig) -> State:
     return State(config=cfg, **t)
 
 
+def fpr_history(state: State) -> DataFrame:
+    """time, actfpr, fillrate of every filter, by the period's begin."""
+    fill = fill_rate(F.col("bits_set"), state.config.bits)
+    time = F.date_format("period_begin", "yyyy-MM-dd'T'HH:mm:ss").alias("time")
+    return state.header.select("period_end", time).join(state.filter, "period_end").select("time", F.round(actual_fpr(fill, state.config.hashes), 10).alias("actfpr"), F.round(fill, 10).alias("fillrate"))
+
+
+def file_day(name: Column) -> Column:
+    """The day in a period's file name, as dd-MM-yyyy."""
+    return F.date_format(F.to_timestamp(F.regexp_replace(name, r"\.hs$", ""), "yyyy-MM-dd'T'HH:mm:ss"), "dd-MM-yyyy")
+
+
 def file_name(end: Column) -> Column:
     """UTC name of a period's file, by its end."""
     return F.concat(F.date_format(end, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".hs"))

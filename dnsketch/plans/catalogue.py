@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,24 +11,12 @@ from dnsketch.model import SINGLE, TINY, BloomConfig, lookup_combination
 from dnsketch.operators import analyst, hll, metrics, search, sketch
 from dnsketch.operators.lpm import client_entities
 from dnsketch.plans import oracle as o
+from dnsketch.plans.registry import QUERIES, SQL, query, stored
 from dnsketch.sources import dims, dnslog, wire
 from dnsketch.sources.dnslog import token_rows
+from dnsketch.session import shared_folder
 from dnsketch.streaming import periods
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _log(spark, d):
     return dnslog.dns_log(spark, d)
 
@@ -213,11 +199,12 @@ def hll_union_parity(spark, d):
     return hll.estimated(hll.merged(sketch.registers(_lookups(spark, d), SINGLE), ["kind"], parity=True), ["kind"])
 
 
-@query()
+@query(o.with_(*o.BASE, o.TOKENS, last=f"SELECT {_secs('period_end')} AS period_end, count(DISTINCT token) AS tokens, true AS close FROM tok GROUP BY period_end"))
 def hll_native(spark, d):
-    """Spark's own sketch at the same precision (another hash, so no SQL: within a few per cent of exact)."""
-    t = token_rows(_lookups(spark, d)).select(sketch.period_end(F.col("ts"), 86_400).alias("period_end"), "token")
-    return hll.native(t, ["period_end"], "token").withColumn("period_end", secs("period_end"))
+    """Spark's own sketch at the same precision (another hash): whether it is within 3 % of the exact number, four standard errors."""
+    t = token_rows(_lookups(spark, d)).select(sketch.period_end(F.col("ts"), 86_400).alias("period_end"), "token").distinct()
+    n = t.groupBy("period_end").agg(F.count(F.lit(1)).alias("tokens")).join(hll.native(t, ["period_end"], "token"), "period_end")
+    return n.select(secs("period_end").alias("period_end"), "tokens", (F.abs(F.col("estimate") - F.col("tokens")) <= 0.03 * F.col("tokens") + 1).alias("close"))
 
 
 # ---- roll-up and reports
@@ -312,7 +299,7 @@ _FOUND = (*o.BASE, o.TOKENS, o.bits_cte(SINGLE), o.BLACK, o.CAMPAIGN, _ASK, o.fo
 def _hits(spark, d, cfg=SINGLE) -> DataFrame:
     """period_end, token, hits and exact for the campaign: what the sketch says beside what the log says."""
     rows, camp = _lookups(spark, d), _asked(spark, d).select("token").withColumn("hex", F.sha2("token", 256))
-    found = search.probe(camp, sketch.build_state(rows, cfg)).groupBy("period_end", "hex").agg(F.count(F.lit(1)).alias("hits"))
+    found = search.probe(camp, stored(spark, d, cfg)).groupBy("period_end", "hex").agg(F.count(F.lit(1)).alias("hits"))
     truth = token_rows(rows.withColumn("period_end", sketch.period_end(F.col("ts"), cfg.period)).select("period_end", "host", "qtype", "entity").distinct()).select("period_end", "token").distinct().withColumn("exact", F.lit(True))
     return found.join(camp, "hex").join(truth, ["period_end", "token"], "left").select("period_end", "token", "hits", F.coalesce("exact", F.lit(False)).alias("exact"))
 
@@ -342,7 +329,7 @@ def _jobs(spark, d) -> DataFrame:
 @query(o.with_(*_TF, _JOB, "ask AS (SELECT DISTINCT hex FROM job)", o.found_cte(TINY), _HIT, last=f"SELECT {_secs('period_end')} AS period_end, g::BIGINT AS group_id, count(*) FILTER (mask <> 0) AS hosts_hit, (CASE WHEN bool_and(mask <> 0) THEN bit_count(bit_and(mask)) ELSE 0 END)::BIGINT AS hits_by_all_hostnames FROM hit GROUP BY period_end, g HAVING count(*) FILTER (mask <> 0) > 0"))
 def search_group_intersection(spark, d):
     """In how many filters all hosts of a group are."""
-    s = _state(spark, d, TINY)
+    s = stored(spark, d, TINY)
     h = search.flatten(search.host_hits(search.parse_jobs(_jobs(spark, d)), s), s, 0)
     return search.group_hits(h, s).select(secs("period_end").alias("period_end"), "group_id", "hosts_hit", "hits_by_all_hostnames")
 
@@ -351,15 +338,24 @@ def search_group_intersection(spark, d):
     last=f"SELECT {_secs('period_end')} AS period_end, key AS host_key, CASE WHEN estimate < 500 THEN (bit_count(mask) >= {TINY.per_user})::BIGINT ELSE bit_count(mask)::BIGINT END AS hits, estimate < 500 AS flattened FROM hit JOIN est USING (period_end)").replace(o.CLIENTS + ",\nhashes", "hashes"))
 def search_flattened(spark, d):
     """Host hits after flattening of the quiet periods."""
-    s = _state(spark, d, TINY)
+    s = stored(spark, d, TINY)
     h = search.flatten(search.host_hits(search.parse_jobs(_jobs(spark, d)), s), s, 500)
     return h.select(secs("period_end").alias("period_end"), "host_key", "hits", "flattened")
 
 
-@query()
+_JSON = """f AS (SELECT period_end, g, key, mask, estimate < 500 AS fl, CASE WHEN estimate < 500 THEN (bit_count(mask) >= 2)::BIGINT ELSE bit_count(mask)::BIGINT END AS hits FROM hit JOIN est USING (period_end)),
+grp AS (SELECT period_end, g, bool_and(hits > 0) AS every, bit_count(bit_and(mask))::BIGINT AS n FROM f GROUP BY 1, 2),
+req AS (SELECT period_end, count(*) AS number_of_requests FROM acc GROUP BY 1)"""
+
+
+@query(o.with_(*_TF, o.CLIENTS, o.REGS, "est AS (" + o.hll_estimate("(SELECT period_end, reg, rank FROM regs WHERE kind = 'host')", "period_end") + ")", _JOB, "ask AS (SELECT DISTINCT hex FROM job)", o.found_cte(TINY), _HIT, _JSON,
+    last=f"SELECT {_secs('period_end')} AS period_end, number_of_requests, fl AS flattened, g::BIGINT AS group_id, key AS host_key, hits, (CASE WHEN NOT every THEN 0 WHEN fl THEN (n >= {TINY.per_user})::BIGINT ELSE n END)::BIGINT AS hits_by_all FROM f JOIN grp USING (period_end, g) JOIN req USING (period_end) WHERE hits > 0").replace(o.CLIENTS + ",\nhashes", "hashes"))
 def search_job_json(spark, d):
-    """The whole JSON of a job's result for every day (its parts are checked by the queries above)."""
-    return search.results(_jobs(spark, d), _state(spark, d, TINY), 500).withColumn("period_end", secs("period_end"))
+    """The JSON of a job's result for every day, read back: period, requests, groups and their hosts."""
+    r = search.results(_jobs(spark, d), stored(spark, d, TINY), 500)
+    j = F.from_json("result", "period_end long, number_of_requests long, flattened_results boolean, groups array<struct<id long, hits_by_all_hostnames long, hostnames map<string,long>>>")
+    g = r.select(j.alias("j")).select("j.period_end", "j.number_of_requests", F.col("j.flattened_results").alias("flattened"), F.explode("j.groups").alias("g"))
+    return g.select("period_end", "number_of_requests", "flattened", F.col("g.id").alias("group_id"), F.col("g.hits_by_all_hostnames").alias("hits_by_all"), F.explode("g.hostnames").alias("host_key", "hits"))
 
 
 _HT = "ht AS (SELECT DISTINCT token FROM found JOIN camp ON hex = sha256(camp.token))"
@@ -511,7 +507,8 @@ def threat_levels(spark, d):
     return analyst.enriched(wanted, t)
 
 
-@query()
+@query("""WITH g AS (SELECT range AS id, sha256('7|' || range) AS h FROM range(10000)), n AS (SELECT id, h, 5 + ('0x' || substr(h, 1, 4))::INT % 11 AS size FROM g)
+SELECT id, 'load.' || array_to_string(list_transform(range(size), lambda i: chr(97 + ('0x' || substr(h, (5 + 2 * i)::INT, 2))::INT % 26)), '') || '.example.test' AS qname, ['A', 'AAAA', 'NS', 'MX'][1 + ('0x' || substr(h, 63, 2))::INT % 4] AS qtype FROM n""")
 def generated_queries(spark, d):
     """Random queries `prefix.randN.suffix` of the load generator, reproducible by seed."""
     from dnsketch.sources.generator import random_queries
@@ -525,7 +522,7 @@ def generated_queries(spark, d):
 @query(o.with_(*o.BASE, o.TOKENS, o.bits_cte(SINGLE), last=f"SELECT {_secs('period_end')} AS period_end, count(*) AS bits_set, any_value(n) AS number_of_requests FROM fb JOIN (SELECT period_end, count(*) AS n FROM acc GROUP BY 1) USING (period_end) GROUP BY period_end"))
 def stream_period_state(spark, d):
     """The daily sketches of a stream of events: the same as those of the batch."""
-    path = periods.shared_folder(spark)
+    path = shared_folder(spark, "stream")
     prefixes = dims.entity_prefixes(spark, d)
     stream = dnslog.dns_log(spark, d, periods.events_stream(spark, d))
     periods.run_periods(stream, SINGLE, path, lambda b: dnslog.lookups(b, prefixes)).awaitTermination()
@@ -540,7 +537,7 @@ _MINUTE = """SELECT epoch(date_trunc('minute', ts))::BIGINT AS minute, count(*)
 @query(o.with_(o.HOSTS, o.LOG, last=_MINUTE))
 def stream_minutely(spark, d):
     """Minute counters of a stream, added up from the parts of its batches."""
-    path = periods.shared_folder(spark)
+    path = shared_folder(spark, "stream")
     periods.run_counters(dnslog.dns_log(spark, d, periods.events_stream(spark, d)), path).awaitTermination()
     c = periods.counters(spark, path)
     return c.select(secs("window_start").alias("minute"), "n_proc", "n_acc", "n_qa", "n_qptr")
@@ -600,7 +597,7 @@ def subnet_definitions_match(spark, d):
     lists = QUERIES["subnet_json"](spark, d)
     one = lists.select(F.concat(F.lit('{"entity":"'), "entity", F.lit('","prefixes":'), "prefixes", F.lit("}")).alias("e"))
     text = one.agg(F.concat(F.lit('{"subnet_activity":['), F.concat_ws(",", F.array_sort(F.collect_list("e"))), F.lit(",]}")).alias("value"))
-    who = _log(spark, d).select("client").distinct().withColumn("a", address(F.col("client"))).select("client", "a.af", "a.bits")
+    who = _log(spark, d).select("client").distinct().withColumn("a", address(F.col("client"))).select("client", "a.af", "a.hi", "a.lo")
     return match_bits(who, subnet_definitions(text)).select("client", "entity")
 
 
@@ -656,7 +653,7 @@ def instrument_lines(spark, d):
 @query(o.with_(*_FOUND, o.REGS.replace("hashes AS", o.CLIENTS + ",\nhashes AS"), "est AS (" + o.hll_estimate("(SELECT period_end, reg, rank FROM regs WHERE kind = 'client')", "period_end") + ")", last=f"SELECT {_secs('period_end')} AS period_end, estimate AS est_clients, count(DISTINCT hex) AS names_hit FROM found JOIN est USING (period_end) GROUP BY ALL"))
 def clients_of_hits(spark, d):
     """Roughly how many clients a day had, beside the number of campaign names it had."""
-    s = _state(spark, d, SINGLE)
+    s = stored(spark, d, SINGLE)
     found = search.probe(_asked(spark, d).select(F.sha2("token", 256).alias("hex")), s).groupBy("period_end").agg(F.count_distinct("hex").alias("names_hit"))
     return s.header.join(found, "period_end").select(secs("period_end").alias("period_end"), "est_clients", "names_hit")
 
@@ -672,3 +669,8 @@ def info_sections(spark, d):
 
     r = info_text(_state(spark, d, SINGLE))
     return r.select(secs("period_end").alias("period_end"), F.regexp_extract("report", r"Number of requests\s*: (\d+)", 1).cast("long").alias("number_of_requests"), F.regexp_extract("report", r"( 1\. Number of bits set.*)", 1).alias("line"))
+
+
+from dnsketch.plans import inputs  # noqa: E402  (adds its queries)
+
+inputs.late(query)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dnsketch.model import BIAS_TEXT, MURMUR_SEED, BloomConfig
+from dnsketch.model import BIAS, BIAS_END, MURMUR_SEED, BloomConfig
 
 M64 = "14313749767032793493"  # 0xc6a4a7935bd1e995
 TWO64 = "18446744073709551616"
@@ -107,7 +107,8 @@ regs AS (SELECT period_end, kind, (h % 16384)::INT AS reg, max(1 + CASE WHEN (h
 
 def hll_estimate(source: str, keys: str) -> str:
     m = 16384.0
-    return f"""SELECT {keys}, CAST(trunc(CASE WHEN e < {2.5 * m} AND z <> 0 THEN {m} * ln({m} / z) WHEN e < 72000 THEN e - e * ({BIAS_TEXT}) / 100 ELSE e END) AS BIGINT) AS estimate
+    bias = " + ".join("*".join([f"({c!r})::DOUBLE", *["e"] * (len(BIAS) - 1 - i)]) for i, c in enumerate(BIAS))
+    return f"""SELECT {keys}, CAST(trunc(CASE WHEN e < {2.5 * m} AND z <> 0 THEN {m} * ln({m} / z) WHEN e < {BIAS_END} THEN e - e * ({bias}) / 100 ELSE e END) AS BIGINT) AS estimate
   FROM (SELECT {keys}, z, {0.7213 / (1 + 1.079 / m) * m * m!r} / (s + z) AS e FROM (SELECT {keys}, sum(pow(2.0::DOUBLE, -rank)) AS s, 16384 - count(*) AS z FROM {source} GROUP BY {keys}))"""
 
 

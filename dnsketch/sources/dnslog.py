@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dnsketch.functions.inet import address, packed
 from dnsketch.functions.names import entity_or_unknown, normalised, reverse_pointer, tokens
 from dnsketch.model import ACCEPTED_TYPES
-from dnsketch.operators.lpm import client_entities
+from dnsketch.operators.lpm import client_entities, match_bits
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +52,18 @@ def lookups(log: DataFrame, prefixes: DataFrame) -> DataFrame:
     return rows.join(client_entities(rows, prefixes), "ip", "left")
 
 
+def any_lookups(log: DataFrame, prefixes: DataFrame | None) -> DataFrame:
+    """Accepted queries of clients of either family: ts, client, addr (4 or 16 bytes), host, qtype, entity.
+
+    prefixes: definitions as files.subnet_definitions() gives them. Rows whose client is no address are left out.
+    """
+    rows = client_query(log).filter(accepted() & F.col("client").isNotNull())
+    rows = rows.select("ts", normalised("qname").alias("host"), "qtype", address(F.col("client")).alias("a")).filter("a.af is not null")
+    rows = rows.select("ts", F.col("a.text").alias("client"), "a.af", "a.hi", "a.lo", "host", "qtype")
+    rows = rows.withColumn("entity", F.lit(None).cast("string")) if prefixes is None else match_bits(rows, prefixes)
+    return rows.select("ts", "client", packed(F.col("af"), F.col("hi"), F.col("lo")).alias("addr"), "host", "qtype", "entity")
+
+
 def token_rows(rows: DataFrame, with_entity: bool = True) -> DataFrame:
     """One row per lookup and token."""
     entity = entity_or_unknown(F.col("entity")) if with_entity else None

@@ -65,13 +65,13 @@ def bloom_config(values: dict[str, str]) -> BloomConfig:
 
 
 def subnet_definitions(texts: DataFrame, column: str = "value") -> DataFrame:
-    """JSON definitions (one per row) -> entity, af, bits, plen, ord. Trailing commas are forgiven; other broken JSON fails, so does a broken prefix."""
+    """JSON definitions (one per row) -> entity, af, hi, lo, plen, ord. Trailing commas are forgiven; other broken JSON fails, so does a broken prefix."""
     clean = F.regexp_replace(column, r",(\s*[\]}])", "$1")
     groups = texts.select(F.posexplode(F.from_json(clean, SUBNETS, {"mode": "FAILFAST"})["subnet_activity"]).alias("g", "a"))
     each = groups.select("g", F.col("a.entity").alias("entity"), F.posexplode("a.prefixes").alias("p", "m")).select("g", "p", "entity", F.explode("m").alias("ip", "plen"))
     text = F.concat_ws("/", "ip", F.col("plen").cast("string"))
     out = each.withColumn("x", prefix(text)).withColumn("ok", F.assert_true(F.col("x.plen").isNotNull(), F.concat(F.lit("no prefix: "), text)))
-    return out.filter("ok is null").select("entity", "x.af", "x.bits", "x.plen", (F.col("g").cast("long") * 1_000_000 + F.col("p")).alias("ord"))
+    return out.filter("ok is null").select("entity", "x.af", "x.hi", "x.lo", "x.plen", (F.col("g").cast("long") * 1_000_000 + F.col("p")).alias("ord"))
 
 
 def subnet_file(spark: SparkSession, path: str) -> DataFrame:
@@ -94,11 +94,12 @@ def mail_log(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.to_timestamp("ts").alias("ts"), "ip")
 
 
-def customers(spark: SparkSession, path: str, prefix_column: str = "Prefix", name_column: str = "Volledige naam klant") -> DataFrame:
+def customers(spark: SparkSession, path: str, prefix_column: str, name_column: str) -> DataFrame:
+    """entity, prefix of a sheet with a header; its column names are the caller's."""
     return spark.read.csv(path, header=True).select(F.col(f"`{name_column}`").alias("entity"), F.trim(f"`{prefix_column}`").alias("prefix"))
 
 
-def sector_map(spark: SparkSession, path: str, name_column: str = "Volledige naam klant", sector_column: str = "DoelgroepCode") -> DataFrame:
+def sector_map(spark: SparkSession, path: str, name_column: str, sector_column: str) -> DataFrame:
     return spark.read.csv(path, header=True).select(F.col(f"`{name_column}`").alias("entity"), F.col(f"`{sector_column}`").alias("sector"))
 
 

@@ -7,8 +7,6 @@ in memory between batches, however large its sketch is, and late rows simply add
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,12 +19,6 @@ from dnsketch.operators import hll, metrics, sketch
 PARTS = ("counts", "bloom", "hll")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dnsketch-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def events_stream(spark: SparkSession, folder: str, per_batch: int = 1) -> DataFrame:
     """The events of a folder, a file or a directory of files, as a stream, so many files a batch."""
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
@@ -43,7 +35,7 @@ def add_parts(rows: DataFrame, cfg: BloomConfig, path: str, batch: int) -> None:
 
 
 def run_periods(lookups: DataFrame, cfg: BloomConfig, path: str, dimension: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Starts the query; `dimension` is applied to each batch, so organisations are read anew every time."""
+    """Starts the query; `dimension` is called with each batch, so what it reads by path is read anew every time."""
 
     def add(batch: DataFrame, number: int) -> None:
         batch.persist()
@@ -58,10 +50,39 @@ def run_periods(lookups: DataFrame, cfg: BloomConfig, path: str, dimension: Call
 def periods(spark: SparkSession, path: str, cfg: BloomConfig) -> sketch.State:
     """The parts of all batches, merged."""
     t = {name: spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}/batch=*") for name in PARTS}
-    bloom = t["bloom"].groupBy("period_end", "filter_idx", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
-    regs = hll.merged(t["hll"], ["period_end", "kind"])
-    head = t["counts"].groupBy("period_end").agg(F.sum("n").alias("number_of_requests"), F.min("first_request").alias("first_request"), F.max("last_request").alias("last_request"))
-    return sketch.State(head, bloom, sketch.bits_set(bloom), regs, cfg)
+    bloom, regs = (_merged(name, t[name]) for name in ("bloom", "hll"))
+    head = _merged("counts", t["counts"]).withColumnRenamed("n", "number_of_requests").withColumn("period_begin", F.col("first_request"))
+    return sketch.State(sketch.described(head, regs, cfg), bloom, sketch.bits_set(bloom), regs, cfg)
+
+
+def compact(spark: SparkSession, path: str, cfg: BloomConfig) -> None:
+    """Merges the parts of all batches but the last, which a restart may write again, into one; run it while no query is.
+
+    The merged table is complete before any part goes; after a crash in between, `_merged` still has all of them.
+    """
+    fs, hadoop = _files(spark, path)
+    for name in PARTS:
+        old = sorted((x.getPath() for x in fs.globStatus(hadoop(f"{path}/{name}/batch=*")) or []), key=lambda p: int(p.getName().partition("=")[2]))[:-1]
+        if len(old) < 2:
+            continue
+        t = spark.read.parquet(*[p.toString() for p in old])
+        _merged(name, t).write.mode("overwrite").parquet(f"{path}/_merged/{name}")
+        for p in old:
+            fs.delete(p, True)
+        fs.rename(hadoop(f"{path}/_merged/{name}"), hadoop(f"{path}/{name}/batch=-1"))
+
+
+def _files(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    return hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def _merged(name: str, t: DataFrame) -> DataFrame:
+    if name == "bloom":
+        return t.groupBy("period_end", "filter_idx", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+    if name == "hll":
+        return hll.merged(t, ["period_end", "kind"])
+    return t.groupBy("period_end").agg(F.sum("n").alias("n"), F.min("first_request").alias("first_request"), F.max("last_request").alias("last_request"))
 
 
 def run_counters(log: DataFrame, path: str) -> StreamingQuery:

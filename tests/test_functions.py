@@ -14,6 +14,7 @@ from dnsketch.functions import formulas, hashing, inet, names
 from dnsketch.model import BloomConfig, combination_count, lookup_combination
 from dnsketch.operators import hll
 
+# Offsets that a hash must give, and estimates below, which equal those of the older system
 OFFSETS = [
     (0xDEADBEEF, 2, 1, [6, 7]),
     (0xDEADBEEF, 2, 1024, [5883, 7125]),
@@ -181,11 +182,28 @@ def test_bits_of_a_bitmap(spark):
     assert list(got) == [True, False, True, False, True, False]
 
 
-def test_exploded_offsets(spark):
-    digests = [bytes([i] * 32) for i in range(5)]
-    rows = [(f"k{i}", i % 3, d) for i, d in enumerate(digests)] + [("short", 0, b"x"), ("none", 1, None)]
-    df = spark.createDataFrame(rows, "key string, filter_idx int, digest binary").repartition(2)
-    got = sorted(tuple(r) for r in hashing.exploded_offsets(df, 4096, 3).collect())
-    want = [(f"k{i}", i % 3, o) for i, d in enumerate(digests) for o in hashing.offsets(hashing.filter_hash(hashing.limbs_of([d]), i % 3), 4096, 3)[0].tolist()]
-    assert got == sorted(want)
-    assert hashing.exploded_offsets(df.limit(0), 4096, 3).count() == 0
+@pytest.mark.parametrize("most", [4_000_000, 5])
+def test_bucketed_offsets(spark, most):
+    """The bits of each (key, filter, bucket), whether gathered in one go or in several."""
+    digests = [bytes([i] * 32) for i in range(7)]
+    rows = [(i % 2, i % 3, d) for i, d in enumerate(digests)] + [(0, 0, b"x"), (1, 1, None)]
+    df = spark.createDataFrame(rows, "key long, filter_idx int, digest binary").select(F.timestamp_seconds("key").alias("key"), "filter_idx", "digest").repartition(2)
+    got = hashing.bucketed_offsets(df, 4096, 3, 1024, key="key", most=most)
+    bits = {(r["k"], r["filter_idx"], r["bucket"] * 1024 + r["o"]) for r in got.select(F.col("key").cast("long").alias("k"), "filter_idx", "bucket", F.explode("bits").alias("o")).collect()}
+    assert bits == {(i % 2, i % 3, o) for i, d in enumerate(digests) for o in hashing.offsets(hashing.filter_hash(hashing.limbs_of([d]), i % 3), 4096, 3)[0].tolist()}
+    assert hashing.bucketed_offsets(df.limit(0), 4096, 3, 1024, key="key").count() == 0
+
+
+@given(st.lists(st.binary(max_size=33), min_size=1, max_size=8))
+@settings(max_examples=40, deadline=None)
+def test_murmur_of_rows(values):
+    n = len(values[0])
+    same = [v for v in values if len(v) == n]
+    rows = np.frombuffer(b"".join(same), np.uint8).reshape(len(same), n)
+    assert hashing.murmur_rows(rows).tolist() == [hashing.murmur64a(v) for v in same]
+
+
+def test_murmur_of_a_column(spark):
+    values = [b"\x01\x02\x03\x04", None, b"", bytes(range(16)), b"\xff" * 4]
+    got = [r["h"] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, b binary").coalesce(1).orderBy("i").select(hashing.murmur_of("b").alias("h")).collect()]
+    assert got == [None if v is None else hashing.signed(hashing.murmur64a(v)) for v in values]

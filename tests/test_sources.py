@@ -13,9 +13,9 @@ from dnsketch.sources import dnslog, files, generator, wire
 def test_text_log(spark, tmp_path):
     p = tmp_path / "log.gz"
     with gzip.open(p, "wt") as f:
-        f.write("# comment\n1000000000 1.2.3.4 host.domain.tld./1/1\nbroken\n1234567890 fe80::1 example.test./28/1\n")
+        f.write("# a remark\n1710000000 198.51.100.9 till-4.bakery.test./1/1\nnot a line\n1710000007 2001:db8::aa cases.law.test./28/1\n")
     got = sorted(dnslog.text_log(spark, str(p)).select(F.col("ts").cast("long"), "client", "qname", "qtype", "qclass").collect())
-    assert list(map(tuple, got)) == [(1000000000, "1.2.3.4", "host.domain.tld", 1, 1), (1234567890, "fe80::1", "example.test", 28, 1)]
+    assert list(map(tuple, got)) == [(1710000000, "198.51.100.9", "till-4.bakery.test", 1, 1), (1710000007, "2001:db8::aa", "cases.law.test", 28, 1)]
 
 
 def test_frames():
@@ -62,20 +62,20 @@ def test_config(tmp_path):
 
 
 def test_csv_inputs(spark, tmp_path):
-    (tmp_path / "gt.csv").write_text("1531403599, Q(Q), 145.220.24.179, IN, A, ftp.Xenon.xyz.\n1531403600, R(Q), 1.1.1.1, IN, A, no.\n")
-    assert [r["name"] for r in files.ground_truth(spark, str(tmp_path / "gt.csv")).collect()] == ["ftp.Xenon.xyz"]
+    (tmp_path / "gt.csv").write_text("1710000000, Q(Q), 198.51.100.9, IN, A, Till-4.bakery.test.\n1710000001, R(Q), 198.51.100.9, IN, A, no.\n")
+    assert [r["name"] for r in files.ground_truth(spark, str(tmp_path / "gt.csv")).collect()] == ["Till-4.bakery.test"]
     (tmp_path / "b.csv").write_text(" Bad.example ,x\nbad.example,y\n")
     assert [r[0] for r in files.first_column(spark, str(tmp_path / "b.csv")).collect()] == ["bad.example"]
-    (tmp_path / "m.log").write_text("2018-07-12T15:53:19+02:00 1.2.3.4\n")
-    assert files.mail_log(spark, str(tmp_path / "m.log")).select(F.col("ts").cast("long")).first()[0] == 1531403599
-    (tmp_path / "s.csv").write_text("Volledige naam klant,DoelgroepCode\nX,HBO\n")
-    assert tuple(files.sector_map(spark, str(tmp_path / "s.csv")).first()) == ("X", "HBO")
+    (tmp_path / "m.log").write_text("2024-03-09T18:00:00+02:00 198.51.100.9\n")
+    assert files.mail_log(spark, str(tmp_path / "m.log")).select(F.col("ts").cast("long")).first()[0] == 1710000000
+    (tmp_path / "s.csv").write_text("organisation,code\nBakery,food\n")
+    assert tuple(files.sector_map(spark, str(tmp_path / "s.csv"), "organisation", "code").first()) == ("Bakery", "food")
 
 
 def test_experiment_log(spark):
-    text = "Statistics for 2018-07-12.hs.json:\n[3 / 10] found\nother\nStatistics for 2018-07-13.hs.json:\n  [ 4 / 9 ]\n"
+    text = "Statistics for 2024-03-09.hs.json:\n[3 / 10] found\nother\nStatistics for 2024-03-10.hs.json:\n  [ 4 / 9 ]\n"
     got = files.experiment_log(spark.createDataFrame([(text,)], "value string")).collect()
-    assert [tuple(r) for r in got] == [("2018-07-12", 3, 10), ("2018-07-13", 4, 9)]
+    assert [tuple(r) for r in got] == [("2024-03-09", 3, 10), ("2024-03-10", 4, 9)]
 
 
 def test_results(spark, tmp_path):
@@ -129,6 +129,82 @@ def test_collector_and_its_stream(spark, tmp_path):
     assert sorted(r["qname"] for r in spark.table("taps").collect()) == [f"h{i}.example." for i in range(5)]
 
 
+def test_shared_folder_is_needed_off_local_masters():
+    from types import SimpleNamespace
+
+    from dnsketch.session import shared_base
+
+    def fake(master, base=None):
+        kept = {"spark.checkpoint.dir": base} if base else {}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: kept.get(k, d), set=kept.__setitem__), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_base(fake("spark://x:1", "hdfs://x/y")) == "hdfs://x/y" and shared_base(fake("local[2]"))
+    for master in ("spark://x:1", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_base(fake(master))
+
+
+def test_collected_frames_become_states(spark, tmp_path):
+    """Dropped files, the command line's watch with definitions, a second run with one more file, and an empty end."""
+    import json
+
+    from dnsketch import cli
+    from dnsketch.functions.hashing import sha256
+    from dnsketch.sources.collector import Collector
+
+    drop, cfg, nets, job, out = (str(tmp_path / x) for x in ("drop", "c.conf", "nets.json", "job.json", "out"))
+    with open(cfg, "w") as f:
+        f.write("period_length 3600\nnumber_of_filters 1\nnumber_of_bits_per_filter 65536\nnumber_of_hashes 4\nnumber_of_filters_per_user 1\n")
+    with open(nets, "w") as f:
+        f.write('{"subnet_activity":[{"entity":"Bakery","prefixes":[{"2001:db8:7::":48}]}]}')
+    with open(job, "w") as f:
+        f.write(json.dumps({"groups": [{"id": 1, "hostnames": {"t": sha256("Bakery@till.test"), "m": sha256("UNKNOWN@maps.test")}}]}))
+    c, start = Collector(drop), 1_709_999_000
+    for run, at in enumerate((start, start + 5)):
+        for i, client in enumerate(("2001:db8:7::1", "2001:db8:7::2", "198.51.100.1")):
+            c.add(wire.encode_frame(at + i, client, ("Till.test.", "till.test", "maps.test")[i], "A", "IN"))
+        c.drop()
+        cli.main(["watch", "-c", cfg, "-l", drop, "-o", out, "-s", nets])
+        cli.main(["search", "-c", cfg, "-f", out, "-j", job, "-r", str(tmp_path / f"r{run}")])
+        got = json.loads(spark.read.text(str(tmp_path / f"r{run}")).first()["value"])
+        assert got["groups"][0]["hostnames"] == {"m": 1, "t": 1} and got["number_of_requests"] == 3 * (run + 1) and got["estimated_number_of_clients"] == 3
+
+
+def test_merged_parts_and_a_replayed_batch(spark, tmp_path):
+    import datetime as dt
+
+    from dnsketch.model import SINGLE
+    from dnsketch.streaming import periods
+
+    rows = [(dt.datetime(2024, 3, 9, 6, 0, i), 10 + i, f"h{i}.test", "A", None) for i in range(8)]
+    df = spark.createDataFrame(rows, "ts timestamp, ip long, host string, qtype string, entity string")
+    path = str(tmp_path / "parts")
+    for n in range(4):
+        periods.add_parts(df.filter(f"ip % 4 = {n}"), SINGLE, path, n)
+
+    def now():
+        s = periods.periods(spark, path, SINGLE)
+        return s.header.select("number_of_requests", "est_clients").first(), s.filter.select("bits_set").first()
+
+    want = now()
+    periods.compact(spark, path, SINGLE)
+    periods.add_parts(df.filter("ip % 4 = 3"), SINGLE, path, 3)  # the last batch, written again after a crash
+    assert now() == want and sorted(p.name for p in (tmp_path / "parts" / "counts").iterdir()) == ["batch=-1", "batch=3"]
+    periods.add_parts(df.withColumn("ip", F.col("ip") + 100), SINGLE, path, 4)
+    periods.compact(spark, path, SINGLE)
+    assert now()[0]["number_of_requests"] == 16 and sorted(p.name for p in (tmp_path / "parts" / "hll").iterdir()) == ["batch=-1", "batch=4"]
+
+
+def test_messages_have_levels(capsys):
+    from dnsketch import cli
+
+    for level, shown in ((0, ["warning"]), (1, ["info", "warning"]), (-1, [])):
+        cli.log_to(level, False)
+        cli.log.info("info")
+        cli.log.warning("warning")
+        assert [x.rpartition(" ")[2] for x in capsys.readouterr().err.splitlines()] == shown
+
+
 def test_minute_counters_of_overlapping_files(spark, tmp_path):
     import shutil
 
