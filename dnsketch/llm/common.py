@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dnsketch.session import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,11 +37,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="dnsketch-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.spark, self.base, self.at = spark, f"{base}/dnsketch-{uuid.uuid4().hex}", {}
+        self.spark, self.base, self.at = spark, shared_folder(spark, "dnsketch"), {}
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
@@ -68,7 +65,6 @@ def ranked(df: DataFrame, group: list[str], order: list, out: str, buckets: int
     """
     b, n = f"_{out}_bucket", f"_{out}_n"
     df = df.withColumn(b, F.pmod(F.xxhash64(*(keys or order)), F.lit(buckets)).cast("int"))
-    same = [df[g].eqNullSafe(F.col(f"_{out}_{g}")) for g in group]
     counts = df.groupBy(*group, b).agg(F.count(F.lit(1)).alias(n))
     before = F.coalesce(F.sum(n).over(Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(*[F.col(g).alias(f"_{out}_{g}") for g in group], F.col(b).alias(f"_{out}_b"), before.alias(f"_{out}_base"))
@@ -76,7 +72,7 @@ def ranked(df: DataFrame, group: list[str], order: list, out: str, buckets: int
     placed = df.withColumn(f"_{out}_r", inner)
     cond = placed[b] == counts[f"_{out}_b"]
     for g in group:
-        cond = cond & (placed[g] == counts[f"_{out}_{g}"])
+        cond = cond & placed[g].eqNullSafe(counts[f"_{out}_{g}"])
     placed = placed.join(counts, cond)
     keep = [c for c in df.columns if c != b]
     return placed.select(*[placed[c] for c in keep], (F.col(f"_{out}_r") + F.col(f"_{out}_base")).cast("long").alias(out))
