@@ -33,7 +33,7 @@ LINKS = 16  # of a point in the upper layers; twice as many on the ground
 BEAM, WIDEST, BUILD_BEAM = 32, 128, 40
 AUDIT = 64  # queries of a block that are audited
 EXPAND = 4  # points expanded at once
-NEAREST = 0.9  # of the audited queries that must find the point next to them
+NEAREST = 0.5  # of the audited queries that must find the point next to them, which is farther than any link and so harder to find
 AT_ONCE = 512  # queries searched together
 DENSE = 128  # queries compared by brute force together
 
