@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dnsketch.functions.bits import has_bit
 from dnsketch.functions.formulas import actual_fpr, approx_count, fill_rate
 from dnsketch.functions.hashing import offsets_udf
 from dnsketch.model import BUCKET_BITS, JOB
@@ -27,21 +28,44 @@ def is_hash(hexed: Column) -> Column:
     return F.coalesce(hexed.rlike("^[0-9A-Fa-f]{64}$"), F.lit(False))
 
 
+ASKED = 20_000  # bits that one list asks of a bucket, about
+
+
+def _tested(asked: pa.Table, bitmaps: pa.Table) -> pa.Table:
+    """The asked bits that are set, for each bitmap of the bucket."""
+    hexes, ends, filters = [], [], []
+    if asked.num_rows and bitmaps.num_rows:
+        bit = np.asarray(asked["bit"])
+        place, shift = bit >> 3, (bit & 7).astype(np.uint8)
+        for lo in range(0, bitmaps.num_rows, 64):
+            some = bitmaps.slice(lo, 64)
+            rows = np.frombuffer(b"".join(some["bitmap"].to_pylist()), np.uint8).reshape(some.num_rows, -1)
+            i, j = np.nonzero(rows[:, place] >> shift & 1)
+            ends.append(some["period_end"].take(pa.array(i)).combine_chunks())
+            hexes.append(asked["hex"].take(pa.array(j)).combine_chunks())
+            filters.append(pa.array(np.full(len(i), asked["f"][0].as_py(), np.int32)))
+    kinds = {"period_end": bitmaps.schema.field("period_end").type, "hex": pa.string(), "filter_idx": pa.int32()}
+    return pa.table({name: pa.chunked_array(parts, kind) for (name, kind), parts in zip(kinds.items(), (ends, hexes, filters), strict=True)})
+
+
 def probe(hashes: DataFrame, state: State, periods: Column | None = None) -> DataFrame:
     """hashes(hex) x periods -> period_end, hex, filter_idx of every filter that has all the hash's bits.
 
-    Offsets are made once per distinct hash and filter; the join on (filter, bucket) reads only rows of the bitmaps
-    that a hash needs. A bit is tested inside its 4 KiB row. Both sides of the join come by key: neither is sent whole
-    unless the planner finds it small.
+    Offsets are made once per distinct hash and filter and dealt by (filter, bucket) into lists of about ASKED bits. A list
+    meets all bitmaps of its bucket in one task, 4 KiB for each period, and only bits that are set leave as rows: neither a
+    bitmap nor a list is copied for each pair. Only the bitmaps of buckets that a hash needs are tested.
     """
     cfg = state.config
+    buckets = cfg.filters * -(-cfg.bits // BUCKET_BITS)
     once = hashes.select(F.lower("hex").alias("hex")).filter(is_hash(F.col("hex"))).distinct()
-    keyed = once.withColumn("filter_idx", F.explode(F.sequence(F.lit(0), F.lit(cfg.filters - 1))))
-    bits = keyed.select("hex", "filter_idx", F.explode(offsets_udf(cfg.bits, cfg.hashes)(F.col("hex"), F.col("filter_idx"))).alias("o"))
-    bits = bits.groupBy("hex", "filter_idx", F.floor(F.col("o") / BUCKET_BITS).cast("int").alias("bucket")).agg(F.collect_list((F.col("o") % BUCKET_BITS).cast("int")).alias("bits"))
+    lists = once.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * cfg.filters * cfg.hashes / (buckets * ASKED))).cast("int")).scalar()
+    keyed = once.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(cfg.filters - 1))))
+    bits = keyed.select("hex", "f", F.explode(offsets_udf(cfg.bits, cfg.hashes)(F.col("hex"), F.col("f"))).alias("o"))
+    asked = bits.select("f", F.floor(F.col("o") / BUCKET_BITS).cast("int").alias("b"), F.pmod(F.xxhash64("hex"), lists).cast("int").alias("l"), (F.col("o") % BUCKET_BITS).cast("int").alias("bit"), "hex")
     bloom = state.bloom if periods is None else state.bloom.filter(periods)
-    hit = bits.join(bloom, ["filter_idx", "bucket"]).select("period_end", "hex", "filter_idx", F.size(F.filter("bits", lambda p: has_bit(F.col("bitmap"), p))).alias("n"))
-    return hit.groupBy("period_end", "hex", "filter_idx").agg(F.sum("n").alias("n")).filter(F.col("n") == min(cfg.hashes, cfg.bits)).select("period_end", "hex", "filter_idx")
+    bloom = bloom.select("period_end", "filter_idx", "bucket", "bitmap", F.explode(F.sequence(F.lit(0), lists - 1)).alias("list"))
+    hit = asked.groupBy("f", "b", "l").cogroup(bloom.groupBy("filter_idx", "bucket", "list")).applyInArrow(_tested, "period_end timestamp, hex string, filter_idx int")
+    return hit.groupBy("period_end", "hex", "filter_idx").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == min(cfg.hashes, cfg.bits)).select("period_end", "hex", "filter_idx")
 
 
 def host_hits(jobs: DataFrame, state: State) -> DataFrame:

@@ -15,7 +15,7 @@ from dnsketch.operators import hll
 from dnsketch.session import written
 from dnsketch.sources.dnslog import token_rows
 
-TABLES = ("header", "bloom", "filter", "hll")
+TABLES = ("header", "bloom", "filter", "hll")  # in the order in which they are laid down
 
 
 @dataclass

@@ -46,7 +46,7 @@ def stored(spark: SparkSession, d: str, cfg: BloomConfig) -> sketch.State:
     key = (spark.sparkContext.applicationId, d, cfg, *map(stamp, ("events", "pages", "nation", "region")))
     path = _STORED.get(key)
     if path:
-        p = path_of(f"{path}/header/_SUCCESS")
+        p = path_of(f"{path}/hll")  # the last table that is written
         if p.getFileSystem(conf).exists(p):
             return sketch.load(spark, path, cfg)
     path = shared_folder(spark, "state")
