@@ -3,7 +3,8 @@
 Encoding keeps the adjacent symbol pairs that form a piece on a score-ordered agenda and merges the best first
 (ties: leftmost). Texts are cut where no piece of the vocabulary can reach across, so each piece of text is merged on
 its own and the ids of short pieces are remembered. In each Arrow batch, every newly merged piece of text and the decoded
-form of every row are checked against the sentencepiece library.
+form of every row are checked against the sentencepiece library, and so are the ids of whole rows, one in CHECKED and one a
+batch at least: there a difference fails the task.
 
 Defined results: a null or empty text has no pieces, so only the end id; rows repeat as they come; further columns stay.
 """
@@ -26,6 +27,7 @@ from dnsketch.llm.common import batches_of
 SPACE = "▁"
 MEMO = 500_000  # remembered pieces of text, in each of two generations
 MEMO_CHARS = 48  # longer ones are merged anew each time
+CHECKED = 64  # one row in so many is compared with the library as a whole
 SHORT = 32  # up to here the agenda is a plain list, scanned for its best entry; beyond, a heap
 
 
@@ -197,6 +199,13 @@ class PieceBpe:
         skip = self.library.encode("\n")
         return all(skip + array("i", x).tolist() == t for (_, x), t in zip(fresh, theirs, strict=True))
 
+    def check_rows(self, texts: list[str | None], ids: list[list[int]], end: bool) -> None:
+        """Whole rows against the library, one in CHECKED and a batch's first at least; a difference fails the task."""
+        for i in range(0, len(texts), CHECKED):
+            want = self.library.encode(texts[i] or "", add_eos=end)
+            if want != ids[i]:
+                raise RuntimeError(f"the library gives other ids for the text that begins {(texts[i] or '')[:80]!r}")
+
     def encode(self, text: str | None, end: bool = True) -> list[int]:
         return array("i", self.packed([text], end)[0][0]).tolist()
 
@@ -255,6 +264,7 @@ def encode_decode(df: DataFrame, model: str, text: str = "text", end: bool = Tru
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)
                 ids = [x.tolist() for x in np.split(flat, offsets[1:-1])]
                 decoded = [bpe.decode(x) for x in ids]
+                bpe.check_rows(batch.column(place).to_pylist(), ids, end)
                 ok = [agrees and a == b for a, b in zip(decoded, bpe.library.decode(ids), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(decoded, pa.string()), pa.array(ok)], names=[f.name for f in schema])
 

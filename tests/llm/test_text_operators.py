@@ -43,6 +43,13 @@ def test_pieces_are_the_librarys(spark, bpe):
     assert piece_bpe.encode_decode(df.limit(0), tokenizer_path("piece_bpe_32k.model")).count() == 0
 
 
+def test_a_row_that_differs_from_the_library_fails(bpe):
+    ids = bpe.library.encode("plain words", add_eos=True)
+    bpe.check_rows(["plain words"], [ids], True)
+    with pytest.raises(RuntimeError, match="plain words"):
+        bpe.check_rows(["plain words"], [ids[1:]], True)
+
+
 @given(st.text(max_size=60))
 @settings(max_examples=150, deadline=None)
 def test_any_text_has_the_librarys_pieces(bpe, text):
