@@ -447,3 +447,50 @@ def test_words_between_any_white_space_count(spark):
     for space in ("\t", "\u00a0"):
         assert kept(spark, PASSAGE.replace(" ", space), PASSAGE.replace(" ", space) + "\nOwn.") == [PASSAGE.replace(" ", space), "Own."]
     assert [n for _, _, n in linededup.units("one\ttwo\u00a0three  four\n" + "字" * 45 + "\n" + "a" * 45)] == [4, 22, 4]
+
+
+def test_repeats_travel_packed_and_are_those_of_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "BUCKET", 60, raising=False)  # several buckets, whose answers meet in each slice
+    r = random.Random(8)
+    lines = [prose("en", r.randint(1, 14), i).capitalize() + "." for i in range(70)]
+    rows = [(r.choice([None, i, i, i, i // 2]), r.choice(["\n", " "]).join(r.choices(lines, k=r.randint(1, 40)))) for i in range(120)]
+    rows += [rows[3], rows[4], (None, None), (7, ""), (8, " \n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    hashes = {x["text"]: x["h"] for x in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    places = {}
+    for i, t in {x for x in rows if x[1]}:
+        for (lo, _, _), parts in zip(found := linededup.units(t), linededup.hashed(t, found), strict=True):
+            for part in parts:
+                places.setdefault(part, set()).add((i is None, i or 0, hashes[t], lo))
+    want = []
+    for i, t in rows:
+        found, runs = linededup.units(t or ""), []
+        for k, ((lo, hi, n), parts) in enumerate(zip(found, linededup.hashed(t or "", found), strict=True)):
+            for part in parts:
+                if (first := min(places[part])) != (i is None, i or 0, hashes[t], lo):
+                    runs.append({"k": k, "lo": lo, "hi": hi, "words": n, "of": None if first[0] else first[1]})
+        every = linededup.all_spans(runs, t)
+        gone, stay = ([(lo, hi, of) for lo, hi, of, n in every if (n >= linededup.RUN) == long] for long in (True, False))
+        left = t
+        for lo, hi, _ in reversed(gone):
+            left = left[:lo] + left[hi:]
+        want.append((i, left.rstrip() if gone else t, gone, stay))
+    written = []
+
+    class Counted(Scratch):
+        def save(self, df, name):
+            written.append((out := super().save(df, name)).count())
+            return out
+
+    got = [(x["doc_id"], x["text"], *([tuple(s) for s in x[c]] for c in ("removed", "repeated"))) for x in linededup.without_repeats(df, Counted(spark)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and sum(bool(x[2]) for x in want) > 50 and any(x[3] for x in want)
+    assert written and max(written) <= len(rows)  # no table has a row for each unit
+
+
+def test_buckets_compare_whole_digests():
+    """Digests that agree in one half are others; the earliest place answers, nulls last."""
+    key = lambda *k: np.array([k], linededup.KEY)
+    a = np.concatenate([key(5, 1, 9, 0, 0, False), key(5, 2, 9, 0, 4, False), key(6, 0, 0, 3, 8, True)])
+    b = np.concatenate([key(5, 2, 4, 0, 7, False), key(5, 3, 4, 0, 1, False), key(6, 0, 2**63 - 1, 0, 2, False)])
+    got = linededup._answered(pa.table({"b": [0, 0], "s": ["a", "b"], "at": pa.array([10, 20], pa.int32()), "keys": [a.tobytes(), b.tobytes()]}))
+    assert got["s"].to_pylist() == ["a"] and np.frombuffer(got["replies"][0].as_py(), linededup.REPLY).tolist() == [(11, 4, False), (12, 2**63 - 1, False)]
